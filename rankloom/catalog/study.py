@@ -13,7 +13,7 @@ from ..operators.relations import Relations, relations, with_ids
 from ..operators.retrieval import score_pairs
 from ..plans.training import training_plan
 from ..session import Workspace, path_status
-from ..sources.pairs import conversation_pairs
+from ..sources.pairs import conversation_pairs, read_rows
 
 K = 9
 BATCH = 32
@@ -48,7 +48,7 @@ class Study:
     @cached_property
     def library(self) -> Relations:
         """``documents`` as corpus, ``benchmark`` as queries."""
-        documents = self.spark.read.parquet(f"{self.sf_dir}/documents.parquet")
+        documents = read_rows(self.spark, f"{self.sf_dir}/documents.parquet", "doc_id")
         items = self.spark.read.parquet(f"{self.sf_dir}/benchmark.parquet")
         everything = F.lit("all").alias("split")
         return Relations(

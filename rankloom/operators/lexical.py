@@ -78,10 +78,10 @@ class LexicalIndex:
     def representatives(self) -> DataFrame:
         return self.documents.filter("copy_no = 1")
 
-    def saturated_postings(self) -> DataFrame:
-        """``split, docno, term, sat`` of every distinct bag."""
+    def saturated_postings(self, all_copies: bool = False) -> DataFrame:
+        """``split, docno, term, sat`` of every distinct bag, or of every document."""
         return (
-            self.representatives()
+            (self.documents if all_copies else self.representatives())
             .select("split", "docno", "length", "avgdl", F.explode(F.arrays_zip("terms", "tfs")).alias("_p"))
             .select(
                 "split",

@@ -1,6 +1,7 @@
 """Top-k retrieval over the index tables: exact, without scoring every pair that shares a word.
 
-The plan is max-score pruning written as joins:
+Where the queries' terms have no more than DIRECT_LIMIT postings in all, a fixed bound that is counted first, reading
+them all is cheapest. Beyond it the plan is max-score pruning written as joins:
 
 1.  Queries with one bag of words are answered once, documents with one bag are scored once.
 2.  The best few postings of each query's heaviest terms are scored in full. The k-th best of those is a floor:
@@ -8,8 +9,11 @@ The plan is max-score pruning written as joins:
 3.  Going down from a query's most frequent term, terms are idle while the sum of their largest possible
     contributions stays below the floor: a document with idle terms only cannot be a hit. The other terms' postings
     are joined, and of those only the saturation buckets high enough to matter.
-4.  The documents with the best partial sums are scored in full, which lifts the floor close to the true k-th score.
-5.  Documents whose partial sum cannot reach the lifted floor are dropped, the rest are scored in full.
+4.  The documents with the best partial sums are completed with the postings not read so far, which lifts the floor
+    close to the true k-th score.
+5.  Documents whose partial sum cannot reach the lifted floor are dropped, the rest are completed.
+
+``split`` comes last among join and window keys: it takes few values, and sorting is fast when the first key decides.
 
 Every bound is safe, so the result equals that of scoring all pairs. A query whose floor is unknown or not positive
 (too few matches, or only words so common that their weight is negative) keeps all its terms.
@@ -28,6 +32,7 @@ from .lexical import BUCKETS, LexicalIndex, bucket, saturation
 
 SCORE_DIGITS = 6
 _IDLE_SHARE = 0.75  # idle terms may sum up to this share of the floor: more reads fewer postings, scores more pairs
+DIRECT_LIMIT = 50_000_000  # postings; below this count reading all of them costs less than finding out which to skip
 _SLACK = 1e-5  # covers rounding to SCORE_DIGITS and the order of additions
 
 
@@ -58,7 +63,7 @@ class TfIdf:
 
 
 def query_vectors(queries: DataFrame) -> DataFrame:
-    return term_vectors(queries, "query", ["split", "qid"])
+    return term_vectors(queries, "query", ["qid", "split"])
 
 
 def query_terms(
@@ -73,82 +78,52 @@ def query_terms(
         raise ValueError("model and index disagree on k1 or b")
     firsts = vectors.groupBy("split", "bag").agg(F.min("qid").alias("qid"))
     flat = (
-        vectors.join(firsts.select("split", "qid"), ["split", "qid"], "left_semi")
+        vectors.join(firsts.select("split", "qid"), ["qid", "split"], "left_semi")
         .select("split", "bag", F.explode(F.arrays_zip("terms", "tfs")).alias("_p"))
         .select("split", "bag", F.col("_p.terms").alias("term"), F.col("_p.tfs").alias("qtf"))
     )
-    known = flat.join(index.terms, ["split", "term"])
+    known = flat.join(index.terms, ["term", "split"])
     if max_df_ratio is not None:
         known = known.filter(F.col("df") <= F.lit(max_df_ratio) * F.col("n_docs"))
     weight = model.weight(F.col("df").cast("double"), F.col("n_docs").cast("double"), F.col("qtf").cast("double"))
     return known.select("split", "bag", "term", weight.alias("w"), "n", "lo", "hi")
 
 
-def weight_vectors(terms: DataFrame) -> DataFrame:
-    """Per bag the sorted terms and their weights; as long as the query text allows."""
-    return (
-        terms.groupBy("split", "bag")
-        .agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("_t"))
-        .select("split", "bag", F.col("_t.term").alias("q_terms"), F.col("_t.w").alias("q_weights"))
-    )
-
-
-def pair_scores(pairs: DataFrame, documents: DataFrame, k1: float, b: float) -> DataFrame:
-    """Full scores of given pairs that carry ``q_terms, q_weights``; adds ``score`` and ``overlap``.
-
-    Terms are added in sorted order, so a score does not depend on partitioning.
-    """
-    # Saturations are computed once per document, before documents meet pairs.
-    vectors = documents.select(
-        "split",
-        "docno",
-        "terms",
-        F.transform("tfs", lambda tf: saturation(tf, F.col("length"), F.col("avgdl"), k1, b)).alias("_sats"),
-    )
-    joined = pairs.join(vectors, ["split", "docno"]).withColumn("_common", F.array_intersect("q_terms", "terms"))
-
-    def contribution(term: Column) -> Column:
-        sat = F.get("_sats", F.array_position("terms", term).cast("int") - 1)
-        w = F.get("q_weights", F.array_position("q_terms", term).cast("int") - 1)
-        return w * sat
-
-    total = F.aggregate("_common", F.lit(0.0), lambda acc, term: acc + contribution(term))
+def _full_scores(pairs: DataFrame, terms: DataFrame, postings: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``score, overlap`` to ``keys`` pairs that share a word; ``terms`` are keyed like the pairs' query side."""
+    query_keys = [k for k in keys if k != "docno"]
     return (
-        joined.withColumn("score", F.round(total, SCORE_DIGITS))
-        .withColumn("overlap", F.size("_common").cast("bigint"))
-        .drop("terms", "_sats", "_common", "q_terms", "q_weights")
+        pairs.select(*keys)
+        .join(terms.select(*query_keys, "term", "w"), query_keys)
+        .join(postings, ["docno", "term", "split"])
+        .groupBy(*keys)
+        .agg(F.round(F.sum(F.col("w") * F.col("sat")), SCORE_DIGITS).alias("score"), F.count("*").alias("overlap"))
     )
 
 
-def _score_contents(index: LexicalIndex, pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    return pair_scores(
-        pairs.join(weights, ["split", "bag"]), index.representatives(), index.k1, index.b
-    ).select("split", "bag", "docno", "score")
-
-
 def top_k(scored: DataFrame, group: list[str], k: int) -> DataFrame:
     """First ``k`` rows per group by score, ties by docno; adds ``rank`` from 1. Tasks keep ``k`` before shuffling."""
     order = Window.partitionBy(*group).orderBy(F.col("score").desc(), "docno")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _floors(index: LexicalIndex, terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+def _floors(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     """``split, bag, floor``: the k-th best full score among a few promising documents of each query."""
     # Weights turn negative only above half the documents. At most twice the mean number of distinct words per
     # document can be that common, so this frame is small whatever the corpus size.
     common = index.terms.filter("2 * df > n_docs").select("split", "term", F.lit(True).alias("_common"))
     keen = F.when(F.col("_common"), -F.col("sat")).otherwise(F.col("sat"))
-    by_term = Window.partitionBy("split", "term").orderBy(F.desc("_keen"), "docno")
+    by_term = Window.partitionBy("term", "split").orderBy(F.desc("_keen"), "docno")
     champions = (
         index.saturated_postings()
-        .join(F.broadcast(common), ["split", "term"], "left")
+        .join(F.broadcast(common), ["term", "split"], "left")
         .select("split", "term", "docno", keen.alias("_keen"))
         .withColumn("_place", F.row_number().over(by_term))
         .filter(F.col("_place") <= k)
         .select("split", "term", "docno")
     )
     best = F.when(F.col("w") > 0, F.col("w") * F.col("hi")).otherwise(F.col("w") * F.col("lo"))
-    by_best = Window.partitionBy("split", "bag").orderBy(best.desc(), "term")
+    by_best = Window.partitionBy("bag", "split").orderBy(best.desc(), "term")
     earlier = by_best.rowsBetween(Window.unboundedPreceding, -1)
     # The three heaviest terms, and further ones until a term with k documents of its own is included: then k
     # documents are certain, or the query matches so few that scoring all of them is cheap.
@@ -158,76 +133,75 @@ def _floors(index: LexicalIndex, terms: DataFrame, weights: DataFrame, k: int) -
         .filter((F.col("_place") <= 3) | ~F.col("_filled"))
         .select("split", "bag", "term")
     )
-    seeds = chosen.join(champions, ["split", "term"]).select("split", "bag", "docno").distinct()
-    return _kth_best(_score_contents(index, seeds, weights), k)
+    seeds = chosen.join(champions, ["term", "split"]).select("split", "bag", "docno").distinct()
+    scored = _full_scores(seeds, terms, index.saturated_postings(), ["bag", "docno", "split"])
+    return _kth_best(scored, k)
 
 
 def _lookups(terms: DataFrame, floors: DataFrame) -> DataFrame:
-    """Which buckets of which terms each query must read: ``split, bag, term, w, rho, reach, bucket``.
+    """Which buckets of its terms each query must read: ``split, bag, term, w, from, to, rho, reach, whole``.
 
-    rho    what an unread posting of the term could contribute at most
-    reach  what all idle terms and unread postings together could add to a document at most
+    from, to  the range of buckets to read, empty for an idle term
+    rho       what an unread posting of a live term could contribute at most
+    reach     what all idle terms and unread postings together could add to a document at most
+    whole     whether the range holds all of the term's postings
     """
-    per_bag = Window.partitionBy("split", "bag")
+    per_bag = Window.partitionBy("bag", "split")
     by_frequency = per_bag.orderBy(F.desc("n"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     target = F.col("floor") - F.lit(_SLACK)
     pruned = F.coalesce(F.col("floor") > 2 * _SLACK, F.lit(False))
     positive = F.col("w") > 0
     marked = (
-        terms.join(floors, ["split", "bag"], "left")
+        terms.join(floors, ["bag", "split"], "left")
         .withColumn("_most", F.when(positive, F.col("w") * F.col("hi")).otherwise(0.0))
         .withColumn("_cum", F.sum("_most").over(by_frequency))
         .withColumn("_idle", pruned & (~positive | (F.col("_cum") < target * _IDLE_SHARE)))
         .withColumn("_idle_most", F.sum(F.when(F.col("_idle"), F.col("_most")).otherwise(0.0)).over(per_bag))
         .withColumn("_live_most", F.sum(F.when(F.col("_idle"), 0.0).otherwise(F.col("_most"))).over(per_bag))
-        .filter(~F.col("_idle"))
     )
     # Some live term must contribute at least this share of its largest contribution.
     share = F.when(pruned, F.least((target - F.col("_idle_most")) / F.col("_live_most"), F.lit(1.0))).otherwise(0.0)
-    lowest = bucket(F.col("lo"))
+    lowest, highest = bucket(F.col("lo")), bucket(F.col("hi"))
+    first = F.when(positive, F.greatest(lowest, bucket(F.col("hi") * share - 1e-9))).otherwise(lowest)
     # For a query without a positive floor, a document with negative terms only needs each of them above it.
-    least_bad = F.when(
+    last = F.when(
         (F.col("w") < 0) & F.col("floor").isNotNull(),
-        F.least(bucket(F.col("hi")), bucket(F.greatest(target / F.col("w"), F.lit(0.0)))),
-    ).otherwise(bucket(F.col("hi")))
-    ranged = (
-        marked.withColumn(
-            "_from", F.when(positive, F.greatest(lowest, bucket(F.col("hi") * share - 1e-9))).otherwise(lowest)
-        )
-        .withColumn("_to", F.when(positive, bucket(F.col("hi"))).otherwise(least_bad))
-        .withColumn(
-            "rho",
-            F.when(positive & (F.col("_from") > lowest), F.col("w") * F.col("_from") / F.lit(float(BUCKETS)))
-            .otherwise(0.0),
-        )
-        .withColumn(
-            "reach", F.when(pruned, F.col("_idle_most") + F.sum("rho").over(per_bag)).otherwise(0.0)
-        )
-        .filter(F.col("_from") <= F.col("_to"))
-    )
-    return ranged.select(
-        "split", "bag", "term", "w", "rho", "reach", F.explode(F.sequence("_from", "_to")).alias("bucket")
+        F.least(highest, bucket(F.greatest(target / F.col("w"), F.lit(0.0)))),
+    ).otherwise(highest)
+    unread = F.when(
+        ~F.col("_idle") & positive & (F.col("from") > lowest), F.col("w") * F.col("from") / F.lit(float(BUCKETS))
+    ).otherwise(0.0)
+    reach = F.when(pruned, F.col("_idle_most") + F.sum("rho").over(per_bag)).otherwise(0.0)
+    return (
+        marked.withColumn("from", F.when(F.col("_idle"), 1).otherwise(first))
+        .withColumn("to", F.when(F.col("_idle"), 0).otherwise(last))
+        .withColumn("rho", unread)
+        .withColumn("reach", reach)
+        .withColumn("whole", (F.col("from") <= lowest) & (F.col("to") >= highest))
+        .select("split", "bag", "term", "w", "from", "to", "rho", "reach", "whole")
     )
 
 
-def candidates(index: LexicalIndex, terms: DataFrame, floors: DataFrame) -> DataFrame:
-    """Every pair that may still be among the hits: ``split, bag, docno, partial, reach``.
+def candidates(index: LexicalIndex, lookups: DataFrame) -> DataFrame:
+    """Every pair that may still be among the hits: ``split, bag, docno, partial, bound``.
 
-    ``partial + reach`` is an upper bound of the pair's score.
+    ``partial`` sums the postings read, ``bound`` is the most the pair can score.
     """
     read = index.saturated_postings().withColumn("bucket", bucket(F.col("sat")))
+    given = F.col("w") * F.col("sat")
     return (
-        _lookups(terms, floors)
-        .join(read, ["split", "term", "bucket"])
+        lookups.filter(F.col("from") <= F.col("to"))
+        .withColumn("bucket", F.explode(F.sequence("from", "to")))
+        .join(read, ["term", "bucket", "split"])
         .groupBy("split", "bag", "docno")
-        .agg(F.sum(F.col("w") * F.col("sat") - F.col("rho")).alias("partial"), F.max("reach").alias("reach"))
+        .agg(F.sum(given).alias("partial"), (F.sum(given - F.col("rho")) + F.max("reach")).alias("bound"))
     )
 
 
 def _kth_best(scored: DataFrame, k: int) -> DataFrame:
     """``split, bag, floor`` of the bags with at least ``k`` scored documents."""
     return (
-        top_k(scored, ["split", "bag"], k)
+        top_k(scored, ["bag", "split"], k)
         .groupBy("split", "bag")
         .agg(F.count("*").alias("_found"), F.min("score").alias("floor"))
         .filter(F.col("_found") == k)
@@ -235,30 +209,68 @@ def _kth_best(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _survivors(index: LexicalIndex, found: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    promising = top_k(found.withColumnRenamed("partial", "score"), ["split", "bag"], 2 * k)
-    lifted = _kth_best(_score_contents(index, promising.select("split", "bag", "docno"), weights), k)
-    bound = F.col("partial") + F.col("reach")
+def _completed(index: LexicalIndex, found: DataFrame, lookups: DataFrame) -> DataFrame:
+    """Add the postings that were not read to ``partial``: ``split, bag, docno, score``."""
+    open_terms = lookups.filter(~F.col("whole")).select("split", "bag", "term", "w", "from", "to")
+    rest = (
+        found.select("split", "bag", "docno")
+        .join(open_terms, ["bag", "split"])
+        .join(index.saturated_postings(), ["docno", "term", "split"])
+        .filter(~bucket(F.col("sat")).between(F.col("from"), F.col("to")))
+        .select("split", "bag", "docno", (F.col("w") * F.col("sat")).alias("partial"))
+    )
     return (
-        found.join(lifted, ["split", "bag"], "left")
-        .filter(F.col("floor").isNull() | (bound >= F.col("floor") - F.lit(_SLACK)))
-        .select("split", "bag", "docno")
+        found.select("split", "bag", "docno", "partial")
+        .unionByName(rest)
+        .groupBy("split", "bag", "docno")
+        .agg(F.round(F.sum("partial"), SCORE_DIGITS).alias("score"))
     )
 
 
-def hits_by_bag(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
+def _survivors(index: LexicalIndex, found: DataFrame, lookups: DataFrame, k: int) -> DataFrame:
+    """The candidates whose bound reaches the k-th best score of the most promising ones."""
+    promising = top_k(found.withColumn("score", F.col("partial")), ["bag", "split"], 2 * k)
+    lifted = _kth_best(_completed(index, promising, lookups), k)
+    return found.join(lifted, ["bag", "split"], "left").filter(
+        F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - F.lit(_SLACK))
+    )
+
+
+def _direct_contents(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """All scores, for query sets whose terms have few postings altogether."""
+    return (
+        terms.select("split", "bag", "term", "w")
+        .join(index.saturated_postings(), ["term", "split"])
+        .groupBy("split", "bag", "docno")
+        .agg(F.round(F.sum(F.col("w") * F.col("sat")), SCORE_DIGITS).alias("score"))
+    )
+
+
+def _pruned_contents(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
+    """Scores of all documents that can be among the first ``k``."""
+    lookups = ws.stage(_lookups(terms, _floors(index, terms, k)), "lookups")
+    found = ws.stage(candidates(index, lookups), "candidates")
+    survivors = ws.stage(_survivors(index, found, lookups, k), "survivors")
+    return _completed(index, survivors, lookups)
+
+
+def hits_by_bag(
+    ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int, direct_limit: int = DIRECT_LIMIT
+) -> DataFrame:
     """``split, bag, docno, score, rank`` of the first ``k`` documents per query bag."""
     if k > index.depth:
         raise ValueError(f"the index numbers copies up to {index.depth}; build it with depth >= {k}")
-    weights = ws.stage(weight_vectors(terms), "query-weights")
-    floors = ws.stage(_floors(index, terms, weights, k), "floors")
-    found = ws.stage(candidates(index, terms, floors), "candidates")
-    contents = top_k(_score_contents(index, _survivors(index, found, weights, k), weights), ["split", "bag"], k).drop("rank")
+    postings_to_read = terms.agg(F.sum("n")).first()[0] or 0
+    if postings_to_read <= direct_limit:
+        scored = _direct_contents(index, terms)
+    else:
+        scored = _pruned_contents(ws, index, terms, k)
+    contents = top_k(scored, ["bag", "split"], k).drop("rank")
     # k bags suffice: each holds at least one document that precedes those of later bags.
     documents = contents.withColumnRenamed("docno", "rep").join(
-        index.copies.select("split", "rep", "docno"), ["split", "rep"]
+        index.copies.select("split", "rep", "docno"), ["rep", "split"]
     )
-    return top_k(documents.drop("rep"), ["split", "bag"], k)
+    return top_k(documents.drop("rep"), ["bag", "split"], k)
 
 
 def retrieve(
@@ -268,16 +280,17 @@ def retrieve(
     model: Bm25 | TfIdf = Bm25(),
     k: int = 9,
     max_df_ratio: float | None = None,
+    direct_limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
     """``split, qid, docno, rank, score`` of the first ``k`` documents per query; ties go to the smaller docno."""
     vectors = ws.stage(query_vectors(queries), "query-vectors")
     terms = ws.stage(query_terms(index, vectors, model, max_df_ratio), "query-terms")
-    answered = hits_by_bag(ws, index, terms, k)
+    answered = hits_by_bag(ws, index, terms, k, direct_limit)
     # One row per bag on this side, so that many equal queries do not multiply the other one before the join.
     lists = answered.groupBy("split", "bag").agg(F.collect_list(F.struct("docno", "rank", "score")).alias("_hits"))
     return (
         vectors.select("split", "qid", "bag")
-        .join(lists, ["split", "bag"])
+        .join(lists, ["bag", "split"])
         .select("split", "qid", F.inline("_hits"))
     )
 
@@ -291,11 +304,8 @@ def score_pairs(
 ) -> DataFrame:
     """Add ``score`` and ``overlap`` to given (split, qid, docno) rows; 0 where no word is shared."""
     vectors = ws.stage(query_vectors(queries), "query-vectors")
-    weights = weight_vectors(query_terms(index, vectors, model))
-    of_query = vectors.select("split", "qid", "bag").join(weights, ["split", "bag"]).drop("bag")
-    keyed = pairs.join(of_query, ["split", "qid"], "left")
-    empty = {
-        "q_terms": F.coalesce("q_terms", F.array().cast("array<string>")),
-        "q_weights": F.coalesce("q_weights", F.array().cast("array<double>")),
-    }
-    return pair_scores(keyed.withColumns(empty), index.documents, index.k1, index.b)
+    terms = query_terms(index, vectors, model)
+    of_query = vectors.select("split", "qid", "bag").join(terms, ["bag", "split"])
+    # The copies that were not numbered have postings, too: a given pair may name any document.
+    scored = _full_scores(pairs, of_query, index.saturated_postings(all_copies=True), ["qid", "docno", "split"])
+    return pairs.join(scored, ["qid", "docno", "split"], "left").fillna({"score": 0.0, "overlap": 0})

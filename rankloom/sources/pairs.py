@@ -52,12 +52,25 @@ def drop_incomplete(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.filter(complete), dropped
 
 
+def read_rows(spark: SparkSession, path: str, *key: str) -> DataFrame:
+    """Read parquet; where there are fewer files than cores, spread the rows by ``key`` first.
+
+    One small file is one task, and per-row text work would then use one core. Large inputs are left as they are.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    status = path_status(spark, path)
+    if status and status["files"] < cores and status["bytes"] < cores * (128 << 20):
+        return df.repartition(cores, *key)
+    return df
+
+
 def conversation_pairs(spark: SparkSession, sf_dir: str, by_split: bool = False) -> DataFrame:
     """Every user turn with the assistant turn that follows it, as ``split, conv_id, turn, context, response``.
 
     An equi-join on (conversation, turn) spreads the turns of one very long conversation over all tasks.
     """
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = read_rows(spark, f"{sf_dir}/conversations.parquet", "turn", "conv_id")
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("context"))
     answered = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
