@@ -473,15 +473,19 @@ def grid_smoothing(s: Study) -> DataFrame:
     both = reduce(
         DataFrame.unionByName, [s.groups(m).withColumn("method", F.lit(m)) for m in grids.METHODS]
     )
-    plans = reduce(
-        DataFrame.unionByName,
-        [
-            training_plan(both, BATCH, seed, epochs=EPOCHS, group=["split", "method"])
-            .groupBy("split", "method", "label", "score", (F.col("seen") / F.col("total") < 0.5).alias("early"))
-            .agg(F.count("*").alias("n"))
-            .withColumn("plan_seed", F.lit(seed))
-            for seed in grids.SEEDS
-        ],
+    seeded = both.withColumn("plan_seed", F.explode(F.array(*[F.lit(seed) for seed in grids.SEEDS])))
+    plans = (
+        training_plan(
+            seeded,
+            BATCH,
+            F.col("plan_seed").cast("string"),
+            epochs=EPOCHS,
+            group=["split", "method", "plan_seed"],
+        )
+        .groupBy(
+            "split", "method", "plan_seed", "label", "score", (F.col("seen") / F.col("total") < 0.5).alias("early")
+        )
+        .agg(F.count("*").alias("n"))
     )
     runs = grids.attach_grid(plans, grids.main_grid()).filter("method = train_method AND plan_seed = seed")
     staged = F.when(F.col("early"), F.col("eps")).otherwise(0.0)

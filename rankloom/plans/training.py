@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import shuffled_positions
@@ -14,7 +14,7 @@ from ..functions.smoothing import bce_with_logits, epsilon, smooth_weak
 def training_plan(
     rows: DataFrame,
     batch_size: int = 32,
-    seed: int = 0,
+    seed: Column | int = 0,
     total: int | None = None,
     epochs: float | None = None,
     group: Sequence[str] = ("split",),

@@ -53,13 +53,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables written once and read back: they cut lineage, survive lost executors and keep column pruning."""
+    """Tables written once and read back: they cut lineage, survive lost executors and keep column pruning.
+
+    The default root belongs to one application; name a ``root`` to find tables again in a later one.
+    """
 
     _default: dict[str, Workspace] = {}
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = configure(spark)
-        self.root = root or f"{shared_folder(spark)}/rankloom"
+        self.root = root or f"{shared_folder(spark)}/rankloom/{spark.sparkContext.applicationId}"
 
     @classmethod
     def of(cls, spark: SparkSession) -> Workspace:
