@@ -13,7 +13,7 @@ from ..operators.relations import Relations, relations, with_ids
 from ..operators.retrieval import score_pairs
 from ..plans.training import training_plan
 from ..session import Workspace, path_status
-from ..sources.pairs import conversation_pairs, read_rows
+from ..sources.pairs import conversation_pairs, one_split, read_rows
 
 K = 9
 BATCH = 32
@@ -50,10 +50,9 @@ class Study:
         """``documents`` as corpus, ``benchmark`` as queries."""
         documents = read_rows(self.spark, f"{self.sf_dir}/documents.parquet", "doc_id")
         items = self.spark.read.parquet(f"{self.sf_dir}/benchmark.parquet")
-        everything = F.lit("all").alias("split")
         return Relations(
-            items.select(everything, F.concat(F.lit("q"), "item_id").alias("qid"), F.col("text").alias("query")),
-            documents.select(everything, F.concat(F.lit("d"), "doc_id").alias("docno"), "text"),
+            items.select(one_split("item_id").alias("split"), F.concat(F.lit("q"), "item_id").alias("qid"), F.col("text").alias("query")),
+            documents.select(one_split("doc_id").alias("split"), F.concat(F.lit("d"), "doc_id").alias("docno"), "text"),
             None,
         )
 

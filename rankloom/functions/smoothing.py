@@ -42,7 +42,7 @@ def _beta_cdf_series(x: Column, a: float, b: float) -> Column:
     """Power series with positive terms, on the side of the mean where it falls from the start."""
     ln_beta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
     turn = (a + 1.0) / (a + b + 2.0)
-    n_terms = math.ceil(50 * (a + b + 2.0) / min(a + 1.0, b + 1.0))
+    n_terms = math.ceil(50 * (a + b + 2.0) / min(a + 1.0, b + 1.0) + 20 * math.sqrt(a + b))
 
     def lower(y: Column, p: float, q: float) -> Column:
         def add(acc: Column, n: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import split_of
@@ -65,6 +65,11 @@ def read_rows(spark: SparkSession, path: str, *key: str) -> DataFrame:
     return df
 
 
+def one_split(key: str) -> Column:
+    """The split name ``all``, tied to a column: joins on a constant would lose their key to constant folding."""
+    return F.when(F.col(key).isNotNull(), "all")
+
+
 def conversation_pairs(spark: SparkSession, sf_dir: str, by_split: bool = False) -> DataFrame:
     """Every user turn with the assistant turn that follows it, as ``split, conv_id, turn, context, response``.
 
@@ -75,7 +80,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, by_split: bool = False)
     answered = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
     )
-    split = split_of(F.col("conv_id").cast("string")) if by_split else F.lit("all")
+    split = split_of(F.col("conv_id").cast("string")) if by_split else one_split("conv_id")
     return asked.join(answered, ["conv_id", "turn"]).select(
         split.alias("split"), "conv_id", "turn", "context", "response"
     )
