@@ -19,9 +19,8 @@ def sequential_ids(ws: Workspace, df: DataFrame, keys: Sequence[str], out: str =
     Range partitions are sorted on their own; the counts of earlier partitions give each its first number. The
     sorted rows are written once, since a recomputed range partitioning might draw other bounds.
     """
-    partitions = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        df.repartitionByRange(partitions, *keys)
+        df.repartitionByRange(*keys)  # adaptive execution may merge neighbouring ranges, which keeps their order
         .sortWithinPartitions(*keys)
         .withColumn("_slot", F.monotonically_increasing_id())
     )
