@@ -388,6 +388,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY split, conv_id, turn) AS n FROM pair
     "library_term_stats": sql("lib_term_stats", "SELECT * FROM lib_term_stats"),
     "library_topk": sql("lib_bm25_hits", "SELECT * FROM lib_bm25_hits"),
     "bm25_topk": sql("bm25_hits", f"SELECT * FROM bm25_hits WHERE rank <= {K}"),
+    "bm25_topk_pruned": sql("bm25_hits", f"SELECT * FROM bm25_hits WHERE rank <= {K}"),
     "bm25_scores": sql("by_method", "SELECT DISTINCT split, qid, docno, logit AS score FROM by_method"),
     "tfidf_scores": sql("tfidf_hits", f"SELECT * FROM tfidf_hits WHERE rank <= {K}"),
     "minmax_scores": sql(

@@ -230,6 +230,12 @@ def bm25_topk(s: Study) -> DataFrame:
     return retrieve(s.ws, s.index, s.rel.queries, k=K)
 
 
+@query
+def bm25_topk_pruned(s: Study) -> DataFrame:
+    """The same hits by the plan for large inputs, whatever the size."""
+    return retrieve(s.ws, s.index, s.rel.queries, k=K, direct_limit=0)
+
+
 @query
 def bm25_scores(s: Study) -> DataFrame:
     """Raw scores of the pairs that any later step looks at: the groups' negatives and relevant documents."""

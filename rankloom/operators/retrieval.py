@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import term_vectors
 from ..session import Workspace
-from .lexical import BUCKETS, LexicalIndex, bucket, saturation
+from .lexical import BUCKETS, LexicalIndex, bucket
 
 SCORE_DIGITS = 6
 _IDLE_SHARE = 0.75  # idle terms may sum up to this share of the floor: more reads fewer postings, scores more pairs
