@@ -13,14 +13,12 @@ one by one, repeated rows stay, extra columns are not read.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import by_batch, small_batches, text_of
-from rankloom.llm.library import piece_table, tokenizer
+from rankloom.llm.library import whole_library
 
 SIZE = 65_536
 OVERLAP = 512
@@ -75,11 +73,6 @@ def count_in_chunks(library, text: str, size: int = SIZE, overlap: int = OVERLAP
     return total + len(left.starts) - skip
 
 
-@lru_cache(maxsize=2)
-def whole_library(path: str):
-    return tokenizer(path)
-
-
 def counted(
     docs: DataFrame, path: str, limit: int = 1024, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id"
 ) -> DataFrame:
@@ -88,10 +81,10 @@ def counted(
     schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def work(batch: pa.RecordBatch) -> dict:
-        table = piece_table(path, True)
+        library, texts = whole_library(path), batch.column(1).to_pylist()
+        whole = iter(library.encode_batch_fast([t for t in texts if len(t) <= size], add_special_tokens=False))
         counts = [
-            table.count(t) if len(t) <= size else count_in_chunks(whole_library(path), t, size, overlap)
-            for t in batch.column(1).to_pylist()
+            len(next(whole).ids) if len(t) <= size else count_in_chunks(library, t, size, overlap) for t in texts
         ]
         return {
             id_col: batch.column(0),

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import by_batch, small_batches, text_of
-from rankloom.llm.library import piece_table
+from rankloom.llm.library import ids_of, whole_library
 from rankloom.session import shared_folder
 
 MAGIC = int.from_bytes(b"RLT1", "little")
@@ -148,8 +148,7 @@ def write(
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_table(tokenizer_path)
-        bits = width or width_of(table.library.get_vocab_size(with_added_tokens=True))
+        bits = width or width_of(whole_library(tokenizer_path).get_vocab_size(with_added_tokens=True))
         names, arrays, held, block, before, part = [], [], 0, 0, 0, 0
 
         def closed() -> pa.RecordBatch:
@@ -159,14 +158,14 @@ def write(
 
         for batch in batches:
             for doc, text, part in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                ids = table.ids(text)
+                ids = ids_of(tokenizer_path, text)
                 ids.append(end_id)
                 if held and held + len(ids) > block_ids:
                     yield closed()
                     before += held
                     names, arrays, held, block = [], [], 0, block + 1
                 names.append(doc)
-                arrays.append(np.frombuffer(ids, np.uint32))
+                arrays.append(np.array(ids, np.uint32))
                 held += len(ids)
         if held:
             yield closed()
