@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, counting, packing, urls
+from rankloom.llm import bpe, counting, decontam, orderhash, packing, rules, urls
 from rankloom.llm.common import read
 
 URL_ALLOW = ("com/", "www.example.com/en/")
@@ -27,13 +27,28 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(files)
 
 
+def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.counted(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judged(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.classes(spark, read(spark, sf_dir, "documents"))
+
+
 LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_transducer": op1_bpe_transducer,
     "op2_url_filter": op2_url_filter,
     "op3_token_files": op3_token_files,
+    "op4_decision_list": op4_decision_list,
     "op5_token_counts": op5_token_counts,
+    "op9_positional_index": op9_positional_index,
+    "op10_order_minhash": op10_order_minhash,
 }
