@@ -8,7 +8,7 @@ The state never exceeds the lookahead, however long the input is.
 
 ``Encoder`` puts the file's normaliser and pre-tokeniser in front. Blanks end every pre-token of the supported files that
 drop white space, so a text is read blank by blank; short pieces, which lie inside the lookahead as a whole, are merged
-directly and remembered in a bounded table. ``Decoder`` turns ids back into text with an incremental byte-to-text state
+directly, those of a batch together, and remembered in a bounded table. ``Decoder`` turns ids back into text with an incremental byte-to-text state
 machine that holds at most three bytes, or into the joined token strings if the file names no decoder.
 
 Defined results: null and empty texts have no tokens and decode to the empty text; strings of special tokens inside a
@@ -23,9 +23,11 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,8 +38,10 @@ from rankloom.llm.common import by_batch, small_batches, text_of
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-DIRECT = 64  # pieces of so many symbols are merged at once; longer ones are streamed
-REMEMBERED = 250_000  # pieces whose ids a worker keeps
+DIRECT = 64  # pieces of so many characters are merged at once; longer ones are streamed
+SHORT = 24  # symbols of words that are merged many at a time
+REMEMBERED = 400_000  # pieces whose ids a worker keeps
+NONE = np.int32(1 << 30)
 
 
 def byte_alphabet() -> list[str]:
@@ -107,6 +111,74 @@ class Merges:
         return ids
 
 
+class ManyMerges:
+    """``Merges.apply`` of many short words at once: one row per word, the best rule of every row in each round."""
+
+    def __init__(self, merges: Merges, bits: int = 20):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+        self.made = np.array([*merges.made, 0], np.int32)
+        pairs = np.array([(a << 32) | b for a, b in merges.ranks], np.int64)
+        for key, slot, rank in zip(pairs.tolist(), self._slot(pairs).tolist(), merges.ranks.values()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.values[slot] = key, rank
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = (left.astype(np.int64) << 32) | right
+        slot = self._slot(pairs)
+        out = np.full(len(pairs), NONE, np.int32)
+        todo = np.arange(len(pairs))
+        while len(todo):
+            held = self.keys[slot]
+            hit = held == pairs
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (held >= 0)
+            todo, pairs, slot = todo[on], pairs[on], (slot[on] + 1) & self.mask
+        return out
+
+    def apply(self, words: list[list[int]]) -> list[tuple[int, ...]]:
+        size = np.array([len(w) for w in words])
+        width = int(size.max()) + 1
+        ids = np.full((len(words), width), -1, np.int32)
+        ids[np.arange(width) < size[:, None]] = np.fromiter(chain.from_iterable(words), np.int32, int(size.sum()))
+        after = np.minimum(np.arange(1, width + 1), width - 1)[None, :].repeat(len(words), 0)
+        before = np.maximum(np.arange(-1, width - 1), 0)[None, :].repeat(len(words), 0)
+        rank = np.full(ids.shape, NONE, np.int32)
+        inside = np.arange(width - 1) < size[:, None] - 1
+        rank[:, :-1][inside] = self._rank(ids[:, :-1][inside], ids[:, 1:][inside])
+        rows = np.arange(len(words))
+        while len(rows):
+            at = rank[rows].argmin(axis=1)
+            best = rank[rows, at]
+            on = best < NONE
+            rows, at, best = rows[on], at[on], best[on]
+            if not len(rows):
+                break
+            gone = after[rows, at]
+            ids[rows, at] = self.made[best]
+            ids[rows, gone] = -1
+            rank[rows, gone] = NONE
+            then = after[rows, gone]
+            after[rows, at] = then
+            before[rows, then] = at
+            ahead = ids[rows, then] >= 0
+            fresh = np.full(len(rows), NONE, np.int32)
+            fresh[ahead] = self._rank(ids[rows[ahead], at[ahead]], ids[rows[ahead], then[ahead]])
+            rank[rows, at] = fresh
+            behind = at > 0
+            r, k = rows[behind], at[behind]
+            p = before[r, k]
+            rank[r, p] = self._rank(ids[r, p], ids[r, k])
+        alive = ids >= 0
+        ends = np.cumsum(alive.sum(axis=1)).tolist()
+        flat = ids[alive].tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+
+
 def sufficient_lookahead(merges: Merges) -> int:
     """Symbols after a token's end that can still change it, at most.
 
@@ -195,26 +267,6 @@ class Transducer:
         return self._emit(len(self.symbols))
 
 
-class Remembered(dict):
-    """A table of at most two generations: when the young one is full it becomes the old one; what is used stays."""
-
-    def __init__(self):
-        super().__init__()
-        self.old: dict = {}
-
-    def recall(self, key: str) -> tuple[int, ...] | None:
-        found = self.old.get(key)
-        if found is not None:
-            self.keep(key, found)
-        return found
-
-    def keep(self, key: str, value: tuple[int, ...]) -> None:
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class Encoder:
     """Ids of texts as the tokenizer file defines them, special tokens inside texts included."""
 
@@ -232,11 +284,13 @@ class Encoder:
         self.drops_blanks = bool(split) and split["behavior"] == "Removed"
         self.words = regex.compile(pattern.replace(r"[^\s", rf"[^{SPACES}").replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
         # Letters of a later Unicode version than the library's are no letters to it: matched as a currency sign instead.
-        later = [c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(0x80, 0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))) if unicodedata.category(c) == "Cn"]
-        self.later = regex.compile("[" + "".join(later) + "]") if later else None
+        beyond = "".join(map(chr, range(0x80, 0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+        self.later = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", beyond) if unicodedata.category(c) == "Cn")
         self.blanks = regex.compile(f"[{SPACES}]+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
-        self.pieces, self.known = Remembered(), Remembered()
+        self.many = ManyMerges(merges)
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words_seen: dict[str, tuple[int, ...]] = {}
 
     def _normal(self, text: str) -> str:
         if self.nfc and not text.isascii():
@@ -246,9 +300,10 @@ class Encoder:
         return text
 
     def _split(self, text: str) -> list[str]:
-        if self.later is None or text.isascii() or not self.later.search(text):
+        if text.isascii() or self.later.isdisjoint(text):
             return self.words.findall(text)
-        return [text[m.start() : m.end()] for m in self.words.finditer(self.later.sub("¤", text))]
+        shown = "".join("¤" if c in self.later else c for c in text)
+        return [text[m.start() : m.end()] for m in self.words.finditer(shown)]
 
     def _symbols(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
@@ -257,51 +312,57 @@ class Encoder:
         return out
 
     def _word(self, word: str) -> tuple[int, ...]:
-        if len(word) > DIRECT:
-            machine, out = Transducer(self.merges), []
-            for symbol in self._symbols(word):
-                out += machine.push(symbol)
-            return tuple(out + machine.finish())
-        found = self.known.get(word) or self.known.recall(word)
-        if found is None:
-            found = tuple(self.merges.apply(self._symbols(word)))
-            self.known.keep(word, found)
-        return found
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        found = self.pieces.recall(piece)
-        if found is not None:
-            return found
-        parts = self.special.split(piece) if self.special else [piece]
-        out: list[int] = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self.merges.special[part])
-            else:
-                for word in self._split(self._normal(part)):
-                    out += self._word(word)
-        found = tuple(out)
-        if len(piece) <= DIRECT:
-            self.pieces.keep(piece, found)
-        return found
+        symbols = self._symbols(word)
+        if len(word) <= DIRECT:
+            return tuple(self.merges.apply(symbols))
+        machine, out = Transducer(self.merges), []
+        for symbol in symbols:
+            out += machine.push(symbol)
+        return tuple(out + machine.finish())
+
+    def _parts(self, piece: str) -> list[str | int]:
+        """Words and ids of special tokens of a piece."""
+        if piece.isascii() and piece.isalpha():
+            return [piece.lower() if self.lower else piece]
+        out: list[str | int] = []
+        for k, part in enumerate(self.special.split(piece) if self.special else [piece]):
+            out += [self.merges.special[part]] if k % 2 else self._split(self._normal(part))
+        return out
 
-    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids piece by piece."""
+    def learn(self, texts: list[list[str]]) -> None:
+        """Ids of the pieces not seen yet, the short words of all of them at once."""
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        if len(self.words_seen) > REMEMBERED:
+            self.words_seen.clear()
+        parts = {p: self._parts(p) for p in set(chain.from_iterable(texts)).difference(self.pieces)}
+        known = self.words_seen
+        fresh = {w for found in parts.values() for w in found if isinstance(w, str)}.difference(known)
+        symbols = {w: self._symbols(w) for w in fresh if len(w) <= SHORT}
+        short = {w: x for w, x in symbols.items() if len(x) <= SHORT}
+        if short:
+            known.update(zip(short, self.many.apply([*short.values()])))
+        long = {w: self._word(w) for w in fresh.difference(short)}
+        for piece, found in parts.items():
+            ids: list[int] = []
+            for part in found:
+                ids += (part,) if isinstance(part, int) else known.get(part) or long[part]
+            self.pieces[piece] = tuple(ids)
+
+    def _cut(self, text: str) -> list[str]:
         if not self.drops_blanks:
-            pieces: Iterable[str] = [text]
-        elif any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() takes these for blanks
-            pieces = filter(None, self.blanks.split(text))
-        else:
-            pieces = text.split()
-        known = self.pieces
-        for piece in pieces:
-            yield known.get(piece) or self._piece(piece)
+            return [text]
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() takes these for blanks
+            return [*filter(None, self.blanks.split(text))]
+        return text.split()
+
+    def encode_all(self, texts: list[str]) -> list[array]:
+        cut = [*map(self._cut, texts)]
+        self.learn(cut)
+        return [array("I", chain.from_iterable(map(self.pieces.__getitem__, pieces))) for pieces in cut]
 
     def encode(self, text: str) -> array:
-        ids = array("I")
-        for part in self.stream(text):
-            ids.extend(part)
-        return ids
+        return self.encode_all([text])[0]
 
 
 class Decoder:
@@ -356,8 +417,7 @@ def coded(docs: DataFrame, path: str, id_col: str = "doc_id", keep_text: bool =
         encoder = coder(path)
         out: dict[str, list] = {f.name: [] for f in fields}
         out[id_col] = batch.column(0)
-        for text in batch.column(1).to_pylist():
-            ids = encoder.encode(text)
+        for ids in encoder.encode_all(batch.column(1).to_pylist()):
             decoder = Decoder(encoder.merges)
             shown = decoder.feed(ids) + decoder.finish()
             back = Decoder(encoder.merges)
