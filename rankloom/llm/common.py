@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -49,3 +50,16 @@ def by_batch(work: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Calla
                 yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in schema], schema=schema)
 
     return run
+
+
+def dropped(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more, and lets Spark's cleaner free the shuffles behind them."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for frame in frames:
+        for file in frame.inputFiles()[:1]:
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getName().startswith("llm-"):
+                path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()

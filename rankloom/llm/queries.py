@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, counting, decontam, orderhash, packing, rules, urls
+from rankloom.llm import bpe, counting, decontam, orderhash, packing, rules, suffixes, urls
 from rankloom.llm.common import read
 
 URL_ALLOW = ("com/", "www.example.com/en/")
@@ -35,6 +35,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.counted(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(spark, read(spark, sf_dir, "documents"), length=400)
+
+
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
 
@@ -49,6 +53,7 @@ LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_decision_list": op4_decision_list,
     "op5_token_counts": op5_token_counts,
+    "op6_repeated_strings": op6_repeated_strings,
     "op9_positional_index": op9_positional_index,
     "op10_order_minhash": op10_order_minhash,
 }
