@@ -398,7 +398,7 @@ def coder(path: str) -> Encoder:
     return Encoder(Merges(path))
 
 
-def coded(docs: DataFrame, path: str, id_col: str = "doc_id", keep_text: bool = False) -> DataFrame:
+def coded(docs: DataFrame, path: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Encodes and decodes every text: id, n_tokens, ids_sha256, decoded_sha256, n_text_chars, and ids if asked for.
 
     ``path`` is a tokenizer file at the same place on every machine. Nothing is shuffled.
@@ -411,7 +411,7 @@ def coded(docs: DataFrame, path: str, id_col: str = "doc_id", keep_text: bool =
         pa.field("ids_sha256", pa.string()),
         pa.field("decoded_sha256", pa.string()),
         pa.field("n_text_chars", pa.int64()),
-    ] + ([pa.field("ids", pa.list_(pa.int64())), pa.field("decoded", pa.string())] if keep_text else [])
+    ] + ([pa.field("ids", pa.list_(pa.int32()))] if keep_ids else [])
 
     def work(batch: pa.RecordBatch) -> dict:
         encoder = coder(path)
@@ -425,12 +425,11 @@ def coded(docs: DataFrame, path: str, id_col: str = "doc_id", keep_text: bool =
             out["ids_sha256"].append(hashlib.sha256(ids.tobytes()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest())
             out["n_text_chars"].append(len(back.text(ids)) + len(back.finish()))
-            if keep_text:
-                out["ids"].append(list(ids))
-                out["decoded"].append(shown)
+            if keep_ids:
+                out["ids"].append(np.frombuffer(ids, np.int32))
         return out
 
     schema = pa.schema(fields)
     types = {pa.int64(): "bigint", pa.string(): "string"}
-    ddl = ", ".join(f"{f.name} {types.get(f.type, 'array<bigint>')}" for f in fields)
+    ddl = ", ".join(f"{f.name} {types.get(f.type, 'array<int>')}" for f in fields)
     return docs.select(docs[id_col].cast("bigint").alias(id_col), text_of().alias("text")).mapInArrow(by_batch(work, schema), ddl)

@@ -146,3 +146,13 @@ def judged(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = 1
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns kept."""
+    _, found = matches(spark, docs, items, size)
+    bad = found.where("exact").select(F.col("doc_id").alias("bad_doc"), F.col("mark").alias("bad_mark")).distinct()
+    clean = docs.withColumn("hit_mark", F.xxhash64(text_of())).join(
+        bad, F.col("doc_id").eqNullSafe(F.col("bad_doc")) & (F.col("hit_mark") == F.col("bad_mark")), "left_anti"
+    )
+    return clean.select(*[docs[c] for c in docs.columns])

@@ -235,10 +235,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         roots = fresh.select("node", "root")
 
 
-def classes(
-    spark: SparkSession, docs: DataFrame, least: float = LEAST, picks: int = PICKS, bands: int = BANDS
-) -> DataFrame:
-    """doc_id, class_id, n_texts (different texts of the class), is_first (the one document that stays) of every row."""
+def classed(
+    spark: SparkSession, docs: DataFrame, least: float, picks: int, bands: int
+) -> tuple[DataFrame, DataFrame]:
+    """The rows' ids and text keys, and the texts (key, first_doc) with their root."""
     small_batches(spark)
     raw = staged(spark, sketched(docs, picks, bands), "sketched")
     nodes = staged(
@@ -248,9 +248,30 @@ def classes(
         "nodes",
     )
     roots = components(spark, links(spark, docs, nodes, least))
-    named = nodes.select("node", "key", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "key", "first_doc").join(roots, "node", "left")
+    return raw.select("doc_id", "key"), named.select("key", "first_doc", F.coalesce("root", "node").alias("root"))
+
+
+def classes(
+    spark: SparkSession, docs: DataFrame, least: float = LEAST, picks: int = PICKS, bands: int = BANDS
+) -> DataFrame:
+    """doc_id, class_id, n_texts (different texts of the class) of every row."""
+    rows, named = classed(spark, docs, least, picks, bands)
     heads = named.groupBy("root").agg(F.min("first_doc").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
     by_key = named.join(heads, "root").select("key", "class_id", "n_texts")
-    return raw.select("doc_id", "key").join(by_key, "key").select(
-        "doc_id", "class_id", "n_texts", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("is_first")
-    )
+    return rows.join(by_key, "key").select("doc_id", "class_id", "n_texts")
+
+
+def deduplicated(
+    spark: SparkSession, docs: DataFrame, least: float = LEAST, picks: int = PICKS, bands: int = BANDS
+) -> DataFrame:
+    """One row of ``docs`` for each class, that of the smallest document id (null ids last), all columns kept."""
+    _, named = classed(spark, docs, least, picks, bands)
+    first = F.min(F.struct(F.col("first_doc").isNull().alias("unnamed"), "first_doc", "key")).alias("h")
+    heads = named.groupBy("root").agg(first).select(F.col("h.key").alias("h_key"), F.col("h.first_doc").alias("h_doc"))
+    columns = [docs[c] for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), docs["doc_id"].cast("bigint").alias("h_doc"), text_key().alias("h_key"))
+    met = rows.alias("r").join(
+        heads.alias("h"), (F.col("r.h_key") == F.col("h.h_key")) & F.col("r.h_doc").eqNullSafe(F.col("h.h_doc"))
+    ).select("r.row", "r.h_key", "r.h_doc")
+    return met.dropDuplicates(["h_key", "h_doc"]).select("row.*")

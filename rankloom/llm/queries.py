@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, counting, decontam, orderhash, packing, rules, suffixes, urls
+from rankloom.llm import bpe, chains, counting, decontam, licences, orderhash, packing, rules, suffixes, urls
 from rankloom.llm.common import read
 
 URL_ALLOW = ("com/", "www.example.com/en/")
@@ -39,6 +39,16 @@ def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(spark, read(spark, sf_dir, "documents"), length=400)
 
 
+def op7_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    chain = chains.learn(spark, docs, read(spark, sf_dir, "labels"), chains.toxicity_categories())
+    return chains.judged(spark, docs, chain)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(spark, read(spark, sf_dir, "documents"))
+
+
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=10)
 
@@ -54,6 +64,8 @@ LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decision_list": op4_decision_list,
     "op5_token_counts": op5_token_counts,
     "op6_repeated_strings": op6_repeated_strings,
+    "op7_classifier_chain": op7_classifier_chain,
+    "op8_license_scan": op8_license_scan,
     "op9_positional_index": op9_positional_index,
     "op10_order_minhash": op10_order_minhash,
 }
