@@ -70,7 +70,7 @@ class Sparse:
         return out + self.dense @ w[self.width :] if self.dense.size else out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        head = np.bincount(self.columns, self.values * r[self.rows], self.width)
+        head = np.bincount(self.columns, self.values * r[self.rows], self.width).astype(float)
         return np.concatenate([head, self.dense.T @ r]) if self.dense.size else head
 
     def subset(self, keep: np.ndarray) -> Sparse:

@@ -152,7 +152,7 @@ def without_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame,
     """The rows of ``docs`` without any hit, all columns kept."""
     _, found = matches(spark, docs, items, size)
     bad = found.where("exact").select(F.col("doc_id").alias("bad_doc"), F.col("mark").alias("bad_mark")).distinct()
-    clean = docs.withColumn("hit_mark", F.xxhash64(text_of())).join(
-        bad, F.col("doc_id").eqNullSafe(F.col("bad_doc")) & (F.col("hit_mark") == F.col("bad_mark")), "left_anti"
-    )
-    return clean.select(*[docs[c] for c in docs.columns])
+    columns = [docs[c] for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), docs["doc_id"].alias("own_doc"), F.xxhash64(text_of()).alias("own_mark"))
+    clean = rows.join(bad, F.col("own_doc").eqNullSafe(F.col("bad_doc")) & (F.col("own_mark") == F.col("bad_mark")), "left_anti")
+    return clean.select("row.*")

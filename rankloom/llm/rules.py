@@ -134,7 +134,7 @@ def _grown(left: DataFrame, thresholds: dict[str, list[float]], most: int) -> li
     """Conditions added one by one while they gain."""
     rule: list[Condition] = []
     names = list(thresholds)
-    while len(rule) < most:
+    while len(rule) < most and any(thresholds.values()):
         places = F.array(*(
             F.struct(F.lit(k).alias("name"), sum((F.col(n) > t).cast("int") for t in thresholds[n]).alias("bin"))
             for k, n in enumerate(names) if thresholds[n]
