@@ -359,7 +359,8 @@ FROM ({r10('by_method', 'split, method, qid', 'split, method', 'pos')})""",
     ),
     "snk_history": sql(
         "history",
-        """SELECT instances_vues, loss, epsilon, 'twsls' AS mode, 'step' AS decay, 0 AS seed FROM history""",
+        f"""SELECT split, instances_vues, loss, epsilon, 'conversations' AS dataset, 'BM25' AS train_method, 'twsls' AS mode,
+       'step' AS decay, 1e0 AS alpha, 1e0 AS beta, {EPS}e0 AS eps, 0 AS seed FROM history""",
     ),
     "pairs_to_relations": sql("pairs", "SELECT split, qid, query, docno, text, 1 AS label FROM pairs"),
     "row_ids": sql(
@@ -441,7 +442,7 @@ FROM (SELECT *, {weak('label', 'score', '0.4e0')} AS weak FROM groups_bm25) GROU
     "training_plan": sql("plan", "SELECT split, epoch, batch, seen, total, qid, docno FROM plan"),
     "eps_by_mode": sql(
         "batches",
-        f"""SELECT split, seen, n_rows, 0e0 AS eps_baseline, {EPS}e0 AS eps_ls,
+        f"""SELECT split, seen, n_rows, 0e0 AS eps_baseline, {EPS}e0 AS eps_ls, {EPS}e0 AS eps_classic,
        round({EPS}e0 * (1 - p), 6) AS eps_twsls FROM batches""",
     ),
     "eps_schedules": sql(
@@ -475,10 +476,11 @@ FROM (SELECT *, {weak('label', 'score', '0.4e0')} AS weak FROM groups_bm25) GROU
     "history": sql("history", "SELECT * FROM history"),
     "r10_at_1": sql("by_method", r10("by_method", "split, method, qid", "split, method", "pos")),
     "r10_batched": sql(
-        "scored_bm25",
+        "scored_bm25 pairs",
         r10(
-            "(SELECT *, (place - 1) // 10 AS block FROM "
-            "(SELECT *, row_number() OVER (PARTITION BY split ORDER BY qid, pos) AS place FROM scored_bm25))",
+            "(SELECT *, (place - 1) // 10 AS block FROM (SELECT s.*, row_number() OVER "
+            "(PARTITION BY s.split ORDER BY o.conv_id, o.turn, s.pos) AS place "
+            "FROM scored_bm25 s JOIN pairs o ON o.split = s.split AND o.qid = s.qid))",
             "split, block",
             "split",
             "place",
@@ -499,6 +501,17 @@ FROM (SELECT g.train_method, g.test_method, g.mode, g.eps, g.seed, p.label,
              {weak('p.label', 'p.score', '''(CASE WHEN g.mode = 'baseline' THEN 0e0 WHEN g.mode = 'ls' THEN g.eps
                WHEN p.seen / p.total < 0.5e0 THEN g.eps ELSE 0e0 END)''')} AS target
       FROM main_grid g JOIN grid_plan p ON p.method = g.train_method AND p.seed = g.seed)
+GROUP BY ALL""",
+    ),
+    "grid_ablation_smoothing": sql(
+        "grid_plan ablation_grid",
+        f"""SELECT train_method, test_method, mode, decay, alpha, beta, eps, seed, label, count(*) AS n,
+       round(avg({weak('label', 'score', 'now')}), 6) AS avg_target
+FROM (SELECT *, eps * CASE WHEN decay = 'step' THEN CASE WHEN p < 0.5e0 THEN 1e0 ELSE 0e0 END
+               WHEN alpha = 5 THEN 1 - ({binomial_tail(5, 1)}) WHEN beta = 5 THEN 1 - ({binomial_tail(1, 5)})
+               WHEN alpha = 3 THEN 1 - ({binomial_tail(3, 3)}) ELSE 1 - ({binomial_tail(1, 1)}) END AS now
+      FROM (SELECT g.*, d.label, d.score, d.seen / d.total AS p
+            FROM ablation_grid g JOIN grid_plan d ON d.method = g.train_method AND d.seed = g.seed))
 GROUP BY ALL""",
     ),
     "vocab": sql("vocab", "SELECT * FROM vocab"),

@@ -134,9 +134,12 @@ def snk_results_ledger(s: Study) -> DataFrame:
 @query
 def snk_history(s: Study) -> DataFrame:
     path = s.ws.new_path("history")
-    losses = _history(s).withColumns({"mode": F.lit("twsls"), "decay": F.lit("step"), "seed": F.lit(SEED)})
-    tables.write_history(losses.drop("split"), path, ["mode", "decay", "seed"])
-    return tables.read_history(s.spark, path, "mode string, decay string, seed int")
+    settings = {
+        "dataset": "conversations", "train_method": "BM25", "mode": "twsls", "decay": "step",
+        "alpha": 1.0, "beta": 1.0, "eps": EPS, "seed": SEED,
+    }
+    tables.write_history(_history(s).withColumns({k: F.lit(v) for k, v in settings.items()}), path)
+    return tables.read_history(s.spark, path)
 
 
 # -- relations --------------------------------------------------------------------------------------------------
@@ -149,8 +152,7 @@ def pairs_to_relations(s: Study) -> DataFrame:
 
 @query
 def row_ids(s: Study) -> DataFrame:
-    pairs = conversation_pairs(s.spark, s.sf_dir)
-    numbered = sequential_ids(s.ws, pairs.select("split", "conv_id", "turn"), ["split", "conv_id", "turn"])
+    numbered = sequential_ids(s.ws, s.pairs.select("split", "conv_id", "turn"), ["split", "conv_id", "turn"])
     number = F.col("row_no").cast("string")
     return numbered.select(
         "split", "conv_id", "turn", F.concat(F.lit("q"), number).alias("qid"), F.concat(F.lit("d"), number).alias("docno")
@@ -269,12 +271,13 @@ def neg_bm25_exact_k(s: Study) -> DataFrame:
 
 @query
 def neg_random(s: Study) -> DataFrame:
-    return neg.random_negatives(s.rel.queries, s.rel.qrels, s.rel.corpus, K, SEED)
+    return neg.random_negatives(s.rel.queries, s.rel.qrels, s.rel.corpus, K, SEED, positions=s.positions)
 
 
 @query
 def neg_random_sentinel(s: Study) -> DataFrame:
-    return neg.random_negatives(s.rel.queries, s.rel.qrels, s.rel.corpus, K, SEED, random_score=sm.NO_SCORE)
+    queries, corpus, qrels = s.rel
+    return neg.random_negatives(queries, qrels, corpus, K, SEED, random_score=sm.NO_SCORE, positions=s.positions)
 
 
 @query
@@ -359,9 +362,9 @@ def progress() -> Column:
 
 @query
 def eps_by_mode(s: Study) -> DataFrame:
-    modes = [sm.epsilon(m, EPS, progress(), "linear") for m in ("baseline", "ls", "twsls")]
+    modes = ("baseline", "ls", "classic", "twsls")
     return _batches(s).select(
-        "split", "seen", "n_rows", *[r6(e, f"eps_{m}") for e, m in zip(modes, ("baseline", "ls", "twsls"), strict=True)]
+        "split", "seen", "n_rows", *[r6(sm.epsilon(m, EPS, progress(), "linear"), f"eps_{m}") for m in modes]
     )
 
 
@@ -400,6 +403,10 @@ def _targets(s: Study) -> DataFrame:
     return plan_targets(s.plan(), "twsls", EPS, "step")
 
 
+def _scored_targets(s: Study, mode: str, eps: float) -> DataFrame:
+    return plan_targets(s.scored_plan(), mode, eps, "step")
+
+
 @query
 def plan_targets_rows(s: Study) -> DataFrame:
     return _targets(s).select("split", "epoch", "seen", "qid", "docno", r6("eps"), r6("target"))
@@ -407,12 +414,12 @@ def plan_targets_rows(s: Study) -> DataFrame:
 
 @query
 def batch_bce(s: Study) -> DataFrame:
-    losses = history(plan_targets(s.plan(), "baseline", 0.0))
+    losses = history(_scored_targets(s, "baseline", 0.0))
     return losses.select("split", F.col("instances_vues").alias("seen"), r6("loss"))
 
 
 def _history(s: Study) -> DataFrame:
-    return history(_targets(s)).select("split", "instances_vues", r6("loss"), r6("epsilon"))
+    return history(_scored_targets(s, "twsls", EPS)).select("split", "instances_vues", r6("loss"), r6("epsilon"))
 
 
 @query
@@ -433,7 +440,9 @@ def r10_at_1(s: Study) -> DataFrame:
 
 @query
 def r10_batched(s: Study) -> DataFrame:
-    return evaluation.r10_batched(s.ws, s.scored("BM25"))
+    """Queries in the order of their rows: conversation, then turn."""
+    order = s.pairs.select("split", F.concat(F.lit("q"), F.concat_ws("_", "conv_id", "turn")).alias("qid"), "conv_id", "turn")
+    return evaluation.r10_batched(s.ws, s.scored("BM25").join(order, ["split", "qid"]), order=("conv_id", "turn"))
 
 
 @query
@@ -473,33 +482,58 @@ def grid_ablation(s: Study) -> DataFrame:
     return _grid_sizes(s, grids.ablation_grid())
 
 
+def _both_methods(s: Study) -> DataFrame:
+    return reduce(DataFrame.unionByName, [s.groups(m).withColumn("method", F.lit(m)) for m in grids.METHODS])
+
+
+def _mean_targets(plans: DataFrame, runs: list[grids.Run]) -> DataFrame:
+    """Mean target per run and label. A target is linear in label and score, so counts and score sums suffice.
+
+    The data shrink to a row per batch, seed and label before the runs are joined.
+    """
+    marked = F.col("score") == sm.NO_SCORE
+    sums = plans.groupBy("method", "plan_seed", "label", "seen", "total", marked.alias("marked")).agg(
+        F.count("*").alias("n"), F.sum("score").alias("sum_score")
+    )
+    cells = sums.join(
+        grids.grid_frame(plans.sparkSession, runs),
+        (F.col("method") == F.col("train_method")) & (F.col("plan_seed") == F.col("seed")),
+    )
+    p = F.col("seen") / F.col("total")
+    scheduled = [
+        ((F.col("decay") == decay) & (F.col("alpha") == alpha) & (F.col("beta") == beta), sm.decayed(decay, F.col("eps"), p, alpha, beta))
+        for decay, alpha, beta in grids.DECAY_PROFILES
+    ]
+    value = reduce(lambda acc, x: acc.when(*x), scheduled[1:], F.when(*scheduled[0]))
+    eps = F.when(F.col("mode") == "baseline", 0.0).when(F.col("mode") == "ls", F.col("eps")).otherwise(value)
+    kept = F.col("label") * F.col("n")
+    total = F.when(F.col("marked"), kept.cast("double")).otherwise((1.0 - eps) * kept + eps * F.col("sum_score"))
+    return cells.groupBy("train_method", "test_method", "mode", "decay", "alpha", "beta", "eps", "seed", "label").agg(
+        F.sum("n").alias("n"), r6(F.sum(total) / F.sum("n"), "avg_target")
+    )
+
+
 @query
 def grid_smoothing(s: Study) -> DataFrame:
     """The mean target over every run of the main grid, per original label."""
-    both = reduce(
-        DataFrame.unionByName, [s.groups(m).withColumn("method", F.lit(m)) for m in grids.METHODS]
-    )
+    both = _both_methods(s)
     seeded = both.withColumn("plan_seed", F.explode(F.array(*[F.lit(seed) for seed in grids.SEEDS])))
-    plans = (
-        training_plan(
-            seeded,
-            BATCH,
-            F.col("plan_seed").cast("string"),
-            epochs=EPOCHS,
-            group=["split", "method", "plan_seed"],
-        )
-        .groupBy(
-            "split", "method", "plan_seed", "label", "score", (F.col("seen") / F.col("total") < 0.5).alias("early")
-        )
-        .agg(F.count("*").alias("n"))
+    plans = training_plan(
+        seeded, BATCH, F.col("plan_seed").cast("string"), epochs=EPOCHS, group=["split", "method", "plan_seed"]
+    )
+    return _mean_targets(plans, grids.main_grid()).drop("decay", "alpha", "beta")
+
+
+@query
+def grid_ablation_smoothing(s: Study) -> DataFrame:
+    """The same over the ablation grid with its beta profiles."""
+    seeded = s.groups("BM25").withColumn("method", F.lit("BM25")).withColumn(
+        "plan_seed", F.explode(F.array(*[F.lit(seed) for seed in grids.SEEDS]))
     )
-    runs = grids.attach_grid(plans, grids.main_grid()).filter("method = train_method AND plan_seed = seed")
-    staged = F.when(F.col("early"), F.col("eps")).otherwise(0.0)
-    eps = F.when(F.col("mode") == "baseline", 0.0).when(F.col("mode") == "ls", F.col("eps")).otherwise(staged)
-    target = sm.smooth_weak(F.col("label"), F.col("score"), eps)
-    return runs.groupBy("train_method", "test_method", "mode", "eps", "seed", "label").agg(
-        F.sum("n").alias("n"), r6(F.sum(target * F.col("n")) / F.sum("n"), "avg_target")
+    plans = training_plan(
+        seeded, BATCH, F.col("plan_seed").cast("string"), epochs=EPOCHS, group=["split", "method", "plan_seed"]
     )
+    return _mean_targets(plans, grids.ablation_grid())
 
 
 # -- encoding and ranker ----------------------------------------------------------------------------------------

@@ -32,10 +32,15 @@ class Study:
     def source(self) -> dict[str, object] | None:
         return path_status(self.spark, f"{self.sf_dir}/conversations.parquet")
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """The pairs every later step starts from, written once."""
+        mark = {"source": self.source, "format": 1}
+        return self.ws.build_or_load("pairs", mark, lambda: conversation_pairs(self.spark, self.sf_dir))
+
     @cached_property
     def identified(self) -> DataFrame:
-        pairs = conversation_pairs(self.spark, self.sf_dir)
-        return with_ids(pairs, F.concat_ws("_", "conv_id", "turn"))
+        return with_ids(self.pairs, F.concat_ws("_", "conv_id", "turn"))
 
     @cached_property
     def rel(self) -> Relations:
@@ -61,15 +66,20 @@ class Study:
         source = path_status(self.spark, f"{self.sf_dir}/documents.parquet")
         return build_index(self.ws, self.library.corpus, source, depth=K + 1)
 
+    @cached_property
+    def positions(self) -> DataFrame:
+        mark = {"source": self.source, "format": 1}
+        return self.ws.build_or_load("corpus-positions", mark, lambda: neg.corpus_positions(self.rel.corpus))
+
     def groups(self, method: str) -> DataFrame:
         """Labelled groups without texts: the result of data preparation."""
-        mark = {"source": self.source, "method": method, "k": K, "seed": SEED}
+        mark = {"source": self.source, "method": method, "k": K, "seed": SEED, "format": 1}
         return self.ws.build_or_load("groups", mark, lambda: self._build_groups(method))
 
     def _build_groups(self, method: str) -> DataFrame:
         queries, corpus, qrels = self.rel
         if method == "random":
-            negatives = neg.random_negatives(queries, qrels, corpus, K, SEED)
+            negatives = neg.random_negatives(queries, qrels, corpus, K, SEED, positions=self.positions)
         else:
             negatives = neg.lexical_negatives(self.ws, self.index, queries, qrels, K, refill=method == "BM25_refill")
         return neg.labelled_groups(negatives, queries, qrels, K)
@@ -91,4 +101,10 @@ class Study:
         return self.ws.build_or_load("scored", mark, build)
 
     def plan(self, method: str = "BM25", seed: int = SEED) -> DataFrame:
-        return training_plan(self.scored(method), BATCH, seed, epochs=EPOCHS)
+        """The order in which a run sees its rows; scores of the ranker are joined only where a loss is asked for."""
+        mark = {"source": self.source, "method": method, "k": K, "batch": BATCH, "epochs": EPOCHS, "seed": seed, "format": 1}
+        return self.ws.build_or_load("plan", mark, lambda: training_plan(self.groups(method), BATCH, seed, epochs=EPOCHS))
+
+    def scored_plan(self, method: str = "BM25") -> DataFrame:
+        logits = self.scored(method).select("split", "qid", "docno", "logit")
+        return self.plan(method).join(logits, ["qid", "docno", "split"])

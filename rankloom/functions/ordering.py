@@ -47,7 +47,7 @@ def shuffled_positions(
     within: Sequence[str],
     out: str = "position",
     below: int | Column | None = None,
-    prefix: int = 3,
+    prefix: int = 4,
 ) -> DataFrame:
     """Number rows 0..n-1 inside each ``within`` group in the order of md5(salt, key): a reproducible shuffle.
 

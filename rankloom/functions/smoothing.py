@@ -20,6 +20,11 @@ def smooth_weak(label: Column, score: Column, eps: Column | float) -> Column:
     return F.when(score != NO_SCORE, (F.lit(1.0) - eps) * label + eps * score).otherwise(label.cast("double"))
 
 
+def smoothed(mode: str, label: Column, score: Column, eps: Column | float) -> Column:
+    """The target of a mode: ``classic`` blends in 0.5, the others the weak score."""
+    return smooth_classic(label, eps) if mode == "classic" else smooth_weak(label, score, eps)
+
+
 def beta_cdf(x: Column, a: float, b: float) -> Column:
     """Regularised incomplete beta function at ``x`` in [0, 1]."""
     if a <= 0 or b <= 0:
@@ -90,10 +95,10 @@ def epsilon(
     alpha: float = 1.0,
     beta: float = 1.0,
 ) -> Column:
-    """baseline: none; ls: constant; twsls: scheduled."""
+    """baseline: none; ls and classic: constant; twsls: scheduled."""
     if mode == "baseline":
         return F.lit(0.0)
-    if mode == "ls":
+    if mode in ("ls", "classic"):
         return _column(eps)
     if mode == "twsls":
         return decayed(decay, eps, progress, alpha, beta)

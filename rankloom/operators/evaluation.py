@@ -30,9 +30,12 @@ def r10_at_1(rows: DataFrame, group: Sequence[str] = ("split",)) -> DataFrame:
     return _share_of_hits(_best(rows, [*group, "qid"]), group)
 
 
-def r10_batched(ws: Workspace, rows: DataFrame, block: int = 10) -> DataFrame:
-    """The same over blocks of ``block`` consecutive rows, whatever query they belong to."""
-    ordered = sequential_ids(ws, rows, ["split", "qid", "pos"], "row_no")
+def r10_batched(ws: Workspace, rows: DataFrame, block: int = 10, order: Sequence[str] = ("qid",)) -> DataFrame:
+    """The same over blocks of ``block`` consecutive rows, whatever query they belong to.
+
+    ``order`` names the columns that put the queries in the order of their rows.
+    """
+    ordered = sequential_ids(ws, rows, ["split", *order, "pos"], "row_no")
     firsts = ordered.groupBy("split").agg(F.min("row_no").alias("_first"))  # one row per split
     blocks = ordered.join(F.broadcast(firsts), "split").withColumn(
         "_block", F.floor((F.col("row_no") - F.col("_first")) / block)

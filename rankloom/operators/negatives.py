@@ -77,13 +77,15 @@ def random_negatives(
     k: int = 9,
     seed: int = 0,
     random_score: float = 0.0,
+    positions: DataFrame | None = None,
 ) -> DataFrame:
     """``split, qid, docno, score, pos``: ``k`` distinct other documents per query, drawn per query.
 
     The draws are positions in the corpus numbering, shifted past the relevant document, so documents are found by
-    an equi-join. A split with fewer than ``k`` other documents is an error.
+    an equi-join. A split with fewer than ``k`` other documents is an error. ``positions`` is the corpus numbering
+    where it is already written; it is read twice.
     """
-    numbered = corpus_positions(corpus)
+    numbered = corpus_positions(corpus) if positions is None else positions
     sizes = corpus.groupBy("split").agg(F.count("*").alias("n_docs"))  # one row per split
     gt = ground_truth(queries, qrels).join(
         numbered.select("split", F.col("docno").alias("gt"), F.col("doc_at").alias("_gt_at")), ["split", "gt"]

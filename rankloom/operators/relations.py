@@ -44,9 +44,15 @@ def clean_queries(queries: DataFrame) -> DataFrame:
 
 
 def ground_truth(queries: DataFrame, qrels: DataFrame) -> DataFrame:
-    """The relevant document of each query, as ``split, qid, gt``."""
-    relevant = qrels.filter("label = 1").select("split", "qid", F.col("docno").alias("gt"))
-    return queries.select("split", "qid").join(relevant, ["split", "qid"])
+    """The relevant document of each query, as ``split, qid, gt``; fails for a query without exactly one."""
+    relevant = qrels.filter("label = 1").groupBy("split", "qid").agg(
+        F.count("*").alias("_n"), F.min("docno").alias("_gt")
+    )
+    found = F.coalesce("_n", F.lit(0))
+    wrong = F.format_string("query %s of split %s has %d relevant documents, not one", "qid", "split", found)
+    return queries.select("split", "qid").join(relevant, ["split", "qid"], "left").select(
+        "split", "qid", F.when(found == 1, F.col("_gt")).otherwise(F.raise_error(wrong).cast("string")).alias("gt")
+    )
 
 
 def qrels_violations(queries: DataFrame, qrels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import product
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,8 @@ def grid_array(runs: list[Run]) -> Column:
 def attach_grid(df: DataFrame, runs: list[Run]) -> DataFrame:
     """Every row once per run, the run's settings as columns; the grid travels inside the plan."""
     return df.select("*", F.inline(grid_array(runs)))
+
+
+def grid_frame(spark: SparkSession, runs: list[Run]) -> DataFrame:
+    """The runs as rows, to be joined on their keys."""
+    return spark.range(1).select(F.inline(grid_array(runs)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import shuffled_positions
-from ..functions.smoothing import bce_with_logits, epsilon, smooth_weak
+from ..functions.smoothing import bce_with_logits, epsilon, smoothed
 
 
 def training_plan(
@@ -50,11 +50,15 @@ def training_plan(
 def plan_targets(
     plan: DataFrame, mode: str, eps: float, decay: str = "step", alpha: float = 1.0, beta: float = 1.0
 ) -> DataFrame:
-    """Add the batch's ``eps`` and each instance's smoothed ``target``."""
+    """Add the batch's ``eps`` and each instance's smoothed ``target``; a schedule is computed once per batch."""
     progress = F.col("seen") / F.col("total")
-    return plan.withColumn("eps", epsilon(mode, eps, progress, decay, alpha, beta)).withColumn(
-        "target", smooth_weak(F.col("label"), F.col("score"), F.col("eps"))
-    )
+    value = epsilon(mode, eps, progress, decay, alpha, beta)
+    if mode == "twsls":
+        batches = plan.select("seen", "total").distinct().withColumn("eps", value)
+        placed = plan.join(batches, ["seen", "total"])
+    else:
+        placed = plan.withColumn("eps", value)
+    return placed.withColumn("target", smoothed(mode, F.col("label"), F.col("score"), F.col("eps")))
 
 
 def history(targets: DataFrame, group: Sequence[str] = ("split",)) -> DataFrame:

@@ -26,6 +26,11 @@ LEDGER = T.StructType(
     ]
 )
 
+# The configuration of a run, without which two histories in one folder cannot be told apart.
+HISTORY_CONFIG = T.StructType(
+    [T.StructField("split", T.StringType()), *[LEDGER[c] for c in LEDGER.fieldNames() if c not in ("test_method", "r10_at_1")]]
+)
+
 
 def require_columns(df: DataFrame, columns: Iterable[str], what: str) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]

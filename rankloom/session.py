@@ -16,7 +16,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
@@ -36,6 +35,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "rankl
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", "file:" + tempfile.mkdtemp(prefix="rankloom-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,13 +43,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "rankl
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the cluster names one; a temporary folder on a single machine only."""
+    """``spark.checkpoint.dir`` where it is set, else the configured warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:" + tempfile.mkdtemp(prefix="rankloom-")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 class Workspace:
@@ -63,6 +59,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = configure(spark)
         self.root = root or f"{shared_folder(spark)}/rankloom/{spark.sparkContext.applicationId}"
+        self._staged: list[str] = []
 
     @classmethod
     def of(cls, spark: SparkSession) -> Workspace:
@@ -87,8 +84,22 @@ class Workspace:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = self.new_path(name)
         df.write.parquet(path)
+        self._staged.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def close(self) -> None:
+        """Delete the staged tables, once nothing reads them any more; tables built under a fingerprint stay."""
+        for path in self._staged:
+            jvm_path, fs = _filesystem(self.spark, path)
+            fs.delete(jvm_path, True)
+        self._staged.clear()
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def build_or_load(
         self,
         name: str,
@@ -108,10 +119,14 @@ class Workspace:
         return self.spark.read.parquet(path)
 
 
+def _filesystem(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def path_status(spark: SparkSession, path: str) -> dict[str, object] | None:
     """Bytes, file count and modification time below ``path``, or None if there is nothing."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    jvm_path, fs = _filesystem(spark, path)
     if not fs.exists(jvm_path):
         return None
     summary = fs.getContentSummary(jvm_path)

@@ -52,17 +52,24 @@ def drop_incomplete(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.filter(complete), dropped
 
 
-def read_rows(spark: SparkSession, path: str, *key: str) -> DataFrame:
-    """Read parquet; where there are fewer files than cores, spread the rows by ``key`` first.
+def ingest_tsv_pairs(spark: SparkSession, paths: Mapping[str, str], out: str) -> DataFrame:
+    """Read the TSV files once and keep their complete rows as parquet by split; later reads are parallel."""
+    complete, _ = drop_incomplete(read_tsv_pairs(spark, paths))
+    complete.repartition("context").write.mode("overwrite").partitionBy("split").parquet(out)
+    return read_ingested_pairs(spark, out)
 
-    One small file is one task, and per-row text work would then use one core. Large inputs are left as they are.
-    """
+
+def read_ingested_pairs(spark: SparkSession, path: str) -> DataFrame:
+    if path_status(spark, path) is None:
+        raise ValueError(f"input not found: {path}")
+    schema = "context string, response string, split string"
+    return spark.read.schema(schema).parquet(path).select("split", "context", "response")
+
+
+def read_rows(spark: SparkSession, path: str, *spread_by: str) -> DataFrame:
+    """Read parquet; ``spread_by`` deals the rows out anew, for inputs of a few files with one row group each."""
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    status = path_status(spark, path)
-    if status and status["files"] < cores and status["bytes"] < cores * (128 << 20):
-        return df.repartition(cores, *key)
-    return df
+    return df.repartition(*spread_by) if spread_by else df
 
 
 def one_split(key: str) -> Column:
@@ -75,7 +82,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str, by_split: bool = False)
 
     An equi-join on (conversation, turn) spreads the turns of one very long conversation over all tasks.
     """
-    turns = read_rows(spark, f"{sf_dir}/conversations.parquet", "turn", "conv_id")
+    turns = read_rows(spark, f"{sf_dir}/conversations.parquet")
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("context"))
     answered = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")

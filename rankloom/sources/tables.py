@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import LEDGER, TRAINING_COLUMNS, require_columns
+from ..schemas import HISTORY_CONFIG, LEDGER, TRAINING_COLUMNS, require_columns
 from ..session import path_status
 
 
@@ -32,13 +30,16 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).option("header", True).csv(path)
 
 
-def write_history(history: DataFrame, path: str, config: Sequence[str]) -> None:
-    """The loss history as CSV, its configuration in the folder names."""
+def write_history(history: DataFrame, path: str) -> None:
+    """The loss history as CSV, split and full configuration in the folder names."""
+    config = HISTORY_CONFIG.fieldNames()
     require_columns(history, ["instances_vues", "loss", "epsilon", *config], "history")
-    history.write.mode("append").option("header", True).partitionBy(*config).csv(path)
+    history.select("instances_vues", "loss", "epsilon", *config).write.mode("append").option("header", True).partitionBy(
+        *config
+    ).csv(path)
 
 
-def read_history(spark: SparkSession, path: str, config_types: str = "") -> DataFrame:
-    """``config_types`` declares the columns kept in folder names, as ``name type, ...``."""
-    schema = "instances_vues bigint, loss double, epsilon double"
-    return spark.read.schema(f"{schema}, {config_types}" if config_types else schema).option("header", True).csv(path)
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    config = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in HISTORY_CONFIG)
+    schema = f"instances_vues bigint, loss double, epsilon double, {config}"
+    return spark.read.schema(schema).option("header", True).csv(path)
