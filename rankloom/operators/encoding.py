@@ -27,9 +27,9 @@ def encode_texts(texts: DataFrame, key: str, text_col: str, vocab: DataFrame, ma
     """``split, key, n_tokens, ids``: the ids that can survive the cut, and the full number of tokens."""
     room = max_len - MARKERS
     words = (
-        texts.repartition("split", key)  # the regrouping below then needs no further shuffle
-        .select("split", key, tokens(F.col(text_col)).alias("_words"))
+        texts.select("split", key, tokens(F.col(text_col)).alias("_words"))
         .select("split", key, F.size("_words").alias("n_tokens"), F.slice("_words", 1, room).alias("_words"))
+        .repartition("split", key)  # of the words that can survive; the regrouping below then needs no further shuffle
         .select("split", key, "n_tokens", F.posexplode_outer("_words").alias("_at", "term"))
     )
     known = words.join(F.broadcast(vocab.select("term", "id")), "term", "left")  # at most ``size`` rows
@@ -53,12 +53,14 @@ def encode_pairs(
 ) -> DataFrame:
     """Add ``input_ids, attention_mask`` of length ``max_len``, and token counts before and after the cut.
 
-    Each query and document is encoded once; rows then join their encodings.
+    Each query and document that occurs is encoded once; rows then join their encodings.
     """
-    q = encode_texts(queries, "qid", "query", vocab, max_len).withColumnsRenamed(
+    asked = queries.join(rows.select("split", "qid").distinct(), ["split", "qid"], "left_semi")
+    shown = corpus.join(rows.select("split", "docno").distinct(), ["split", "docno"], "left_semi")
+    q = encode_texts(asked, "qid", "query", vocab, max_len).withColumnsRenamed(
         {"n_tokens": "n_query", "ids": "_q_ids"}
     )
-    t = encode_texts(corpus, "docno", "text", vocab, max_len).withColumnsRenamed({"n_tokens": "n_text", "ids": "_t_ids"})
+    t = encode_texts(shown, "docno", "text", vocab, max_len).withColumnsRenamed({"n_tokens": "n_text", "ids": "_t_ids"})
     keep_query, keep_text = kept_lengths(F.col("n_query"), F.col("n_text"), max_len)
     cut = (
         rows.join(q, ["split", "qid"])

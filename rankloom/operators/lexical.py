@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import term_vectors, tokens
 from ..session import Workspace
 
+FORMAT = 2  # of the stored tables: raise it with every change of tokens, weights or layout
 BUCKETS = 16  # postings of a term are grouped by saturation in steps of 1/16
 
 
@@ -51,6 +52,18 @@ def saturation(tf: Column, length: Column, avgdl: Column, k1: float, b: float) -
     return tf / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length / avgdl))
 
 
+def saturated(documents: DataFrame, k1: float, b: float) -> DataFrame:
+    """``split, docno, term, sat`` of documents with their vectors."""
+    return documents.select(
+        "split", "docno", "length", "avgdl", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")
+    ).select(
+        "split",
+        "docno",
+        F.col("_p.terms").alias("term"),
+        saturation(F.col("_p.tfs"), F.col("length"), F.col("avgdl"), k1, b).alias("sat"),
+    )
+
+
 def bucket(sat: Column) -> Column:
     return F.least(F.floor(sat * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
@@ -64,12 +77,17 @@ class LexicalIndex:
                rest have no number and can never be among the first ``depth`` hits.
     copies     split, rep, docno, copy_no for the numbered copies of bags that have more than one.
     terms      split, term, df, n (bags holding it), lo, hi (range of its saturation), n_docs
+    postings   split, term, docno, sat, bucket of every distinct bag, sorted by term in each file
+    champions  split, term, docno, place: each term's ``depth`` best postings (for terms in more than half of all
+               documents, whose weight is negative, its least)
     corpus     split, n_docs, n_tokens, avgdl: one row per split
     """
 
     documents: DataFrame
     copies: DataFrame
     terms: DataFrame
+    postings: DataFrame
+    champions: DataFrame
     corpus: DataFrame
     depth: int
     k1: float
@@ -78,18 +96,9 @@ class LexicalIndex:
     def representatives(self) -> DataFrame:
         return self.documents.filter("copy_no = 1")
 
-    def saturated_postings(self, all_copies: bool = False) -> DataFrame:
-        """``split, docno, term, sat`` of every distinct bag, or of every document."""
-        return (
-            (self.documents if all_copies else self.representatives())
-            .select("split", "docno", "length", "avgdl", F.explode(F.arrays_zip("terms", "tfs")).alias("_p"))
-            .select(
-                "split",
-                "docno",
-                F.col("_p.terms").alias("term"),
-                saturation(F.col("_p.tfs"), F.col("length"), F.col("avgdl"), self.k1, self.b).alias("sat"),
-            )
-        )
+    def postings_of(self, docs: DataFrame) -> DataFrame:
+        """``split, docno, term, sat`` of the documents named by ``split, docno``, whichever copies they are."""
+        return saturated(self.documents.join(docs.select("split", "docno").distinct(), ["docno", "split"], "left_semi"), self.k1, self.b)
 
 
 def build_index(
@@ -104,31 +113,40 @@ def build_index(
 
     ``source`` describes the corpus (paths, sizes, times) and is part of every table's fingerprint.
     """
-    mark = {"source": source, "depth": depth, "k1": k1, "b": b, "buckets": BUCKETS}
+    mark = {"source": source, "depth": depth, "k1": k1, "b": b, "buckets": BUCKETS, "format": FORMAT}
+
+    # Texts are read once and never shuffled: what moves is docno, digest and, of copies only, a number.
+    bare = ws.build_or_load("index-bare", mark, lambda: corpus_vectors(corpus))
 
     def number_copies() -> DataFrame:
-        by_bag = Window.partitionBy("split", "bag").orderBy("docno")
-        in_bag = Window.partitionBy("split", "bag").orderBy("copy_no")
-        # Only docno and digest are shuffled, and at most ``depth`` rows per bag and task.
+        several = (
+            bare.groupBy("split", "bag").agg(F.count("*").alias("_n"), F.min("docno").alias("rep"))
+            .filter("_n > 1").select("split", "bag", "rep")
+        )
+        by_bag = Window.partitionBy("split", "bag", "rep").orderBy("docno")
         return (
-            term_vectors(corpus, "text", ["split", "docno"])
-            .select("split", "docno", "bag")
-            .withColumn("copy_no", F.row_number().over(by_bag))
+            bare.select("split", "docno", "bag")
+            .join(several, ["bag", "split"])
+            .withColumn("copy_no", F.row_number().over(by_bag))  # at most ``depth`` rows per bag and task are shuffled
             .filter(F.col("copy_no") <= depth)
-            .withColumn("rep", F.first("docno").over(in_bag))
             .select("split", "rep", "docno", "copy_no")
         )
 
     numbered = ws.build_or_load("index-copies", mark, number_copies)
-    vectors = ws.build_or_load(
-        "index-vectors",
-        mark,
-        lambda: term_vectors(
-            corpus.join(numbered.select("split", "docno", "copy_no"), ["split", "docno"], "left"),
-            "text",
-            ["split", "docno", "copy_no"],
-        ),
-    )
+
+    def with_copies() -> DataFrame:
+        reps = numbered.select("split", "rep").distinct()
+        bags = bare.join(reps.withColumnRenamed("rep", "docno"), ["docno", "split"], "left_semi").select(
+            "split", "bag", F.lit(True).alias("_several")
+        )
+        # A bag without copies is its own first; of the others only the numbered documents have a number.
+        marked = bare.join(bags, ["bag", "split"], "left").join(
+            numbered.select("split", "docno", F.col("copy_no").alias("_no")), ["docno", "split"], "left"
+        )
+        number = F.when(F.col("_several"), F.col("_no")).otherwise(1).cast("int")
+        return marked.select("split", "docno", number.alias("copy_no"), "length", "bag", "terms", "tfs")
+
+    vectors = ws.build_or_load("index-vectors", mark, with_copies)
     stats = ws.build_or_load("index-corpus", mark, lambda: corpus_statistics(vectors))
     # One row per split; splits are a handful by construction (train, valid, test).
     documents = vectors.join(F.broadcast(stats.select("split", "avgdl")), "split")
@@ -154,4 +172,26 @@ def build_index(
         )
 
     terms = ws.build_or_load("index-terms", mark, describe_terms)
-    return LexicalIndex(documents, numbered, terms, stats, depth, k1, b)
+    listed = ws.build_or_load(
+        "index-postings",
+        mark,
+        lambda: saturated(documents.filter("copy_no = 1"), k1, b)
+        .withColumn("bucket", bucket(F.col("sat")))
+        .sortWithinPartitions("term"),
+    )
+
+    def pick_champions() -> DataFrame:
+        # At most twice the mean number of distinct words per document can be in more than half of all documents.
+        common = terms.filter("2 * df > n_docs").select("split", "term", F.lit(True).alias("_common"))
+        keen = F.when(F.col("_common"), -F.col("sat")).otherwise(F.col("sat"))
+        by_term = Window.partitionBy("term", "split").orderBy(F.desc("_keen"), "docno")
+        return (
+            listed.join(common, ["term", "split"], "left")
+            .select("split", "term", "docno", keen.alias("_keen"))
+            .withColumn("place", F.row_number().over(by_term))
+            .filter(F.col("place") <= depth)
+            .select("split", "term", "docno", "place")
+        )
+
+    champions = ws.build_or_load("index-champions", mark, pick_champions)
+    return LexicalIndex(documents, numbered, terms, listed, champions, stats, depth, k1, b)

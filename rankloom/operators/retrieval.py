@@ -1,7 +1,6 @@
 """Top-k retrieval over the index tables: exact, without scoring every pair that shares a word.
 
-Where the queries' terms have no more than DIRECT_LIMIT postings in all, a fixed bound that is counted first, reading
-them all is cheapest. Beyond it the plan is max-score pruning written as joins:
+The plan is max-score pruning written as joins, the same at every size:
 
 1.  Queries with one bag of words are answered once, documents with one bag are scored once.
 2.  The best few postings of each query's heaviest terms are scored in full. The k-th best of those is a floor:
@@ -32,7 +31,6 @@ from .lexical import BUCKETS, LexicalIndex, bucket
 
 SCORE_DIGITS = 6
 _IDLE_SHARE = 0.75  # idle terms may sum up to this share of the floor: more reads fewer postings, scores more pairs
-DIRECT_LIMIT = 50_000_000  # postings; below this count reading all of them costs less than finding out which to skip
 _SLACK = 1e-5  # covers rounding to SCORE_DIGITS and the order of additions
 
 
@@ -107,21 +105,8 @@ def top_k(scored: DataFrame, group: list[str], k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _floors(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
+def _floors(index: LexicalIndex, postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """``split, bag, floor``: the k-th best full score among a few promising documents of each query."""
-    # Weights turn negative only above half the documents. At most twice the mean number of distinct words per
-    # document can be that common, so this frame is small whatever the corpus size.
-    common = index.terms.filter("2 * df > n_docs").select("split", "term", F.lit(True).alias("_common"))
-    keen = F.when(F.col("_common"), -F.col("sat")).otherwise(F.col("sat"))
-    by_term = Window.partitionBy("term", "split").orderBy(F.desc("_keen"), "docno")
-    champions = (
-        index.saturated_postings()
-        .join(F.broadcast(common), ["term", "split"], "left")
-        .select("split", "term", "docno", keen.alias("_keen"))
-        .withColumn("_place", F.row_number().over(by_term))
-        .filter(F.col("_place") <= k)
-        .select("split", "term", "docno")
-    )
     best = F.when(F.col("w") > 0, F.col("w") * F.col("hi")).otherwise(F.col("w") * F.col("lo"))
     by_best = Window.partitionBy("bag", "split").orderBy(best.desc(), "term")
     earlier = by_best.rowsBetween(Window.unboundedPreceding, -1)
@@ -133,8 +118,9 @@ def _floors(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
         .filter((F.col("_place") <= 3) | ~F.col("_filled"))
         .select("split", "bag", "term")
     )
+    champions = index.champions.filter(F.col("place") <= k).select("split", "term", "docno")
     seeds = chosen.join(champions, ["term", "split"]).select("split", "bag", "docno").distinct()
-    scored = _full_scores(seeds, terms, index.saturated_postings(), ["bag", "docno", "split"])
+    scored = _full_scores(seeds, terms, postings, ["bag", "docno", "split"])
     return _kth_best(scored, k)
 
 
@@ -145,6 +131,7 @@ def _lookups(terms: DataFrame, floors: DataFrame) -> DataFrame:
     rho       what an unread posting of a live term could contribute at most
     reach     what all idle terms and unread postings together could add to a document at most
     whole     whether the range holds all of the term's postings
+    floor     what a hit scores at least, null if unknown
     """
     per_bag = Window.partitionBy("bag", "split")
     by_frequency = per_bag.orderBy(F.desc("n"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -178,23 +165,29 @@ def _lookups(terms: DataFrame, floors: DataFrame) -> DataFrame:
         .withColumn("rho", unread)
         .withColumn("reach", reach)
         .withColumn("whole", (F.col("from") <= lowest) & (F.col("to") >= highest))
-        .select("split", "bag", "term", "w", "from", "to", "rho", "reach", "whole")
+        .select("split", "bag", "term", "w", "from", "to", "rho", "reach", "whole", "floor")
     )
 
 
-def candidates(index: LexicalIndex, lookups: DataFrame) -> DataFrame:
+def candidates(postings: DataFrame, lookups: DataFrame) -> DataFrame:
     """Every pair that may still be among the hits: ``split, bag, docno, partial, bound``.
 
-    ``partial`` sums the postings read, ``bound`` is the most the pair can score.
+    ``partial`` sums the postings read, ``bound`` is the most the pair can score; pairs bound to stay below the floor
+    are not kept.
     """
-    read = index.saturated_postings().withColumn("bucket", bucket(F.col("sat")))
     given = F.col("w") * F.col("sat")
     return (
         lookups.filter(F.col("from") <= F.col("to"))
         .withColumn("bucket", F.explode(F.sequence("from", "to")))
-        .join(read, ["term", "bucket", "split"])
+        .join(postings, ["term", "bucket", "split"])
         .groupBy("split", "bag", "docno")
-        .agg(F.sum(given).alias("partial"), (F.sum(given - F.col("rho")) + F.max("reach")).alias("bound"))
+        .agg(
+            F.sum(given).alias("partial"),
+            (F.sum(given - F.col("rho")) + F.max("reach")).alias("bound"),
+            F.max("floor").alias("floor"),
+        )
+        .filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - F.lit(_SLACK)))
+        .drop("floor")
     )
 
 
@@ -209,14 +202,14 @@ def _kth_best(scored: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _completed(index: LexicalIndex, found: DataFrame, lookups: DataFrame) -> DataFrame:
+def _completed(postings: DataFrame, found: DataFrame, lookups: DataFrame) -> DataFrame:
     """Add the postings that were not read to ``partial``: ``split, bag, docno, score``."""
     open_terms = lookups.filter(~F.col("whole")).select("split", "bag", "term", "w", "from", "to")
     rest = (
         found.select("split", "bag", "docno")
         .join(open_terms, ["bag", "split"])
-        .join(index.saturated_postings(), ["docno", "term", "split"])
-        .filter(~bucket(F.col("sat")).between(F.col("from"), F.col("to")))
+        .join(postings, ["docno", "term", "split"])
+        .filter(~F.col("bucket").between(F.col("from"), F.col("to")))
         .select("split", "bag", "docno", (F.col("w") * F.col("sat")).alias("partial"))
     )
     return (
@@ -227,49 +220,35 @@ def _completed(index: LexicalIndex, found: DataFrame, lookups: DataFrame) -> Dat
     )
 
 
-def _survivors(index: LexicalIndex, found: DataFrame, lookups: DataFrame, k: int) -> DataFrame:
+def _survivors(postings: DataFrame, found: DataFrame, lookups: DataFrame, k: int) -> DataFrame:
     """The candidates whose bound reaches the k-th best score of the most promising ones."""
     promising = top_k(found.withColumn("score", F.col("partial")), ["bag", "split"], 2 * k)
-    lifted = _kth_best(_completed(index, promising, lookups), k)
+    lifted = _kth_best(_completed(postings, promising, lookups), k)
     return found.join(lifted, ["bag", "split"], "left").filter(
         F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - F.lit(_SLACK))
     )
 
 
-def _direct_contents(index: LexicalIndex, terms: DataFrame) -> DataFrame:
-    """All scores, for query sets whose terms have few postings altogether."""
-    return (
-        terms.select("split", "bag", "term", "w")
-        .join(index.saturated_postings(), ["term", "split"])
-        .groupBy("split", "bag", "docno")
-        .agg(F.round(F.sum(F.col("w") * F.col("sat")), SCORE_DIGITS).alias("score"))
-    )
-
-
-def _pruned_contents(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
+def _contents(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     """Scores of all documents that can be among the first ``k``."""
-    lookups = ws.stage(_lookups(terms, _floors(index, terms, k)), "lookups")
-    found = ws.stage(candidates(index, lookups), "candidates")
-    survivors = ws.stage(_survivors(index, found, lookups, k), "survivors")
-    return _completed(index, survivors, lookups)
+    asked = terms.select("split", "term").distinct()
+    postings = ws.stage(index.postings.join(asked, ["term", "split"], "left_semi"), "query-postings")
+    lookups = ws.stage(_lookups(terms, _floors(index, postings, terms, k)), "lookups")
+    found = ws.stage(candidates(postings, lookups), "candidates")
+    survivors = ws.stage(_survivors(postings, found, lookups, k), "survivors")
+    return _completed(postings, survivors, lookups)
 
 
-def hits_by_bag(
-    ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int, direct_limit: int = DIRECT_LIMIT
-) -> DataFrame:
+def hits_by_bag(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     """``split, bag, docno, score, rank`` of the first ``k`` documents per query bag."""
     if k > index.depth:
         raise ValueError(f"the index numbers copies up to {index.depth}; build it with depth >= {k}")
-    postings_to_read = terms.agg(F.sum("n")).first()[0] or 0
-    if postings_to_read <= direct_limit:
-        scored = _direct_contents(index, terms)
-    else:
-        scored = _pruned_contents(ws, index, terms, k)
+    scored = _contents(ws, index, terms, k)
     contents = top_k(scored, ["bag", "split"], k).drop("rank")
-    # k bags suffice: each holds at least one document that precedes those of later bags.
+    # k bags suffice: each holds at least one document that precedes those of later bags. Bags of one have no copies.
     documents = contents.withColumnRenamed("docno", "rep").join(
-        index.copies.select("split", "rep", "docno"), ["rep", "split"]
-    )
+        index.copies.select("split", "rep", "docno"), ["rep", "split"], "left"
+    ).withColumn("docno", F.coalesce("docno", "rep"))
     return top_k(documents.drop("rep"), ["bag", "split"], k)
 
 
@@ -280,12 +259,11 @@ def retrieve(
     model: Bm25 | TfIdf = Bm25(),
     k: int = 9,
     max_df_ratio: float | None = None,
-    direct_limit: int = DIRECT_LIMIT,
 ) -> DataFrame:
     """``split, qid, docno, rank, score`` of the first ``k`` documents per query; ties go to the smaller docno."""
     vectors = ws.stage(query_vectors(queries), "query-vectors")
     terms = ws.stage(query_terms(index, vectors, model, max_df_ratio), "query-terms")
-    answered = hits_by_bag(ws, index, terms, k, direct_limit)
+    answered = hits_by_bag(ws, index, terms, k)
     # One row per bag on this side, so that many equal queries do not multiply the other one before the join.
     lists = answered.groupBy("split", "bag").agg(F.collect_list(F.struct("docno", "rank", "score")).alias("_hits"))
     return (
@@ -306,6 +284,6 @@ def score_pairs(
     vectors = ws.stage(query_vectors(queries), "query-vectors")
     terms = query_terms(index, vectors, model)
     of_query = vectors.select("split", "qid", "bag").join(terms, ["bag", "split"])
-    # The copies that were not numbered have postings, too: a given pair may name any document.
-    scored = _full_scores(pairs, of_query, index.saturated_postings(all_copies=True), ["qid", "docno", "split"])
+    # Only the documents named are unpacked; a pair may name any copy.
+    scored = _full_scores(pairs, of_query, index.postings_of(pairs), ["qid", "docno", "split"])
     return pairs.join(scored, ["qid", "docno", "split"], "left").fillna({"score": 0.0, "overlap": 0})

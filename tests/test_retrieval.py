@@ -56,13 +56,12 @@ def skewed():
     return corpus, queries
 
 
-@pytest.mark.parametrize("limit", [0, 10**9], ids=["pruned", "direct"])
 @pytest.mark.parametrize("k", [1, K])
-def test_exact_top_k(spark, ws, skewed, limit, k):
+def test_exact_top_k(spark, ws, skewed, k):
     corpus, queries = skewed
     c, q = frames(spark, corpus, queries)
     index = build_index(ws, c, "skewed", depth=10)
-    assert_same(hits(retrieve(ws, index, q, k=k, direct_limit=limit)), expected(corpus, queries, k))
+    assert_same(hits(retrieve(ws, index, q, k=k)), expected(corpus, queries, k))
 
 
 @pytest.mark.parametrize(
@@ -72,7 +71,7 @@ def test_other_weights_pruned(spark, ws, skewed, model, plain):
     corpus, queries = skewed
     c, q = frames(spark, corpus, queries)
     index = build_index(ws, c, "skewed", depth=10)
-    assert_same(hits(retrieve(ws, index, q, model, k=K, direct_limit=0)), expected(corpus, queries, K, **plain))
+    assert_same(hits(retrieve(ws, index, q, model, k=K)), expected(corpus, queries, K, **plain))
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -84,7 +83,7 @@ def test_exact_top_k_short_queries(spark, ws, seed):
     queries = {f"q{i}": " ".join(rng.choices(vocabulary, k=rng.randint(1, 3))) for i in range(60)}
     c, q = frames(spark, corpus, queries)
     index = build_index(ws, c, f"short-{seed}", depth=10)
-    assert_same(hits(retrieve(ws, index, q, k=K, direct_limit=0)), expected(corpus, queries, K))
+    assert_same(hits(retrieve(ws, index, q, k=K)), expected(corpus, queries, K))
 
 
 def test_hand_computed_scores(spark, ws):
@@ -102,9 +101,8 @@ def test_splits_do_not_mix(spark, ws):
     c = spark.createDataFrame(rows, "split string, docno string, text string")
     q = spark.createDataFrame([("a", "q1", "x z"), ("b", "q1", "x")], "split string, qid string, query string")
     index = build_index(ws, c, "two-splits", depth=10)
-    for limit in (0, 10**9):
-        found = {(r.split, r.docno) for r in retrieve(ws, index, q, k=5, direct_limit=limit).collect()}
-        assert found == {("a", "d1"), ("a", "d2"), ("b", "d1")}
+    found = {(r.split, r.docno) for r in retrieve(ws, index, q, k=5).collect()}
+    assert found == {("a", "d1"), ("a", "d2"), ("b", "d1")}
 
 
 def test_frequent_words_can_be_dropped(spark, ws, skewed):
