@@ -256,3 +256,41 @@ def test_ranker_recovers_soft_labels(spark, ws):
 def test_grids():
     assert len(set(grids.main_grid())) == 100
     assert len(set(grids.ablation_grid())) == 25
+
+
+@pytest.mark.parametrize("relevant", [0, 1, 2])
+def test_exactly_one_relevant_document(spark, relevant):
+    queries = spark.createDataFrame([("all", "q7", "x")], "split string, qid string, query string")
+    rows = [("all", "q7", f"d{i}", 1) for i in range(relevant)] + [("all", "q7", "other", 0)]
+    qrels = spark.createDataFrame(rows, "split string, qid string, docno string, label int")
+    truth = rel.ground_truth(queries, qrels)
+    if relevant == 1:
+        assert [r.gt for r in truth.collect()] == ["d0"]
+    else:
+        with pytest.raises(Exception, match=f"query q7 of split all has {relevant} relevant documents"):
+            truth.collect()
+
+
+def test_blocks_follow_the_order_of_rows(spark, ws):
+    rows = []
+    for ordinal, qid, n, relevant in ((2, "q2", 9, 9), (10, "q10", 10, 1), (11, "q11", 10, 10)):
+        for pos in range(1, n + 1):
+            hit = int(pos == relevant)
+            rows.append(("all", qid, ordinal, f"d{pos}", pos, hit, float(hit)))
+    df = spark.createDataFrame(
+        rows, "split string, qid string, ordinal int, docno string, pos int, label int, logit double"
+    )
+    # q2 comes first and q10's relevant row falls into its block: the second block has none.
+    by_row = evaluation.r10_batched(ws, df, order=("ordinal",)).first()
+    assert (by_row.n_queries, by_row.n_correct) == (3, 2)
+    by_text = evaluation.r10_batched(ws, df).first()  # q10, q11, q2: no block is mixed
+    assert (by_text.n_queries, by_text.n_correct) == (3, 3)
+
+
+def test_classic_mode(spark):
+    rows = spark.createDataFrame([(1, 0.5, 0, 10), (0, 1.0, 0, 10)], "label int, score double, seen int, total int")
+    plan = rows.withColumn("split", F.lit("all"))
+    got = {r.label: (r.eps, round(r.target, 6)) for r in plan_targets(plan, "classic", 0.2).collect()}
+    assert got == {1: (0.2, 0.9), 0: (0.2, 0.1)}
+    got = {r.label: round(r.target, 6) for r in plan_targets(plan, "ls", 0.2).collect()}
+    assert got == {1: 0.9, 0: 0.2}

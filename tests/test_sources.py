@@ -4,10 +4,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.catalog.queries import REGISTRY
+from rankloom.catalog.study import Study
 from rankloom.operators.retrieval import top_k
+from rankloom.schemas import HISTORY_CONFIG
 from rankloom.session import Workspace, path_status, shared_folder
 from rankloom.sources import tables
-from rankloom.sources.pairs import drop_incomplete, read_tsv_pairs, write_tsv_pairs
+from rankloom.sources.pairs import (
+    drop_incomplete,
+    ingest_tsv_pairs,
+    read_ingested_pairs,
+    read_tsv_pairs,
+    write_tsv_pairs,
+)
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +121,43 @@ def test_entry(spark, ws):
     df = entry(spark)
     assert df.columns == ["split", "qid", "query", "docno", "text", "score", "label", "pos"]
     assert df.filter("label = 1").count() == 34
+
+
+def test_ingest_keeps_complete_rows_by_split(spark, tmp_path):
+    for name in ("train", "test"):
+        (tmp_path / f"{name}.tsv").write_text(f"context\tresponse\n{name} a\tb\nplain\t\n")
+    paths = {n: f"file:{tmp_path}/{n}.tsv" for n in ("train", "test")}
+    got = ingest_tsv_pairs(spark, paths, f"file:{tmp_path}/pairs")
+    assert {tuple(r) for r in got.collect()} == {("train", "train a", "b"), ("test", "test a", "b")}
+    assert got.columns == ["split", "context", "response"]
+    with pytest.raises(ValueError):
+        read_ingested_pairs(spark, f"file:{tmp_path}/none")
+
+
+def test_history_is_found_by_its_configuration(spark, tmp_path):
+    path = f"file:{tmp_path}/history"
+    for eps in (0.2, 0.4):
+        rows = [(0, eps, eps, "train", "c", "BM25", "ls", "step", 1.0, 1.0, eps, 3)]
+        names = ["instances_vues", "loss", "epsilon", *HISTORY_CONFIG.fieldNames()]
+        tables.write_history(spark.createDataFrame(rows, names), path)
+    got = tables.read_history(spark, path).filter("eps = 0.4 AND train_method = 'BM25' AND split = 'train'").collect()
+    assert [(r.loss, r.seed) for r in got] == [(0.4, 3)]
+    with pytest.raises(ValueError):
+        tables.write_history(spark.createDataFrame([(0, 0.1, 0.1)], names[:3]), path)
+
+
+def test_closed_workspace_drops_what_it_staged(spark, tmp_path):
+    with Workspace(spark, f"file:{tmp_path}/ws") as own:
+        own.stage(spark.range(3), "rows")
+        kept = own.build_or_load("kept", {"a": 1}, lambda: spark.range(2))
+        assert path_status(spark, f"file:{tmp_path}/ws")["files"] > 2
+    assert kept.count() == 2 and not any(p.name.startswith("rows") for p in (tmp_path / "ws").iterdir())
+
+
+def test_pairs_are_read_once(spark, tmp_path):
+    Workspace.use(spark, f"file:{tmp_path}/pairs-once")
+    s = Study(spark, SF)
+    first = s.pairs._jdf.queryExecution().executedPlan().toString()
+    assert "conversations" not in first and "pairs-" in first
+    negatives = REGISTRY["neg_random"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "conversations.parquet" not in negatives
