@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.ranker import FEATURES, GIVEN
 from .queries import MAX_LEN, VOCABULARY
 from .study import BATCH, EPOCHS, EPS, K
 
@@ -185,6 +186,18 @@ cte(
     "scored_bm25 scored_random",
     "SELECT 'BM25' AS method, * FROM scored_bm25 UNION ALL SELECT 'random', * FROM scored_random",
 )
+cte(
+    "held_out",
+    "by_method bm25_all tfidf_all q_words d_words",
+    f"""SELECT method, split, qid, docno, label, pos,
+         round({' + '.join([f'{GIVEN["intercept"]}e0', *(f'{GIVEN[f]}e0 * {f}' for f in FEATURES)])}, 6) AS logit
+  FROM (SELECT g.method, g.split, g.qid, g.docno, g.label, g.pos, coalesce(b.score, 0e0) AS bm25,
+               coalesce(t.score, 0e0) AS tf_idf, coalesce(b.overlap, 0)::DOUBLE AS overlap,
+               round(len(q.words)::DOUBLE / greatest(len(q.words) + len(d.words), 1), 6) AS length_ratio
+        FROM by_method g JOIN q_words q USING (split, qid) JOIN d_words d USING (split, docno)
+             LEFT JOIN bm25_all b USING (split, qid, docno) LEFT JOIN tfidf_all t USING (split, qid, docno)
+        WHERE {number("'0-' || qid", 8)} / 4294967296e0 >= 0.8e0)""",
+)
 cte(
     "sides",
     "pairs",
@@ -475,6 +488,10 @@ FROM (SELECT *, {weak('label', 'score', '0.4e0')} AS weak FROM groups_bm25) GROU
     "batch_bce": sql("plan", f"SELECT split, seen, round({bce('label')}, 6) AS loss FROM plan GROUP BY ALL"),
     "history": sql("history", "SELECT * FROM history"),
     "r10_at_1": sql("by_method", r10("by_method", "split, method, qid", "split, method", "pos")),
+    "ranker_scores_given": sql(
+        "held_out", "SELECT split, qid, docno, label, logit FROM held_out WHERE method = 'random'"
+    ),
+    "method_eval_given": sql("held_out", r10("held_out", "split, method, qid", "split, method", "pos")),
     "r10_batched": sql(
         "scored_bm25 pairs",
         r10(

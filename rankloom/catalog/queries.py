@@ -605,6 +605,23 @@ def ranker_scores(s: Study) -> DataFrame:
     return scored.select("split", "qid", "docno", "label", r6("logit"))
 
 
+@query
+def ranker_scores_given(s: Study) -> DataFrame:
+    """Scores of held-out rows under given coefficients."""
+    scored = ranker.apply_coefficients(ranker.GIVEN, _held_out(s, "random"))
+    return scored.select("split", "qid", "docno", "label", r6("logit"))
+
+
+@query
+def method_eval_given(s: Study) -> DataFrame:
+    """R_10@1 of the ranker with given coefficients on either method's held-out negatives."""
+    parts = [
+        ranker.apply_coefficients(ranker.GIVEN, _held_out(s, m)).withColumn("logit", r6("logit")).withColumn("method", F.lit(m))
+        for m in grids.METHODS
+    ]
+    return evaluation.r10_at_1(reduce(DataFrame.unionByName, parts), ["split", "method"])
+
+
 @query
 def cross_method_eval(s: Study) -> DataFrame:
     """R_10@1 of the ranker fitted on one method's negatives and tested on another's."""

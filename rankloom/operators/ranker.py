@@ -18,6 +18,8 @@ from .lexical import LexicalIndex, document_lengths
 from .retrieval import Bm25, TfIdf, query_vectors, score_pairs
 
 FEATURES = ["bm25", "tf_idf", "overlap", "length_ratio"]
+# Coefficients for scoring without a fit, so that another engine can repeat it digit by digit.
+GIVEN = {"intercept": -2.0, "bm25": 0.25, "tf_idf": 0.0625, "overlap": 0.125, "length_ratio": 1.5}
 
 
 def pair_features(ws: Workspace, index: LexicalIndex, queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -69,6 +71,14 @@ def apply_ranker(model: LogisticRegressionModel, featured: DataFrame) -> DataFra
     )
 
 
+def apply_coefficients(given: dict[str, float], featured: DataFrame) -> DataFrame:
+    """Add ``logit`` of a linear ranker whose coefficients are known."""
+    logit = F.lit(given["intercept"])
+    for name in FEATURES:
+        logit = logit + F.lit(given[name]) * F.col(name)
+    return featured.withColumn("logit", logit)
+
+
 def coefficients(model: LogisticRegressionModel, spark) -> DataFrame:
     """One row per feature and one for the intercept."""
     rows = [("intercept", float(model.intercept)), *zip(FEATURES, map(float, model.coefficients), strict=True)]
