@@ -26,4 +26,37 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
-LLM_ORACLE: dict[str, str] = {"op2_url_filter": OP2}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP9 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS place, doc_id, {_words('text')} AS words FROM documents
+), items AS (
+  SELECT item_id, {_words('text')} AS words FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, words[k + 1:k + 10] AS terms
+  FROM (SELECT *, unnest(range(0, greatest(len(words) - 10, 0) + 1)) AS k FROM items WHERE len(words) > 0)
+), sizes AS (
+  SELECT DISTINCT len(terms) AS n FROM windows
+), runs AS (
+  SELECT place, k, n, words[k + 1:k + n] AS terms
+  FROM (SELECT *, unnest(range(0, len(words) - n + 1)) AS k FROM docs, sizes WHERE len(words) >= n)
+), hits AS (
+  SELECT place, k, n, item_id FROM runs JOIN windows USING (terms)
+), covered AS (
+  SELECT place, count(DISTINCT p) AS n_hit FROM (SELECT place, unnest(range(k, k + n)) AS p FROM hits) GROUP BY place
+), named AS (
+  SELECT place, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS sha
+  FROM (SELECT DISTINCT place, item_id::VARCHAR AS item FROM hits) GROUP BY place
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (place) LEFT JOIN named USING (place)
+"""
+
+LLM_ORACLE: dict[str, str] = {"op2_url_filter": OP2, "op9_positional_index": OP9}

@@ -4,9 +4,11 @@ import hashlib
 import re
 from collections import Counter
 
+from compare import duck, mismatch
 from odd import docs_of, odd_docs, odd_texts
 
 from rankloom.llm import decontam
+from rankloom.llm.oracle import LLM_ORACLE
 from rankloom.llm.queries import LLM_REGISTRY
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +81,7 @@ def test_query(spark, sf_docs):
     docs = [(r.doc_id, r.text) for r in sf_docs.collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert Counter(tuple(r) for r in LLM_REGISTRY["op9_positional_index"](spark, SF).collect()) == brute(docs, items)
+
+
+def test_query_equals_its_twin(spark):
+    assert mismatch(LLM_REGISTRY["op9_positional_index"](spark, SF).toPandas(), duck(SF).execute(LLM_ORACLE["op9_positional_index"]).df()) is None
