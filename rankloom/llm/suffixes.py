@@ -79,20 +79,36 @@ def least_in_runs(values: np.ndarray, run: int) -> np.ndarray:
     return np.minimum(behind[: len(values) - run + 1], ahead[run - 1 : len(values)])
 
 
+def block_name(sums: Prefixes, first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Name of the text of the strings that start from ``first`` to ``last``, and of where ``at`` stands in it."""
+    place = (at - first).astype(np.uint64) << np.uint64(20) | (last - first).astype(np.uint64)
+    return mixed(sums.of(first, last + length) + mixed(place))
+
+
 def cover(data: np.ndarray, length: int, tuple_bytes: int):
     """For each sampled suffix: its place, the first and last start of its strings, its name, its block's name."""
+    held = None
     for begin in range(0, len(data) - length + 1, SLICE):
-        part = data[begin : begin + SLICE + length - 1]
-        sums = Prefixes(part)
-        starts = np.arange(len(part) - tuple_bytes + 1)
+        sums = Prefixes(data[begin : begin + SLICE + length - 1])
+        starts = np.arange(len(sums.sums) - tuple_bytes)
         names = sums.of(starts, starts + tuple_bytes)
         ranked = (mixed(names) & ~PLACE) | starts.astype(np.uint64)
         chosen = (least_in_runs(ranked, length - tuple_bytes + 1) & PLACE).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
         last = np.append(new[1:], len(chosen)) - 1
         at = chosen[new]
-        block = mixed(sums.of(new, last + length) + mixed((at - new).astype(np.uint64) << np.uint64(20) | (last - new).astype(np.uint64)))
-        yield at + begin, new + begin, last + begin, names[at], block
+        found = [at + begin, new + begin, last + begin, names[at], block_name(sums, new, last, at, length)]
+        if held is not None and held[0][-1] == found[0][0]:  # its strings go on across the slices
+            low, high = held[1][-1:], found[2][:1]
+            across = Prefixes(data[low[0] : high[0] + length])
+            found[1][0] = low[0]
+            found[4][0] = block_name(across, low - low, high - low, found[0][:1] - low, length)[0]
+            held = [x[:-1] for x in held]
+        if held is not None:
+            yield held
+        held = found
+    if held is not None:
+        yield held
 
 
 def key_of():
@@ -131,11 +147,11 @@ def cuts(docs: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {f.name: [] for f in schema}
-        seen = set()
+        done = None
         for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-            if key in seen:  # copies in one batch
+            if key == done:  # the join puts copies side by side
                 continue
-            seen.add(key)
+            done = key
             data = np.frombuffer(text, np.uint8)
             for b in found:
                 at, low, high = b["at"], b["low"], b["high"]
@@ -177,22 +193,25 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, tuple_by
     again = kept.join(blocks.where("n > 1").select("name", "block"), ["name", "block"]).select("key", "low", "high")
     several = blocks.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("name")
     unsure = staged(spark, blocks.join(several, "name").select("name", "one.*", (F.col("n") == 1).alias("open")), "unsure")
-    # A text's copies yield equal rows; an open block occurs once, so its text has no copy.
-    cut = staged(spark, cuts(docs, unsure, length).dropDuplicates(["key", "at", "low"]), "cuts")
+    # An open block occurs once, so its text has no copy; a copy's cuts count as occurrences, which they are.
+    cut = staged(spark, cuts(docs, unsure, length), "cuts")
+    dropped(spark, unsure)
     place = ["name", "step"]
     shared = cut.groupBy(*place, "core").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select(*place, "core")
+    alike = staged(spark, cut.join(shared, [*place, "core"], "left_semi"), "alike")
+    dropped(spark, cut)
     wholes = (
-        cut.where("whole IS NOT NULL").groupBy(*place, "whole")
+        alike.where("whole IS NOT NULL").groupBy(*place, "whole")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at", "low")).alias("one")).where("n > 1")
     )
     known = staged(
         spark,
-        cut.join(shared, [*place, "core"]).join(wholes, [*place, "whole"], "left")
+        alike.join(wholes, [*place, "whole"], "left")
         .withColumn("first", F.coalesce(F.struct("key", "at", "low") == F.col("one"), F.lit(False)))
         .withColumn("same", F.col("n").isNotNull()).drop("n", "one"),
         "known",
     )
-    dropped(spark, cut, unsure)
+    dropped(spark, alike)
     high = F.col("low") + F.size("marks") - 1
     all_again = known.where("open AND same").select("key", "low", high.alias("high"))
     asked = known.where("open AND NOT same").select(*place, "core").distinct()
