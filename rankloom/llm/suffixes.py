@@ -185,9 +185,10 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, tuple_by
     """key, low, high: runs of starts of strings that occur again, the strings of a text by the text's key."""
     small_batches(spark)
     sampled = staged(spark, covered(docs, length, tuple_bytes), "sampled")
-    names = sampled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    # Keys are written before they are joined: beside an aggregation a join on a hot key could not be split.
+    names = staged(spark, sampled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "names")
     kept = staged(spark, sampled.join(names, "name"), "kept")
-    dropped(spark, sampled)
+    dropped(spark, sampled, names)
     one = F.min(F.struct("key", "at", "low", "high")).alias("one")
     blocks = staged(spark, kept.groupBy("name", "block").agg(F.count(F.lit(1)).alias("n"), one), "blocks")
     again = kept.join(blocks.where("n > 1").select("name", "block"), ["name", "block"]).select("key", "low", "high")
@@ -198,12 +199,14 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, tuple_by
     dropped(spark, unsure)
     place = ["name", "step"]
     shared = cut.groupBy(*place, "core").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select(*place, "core")
+    shared = staged(spark, shared, "shared")
     alike = staged(spark, cut.join(shared, [*place, "core"], "left_semi"), "alike")
-    dropped(spark, cut)
+    dropped(spark, cut, shared)
     wholes = (
         alike.where("whole IS NOT NULL").groupBy(*place, "whole")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at", "low")).alias("one")).where("n > 1")
     )
+    wholes = staged(spark, wholes, "wholes")
     known = staged(
         spark,
         alike.join(wholes, [*place, "whole"], "left")
@@ -211,7 +214,7 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, tuple_by
         .withColumn("same", F.col("n").isNotNull()).drop("n", "one"),
         "known",
     )
-    dropped(spark, alike)
+    dropped(spark, alike, wholes)
     high = F.col("low") + F.size("marks") - 1
     all_again = known.where("open AND same").select("key", "low", high.alias("high"))
     asked = known.where("open AND NOT same").select(*place, "core").distinct()
@@ -221,9 +224,10 @@ def repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, tuple_by
     strings = staged(spark, strings, "strings")
     spot = ["name", "distance", "mark"]
     twice = strings.groupBy(*spot).agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked")).where("n > 1 AND asked").select(*spot)
+    twice = staged(spark, twice, "twice")
     by_one = strings.where("asked").join(twice, spot).select("key", "low", F.col("low").alias("high"))
     found = staged(spark, again.union(all_again).union(by_one).distinct(), "repeats")
-    dropped(spark, kept, blocks, known, strings)
+    dropped(spark, kept, blocks, known, strings, twice)
     return found
 
 
