@@ -5,10 +5,10 @@ them under one hash order and keeps them in text order, so it depends on the ord
 k-mers. Two texts with k-mer similarity ``s`` agree in one sketch with probability about ``s ** picks``, and in one of
 ``bands`` sketches with ``1 - (1 - s ** picks) ** bands``: 0.9994 at 0.8 with 8 picks and 40 bands, and 2e-5 at 0.2.
 
-Texts that share a sketch are a bucket. A bucket is never paired out: its smallest member, the hub, is checked against the
-others. The k-mer distance is a metric, so a member that the hub doesn't take can only be linked to members whose
-distance from the hub is near its own; those, and the rest, stay for the next round with a new hub, until none is left. No
-link inside a bucket is lost that could join two classes. Equal texts are one node from the start.
+Texts that share a sketch are a bucket. A bucket is never paired out: the member that shares most sketches, the hub, is
+checked against the others. The k-mer distance is a metric, so a member that the hub doesn't take can only be linked to
+members whose distance from the hub is near its own; those stay for the next round with a new hub, unless all of them are
+in one class by then. No link inside a bucket is lost that could join two classes. Equal texts are one node from the start.
 
 Two texts are linked if their k-mers (with occurrences) have a Jaccard similarity of ``least`` or more and their alignment
 a similarity ``1 - distance / (words of both)`` of ``least`` or more, with insertions and deletions counted; the band of
@@ -21,7 +21,6 @@ rows share a class; a class is named by its smallest document id, null ids aside
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import by_batch, small_batches, staged, text_of
+from rankloom.llm.common import by_batch, dropped, small_batches, staged, text_of
 
 K, PICKS, BANDS, LEAST = 5, 8, 40, 0.8
 MIX = np.random.default_rng(20_240_501).integers(1, 1 << 63, size=(4, 256), dtype=np.uint64) | np.uint64(1)
@@ -164,15 +163,14 @@ def text_key():
     return F.unhex(F.md5(text_of().cast("binary")))
 
 
-def verified(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def texts_of(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the nodes asked for."""
+    rows = docs.select(text_key().alias("key"), text_of().alias("text"))
+    return staged(spark, rows.join(nodes, "key").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """hub, node, distance, linked of each pair of nodes."""
-    wanted = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct().join(nodes.select("node", "key"), "node")
-    texts = staged(
-        spark,
-        docs.select(text_key().alias("key"), text_of().alias("text")).join(wanted, "key")
-        .groupBy("node").agg(F.any_value("text").alias("text")),
-        "texts",
-    )
     both = pairs.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("a")), "hub").join(
         texts.select("node", F.col("text").alias("b")), "node"
     )
@@ -187,34 +185,47 @@ def verified(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, docs: Data
     )
 
 
-def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """Verified links (hub, node) that join all classes of the buckets."""
+def class_roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """node, root of the nodes that have a link: components of the verified links."""
     rows = nodes.select("node", F.explode("sketch").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = staged(spark, rows.join(shared, "bucket").withColumn("open", F.lit(True)), "members")
-    done, known = None, None
-    while True:
-        hubs = members.where("open").groupBy("bucket").agg(F.min("node").alias("hub"))
-        starred = members.join(hubs, "bucket").where("node <> hub")
-        pairs = starred.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = staged(spark, rows.join(shared, "bucket"), "shared")
+    # The node that shares most sketches is the best hub: of a text and its varied copies it is the text.
+    weights = sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
+    members = staged(spark, sized.select("bucket", "node").join(weights, "node").withColumn("open", F.lit(True)), "members")
+    texts = texts_of(spark, docs, nodes.select("node", "key").join(members.select("node").distinct(), "node"))
+    dropped(spark, sized)
+    known, roots = None, spark.createDataFrame([], "node bigint, root bigint")
+    while not members.isEmpty():
+        best = F.max(F.struct("weight", (-F.col("node")).alias("node")))
+        hubs = members.where("open").groupBy("bucket").agg((-best["node"]).alias("hub"))
+        starred = members.join(hubs, "bucket").where("node <> hub").select(
+            "bucket", "node", "weight", "open", F.least("hub", "node").alias("low"), F.greatest("hub", "node").alias("high")
+        )
+        pairs = starred.select(F.col("low").alias("hub"), F.col("high").alias("node")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("hub", "node"), ["hub", "node"], "left_anti")
-        pairs = staged(spark, pairs, "pairs")
-        if pairs.isEmpty() and known is None:
-            return spark.createDataFrame([], "hub bigint, node bigint")
-        fresh = staged(spark, verified(spark, pairs, nodes, docs, least), "verified")
-        known = fresh if known is None else known.union(fresh)
-        done = known.where("linked").select("hub", "node")
-        # A bucket goes on with the members its hub did not take, and those that could still be linked to one of them.
-        seen = starred.withColumn("low", F.least("hub", "node")).withColumn("high", F.greatest("hub", "node")).join(
-            known.select(F.col("hub").alias("low"), F.col("node").alias("high"), "distance", "linked"), ["low", "high"]
-        ).select("bucket", "node", (F.col("open") & ~F.col("linked")).alias("open"), "distance")
+        fresh = verified(staged(spark, pairs, "pairs"), texts, least)
+        known = staged(spark, fresh if known is None else known.union(fresh), "known")
+        roots = components(spark, known.where("linked").select("hub", "node"))
+        # A bucket goes on with the members its hub did not take and those that could still be linked to one of them,
+        # as long as they are of different components.
+        seen = staged(
+            spark,
+            starred.join(known.select(F.col("hub").alias("low"), F.col("node").alias("high"), "distance", "linked"), ["low", "high"])
+            .select("bucket", "node", "weight", (F.col("open") & ~F.col("linked")).alias("open"), "distance"),
+            "seen",
+        )
         nearest = seen.where("open").groupBy("bucket").agg(F.min("distance").alias("nearest"))
-        kept = seen.join(nearest, "bucket").where(F.col("open") | (F.col("distance") >= F.col("nearest") - (1 - least) - 1e-9))
-        several = kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        members = staged(spark, kept.join(several, "bucket").select("bucket", "node", "open"), "members")
-        if members.isEmpty():
-            return done
+        kept = (
+            seen.join(nearest, "bucket").where(F.col("open") | (F.col("distance") >= F.col("nearest") - (1 - least) - 1e-9))
+            .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        )
+        apart = kept.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+        fewer = staged(spark, kept.join(apart, "bucket").select("bucket", "node", "weight", "open"), "members")
+        dropped(spark, members, seen)
+        members = fewer
+    return roots
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -247,7 +258,7 @@ def classed(
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    roots = components(spark, links(spark, docs, nodes, least))
+    roots = class_roots(spark, docs, nodes, least)
     named = nodes.select("node", "key", "first_doc").join(roots, "node", "left")
     return raw.select("doc_id", "key"), named.select("key", "first_doc", F.coalesce("root", "node").alias("root"))
 
