@@ -25,7 +25,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import by_batch, dropped, small_batches, staged, text_of
@@ -196,12 +196,15 @@ def class_roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, least: f
     texts = texts_of(spark, docs, nodes.select("node", "key").join(members.select("node").distinct(), "node"))
     dropped(spark, sized)
     known, roots = None, spark.createDataFrame([], "node bigint, root bigint")
+    by_weight = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
+    several = 1
     while not members.isEmpty():
-        best = F.max(F.struct("weight", (-F.col("node")).alias("node")))
-        hubs = members.where("open").groupBy("bucket").agg((-best["node"]).alias("hub"))
+        ranked = members.where("open").select("bucket", F.col("node").alias("hub"), F.row_number().over(by_weight).alias("place"))
+        hubs = staged(spark, ranked.where(F.col("place") <= several), "hubs")
         starred = members.join(hubs, "bucket").where("node <> hub").select(
-            "bucket", "node", "weight", "open", F.least("hub", "node").alias("low"), F.greatest("hub", "node").alias("high")
+            "bucket", "node", "hub", "place", "weight", "open", F.least("hub", "node").alias("low"), F.greatest("hub", "node").alias("high")
         )
+        several *= 2  # later rounds hold few buckets: more hubs of each, and soon an end
         pairs = starred.select(F.col("low").alias("hub"), F.col("high").alias("node")).distinct()
         if known is not None:
             pairs = pairs.join(known.select("hub", "node"), ["hub", "node"], "left_anti")
@@ -213,7 +216,10 @@ def class_roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, least: f
         seen = staged(
             spark,
             starred.join(known.select(F.col("hub").alias("low"), F.col("node").alias("high"), "distance", "linked"), ["low", "high"])
-            .select("bucket", "node", "weight", (F.col("open") & ~F.col("linked")).alias("open"), "distance"),
+            .groupBy("bucket", "node", "weight", "open")
+            .agg(F.bool_or("linked").alias("taken"), F.min_by("distance", "place").alias("distance"))
+            .select("bucket", "node", "weight", (F.col("open") & ~F.col("taken")).alias("open"), "distance")
+            .join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"),
             "seen",
         )
         nearest = seen.where("open").groupBy("bucket").agg(F.min("distance").alias("nearest"))
