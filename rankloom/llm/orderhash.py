@@ -3,7 +3,11 @@
 A text's k-mers are its runs of five words, each labelled with its occurrence. A sketch takes the ``picks`` smallest of
 them under one hash order and keeps them in text order, so it depends on the order of the text and not only on its set of
 k-mers. Two texts with k-mer similarity ``s`` agree in one sketch with probability about ``s ** picks``, and in one of
-``bands`` sketches with ``1 - (1 - s ** picks) ** bands``: 0.9994 at 0.8 with 8 picks and 40 bands, and 2e-5 at 0.2.
+``bands`` sketches with ``1 - (1 - s ** picks) ** bands``: 0.9994 at 0.8 with 8 picks and 40 bands, and 2e-5 at 0.2. The
+picks are drawn without replacement, which tells on short texts: 0.998 at 50 k-mers, and nothing below 8. Pairs with a text
+of at most ``SHORT`` k-mers are therefore found for certain, by a prefix filter: of ``n`` k-mers in an order that all texts
+share, the first ``n - ceil(least * n) + 1`` are buckets too, as linked texts have one of these in common. The order is by
+the number of texts that hold a k-mer, so that a common line is no bucket of texts that only have this line in common.
 
 Texts that share a sketch are a bucket. A bucket is never paired out: the member that shares most sketches, the hub, is
 checked against the others. The k-mer distance is a metric, so a member that the hub doesn't take can only be linked to
@@ -33,6 +37,7 @@ from rankloom.llm.common import by_batch, dropped, small_batches, staged, text_o
 K, PICKS, BANDS, LEAST = 5, 8, 40, 0.8
 MIX = np.random.default_rng(20_240_501).integers(1, 1 << 63, size=(4, 256), dtype=np.uint64) | np.uint64(1)
 BLOCK = 1 << 14
+SHORT = 50  # k-mers of texts whose links are found by prefixes
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -144,19 +149,39 @@ def compared(a: str, b: str, least: float = LEAST) -> tuple[float, bool]:
     return 1 - near, banded_distance(x, y, limit) is not None
 
 
-def sketched(docs: DataFrame, picks: int = PICKS, bands: int = BANDS) -> DataFrame:
-    """doc_id, key of the text, sketches."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+def sketched(docs: DataFrame, picks: int = PICKS, bands: int = BANDS, least: float = LEAST) -> DataFrame:
+    """doc_id, key of the text, sketches, and the k-mers of texts that can be linked to one of ``SHORT`` k-mers."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))]
+    )
+    reach = int(SHORT / least + 1e-9)
 
     def work(batch: pa.RecordBatch) -> dict:
+        found = [kmers(t) for t in batch.column(2).to_pylist()]
         return {
             "doc_id": batch.column(0),
             "key": batch.column(1),
-            "sketch": [sketches(kmers(t), picks, bands) for t in batch.column(2).to_pylist()],
+            "sketch": [sketches(codes, picks, bands) for codes in found],
+            "short": [codes.view(np.int64).tolist() if len(codes) <= reach else [] for codes in found],
         }
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("key"), text_of().alias("text"))
-    return rows.mapInArrow(by_batch(work, schema), "doc_id bigint, key binary, sketch array<bigint>")
+    return rows.mapInArrow(by_batch(work, schema), "doc_id bigint, key binary, sketch array<bigint>, short array<bigint>")
+
+
+def prefixes(nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """node, bucket: the prefix of each short text, rarest k-mers first, as far as other texts have them."""
+    rows = nodes.select("node", F.size("short").alias("n"), F.explode("short").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    by_node = Window.partitionBy("node")
+    # K-mers of one text only come first in the order, and are no buckets.
+    placed = rows.join(shared, "bucket").select(
+        "node",
+        "bucket",
+        "n",
+        (F.col("n") - F.count(F.lit(1)).over(by_node) + F.row_number().over(by_node.orderBy("texts", "bucket"))).alias("place"),
+    )
+    return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("node", "bucket")
 
 
 def text_key():
@@ -185,9 +210,13 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     )
 
 
-def class_roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """node, root of the nodes that have a link: components of the verified links."""
+def class_roots(
+    spark: SparkSession, docs: DataFrame, nodes: DataFrame, least: float = LEAST, exact: DataFrame | None = None
+) -> DataFrame:
+    """node, root of the nodes that have a link: components of the verified links. ``exact`` are more buckets."""
     rows = nodes.select("node", F.explode("sketch").alias("bucket"))
+    if exact is not None:
+        rows = rows.union(exact.select("node", "bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = staged(spark, rows.join(shared, "bucket"), "shared")
     # The node that shares most sketches is the best hub: of a text and its varied copies it is the text.
@@ -257,14 +286,16 @@ def classed(
 ) -> tuple[DataFrame, DataFrame]:
     """The rows' ids and text keys, and the texts (key, first_doc) with their root."""
     small_batches(spark)
-    raw = staged(spark, sketched(docs, picks, bands), "sketched")
+    raw = staged(spark, sketched(docs, picks, bands, least), "sketched")
     nodes = staged(
         spark,
-        raw.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.any_value("sketch").alias("sketch"))
+        raw.groupBy("key")
+        .agg(F.min("doc_id").alias("first_doc"), F.any_value("sketch").alias("sketch"), F.any_value("short").alias("short"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    roots = class_roots(spark, docs, nodes, least)
+    exact = staged(spark, prefixes(nodes, least), "prefixes")
+    roots = class_roots(spark, docs, nodes, least, exact)
     named = nodes.select("node", "key", "first_doc").join(roots, "node", "left")
     return raw.select("doc_id", "key"), named.select("key", "first_doc", F.coalesce("root", "node").alias("root"))
 

@@ -86,6 +86,43 @@ def test_chains_of_links_become_one_class(spark):
     assert Counter(tuple(r) for r in orderhash.classes(spark, docs_of(spark, docs)).collect()) == brute(docs)
 
 
+def short_pairs():
+    """Pairs of 8 to 16 words, and of 50 to 62 k-mers, that differ at one end, each of its own words."""
+    docs, at = [], 0
+
+    def words(n):
+        nonlocal at
+        at += 1
+        return [f"p{at}x{k}" for k in range(n)]
+
+    for n in range(8, 17):
+        for more in (1, 2):
+            for front in (False, True):
+                w, extra = words(n), words(more)
+                docs += [" ".join(w), " ".join(extra + w if front else w + extra)]
+        w = words(n)
+        docs += [" ".join(w), " ".join(w[:-1] + words(1)), " ".join(w[: n // 2] + words(1) + w[n // 2 :])]
+    for n, more in ((50, 12), (50, 13), (49, 12), (51, 12), (62, 15)):
+        w = words(n + 4)
+        docs += [" ".join(w), " ".join(w + words(more))]
+    line = words(9)
+    docs += [" ".join(line + words(4 + k % 9)) for k in range(40)]
+    return [(k, t) for k, t in enumerate(docs)]
+
+
+def test_short_texts_equal_all_pairs(spark):
+    docs = short_pairs()
+    want = brute(docs)
+    assert sum(n == 2 for _, _, n in want) > 60
+    assert Counter(tuple(r) for r in orderhash.classes(spark, docs_of(spark, docs)).collect()) == want
+
+
+def test_a_common_line_is_no_bucket_of_short_texts(spark):
+    docs = docs_of(spark, [(k, "this one line is in all of the short texts " + " ".join(f"c{k}x{j}" for j in range(3 + k % 9))) for k in range(60)])
+    nodes = orderhash.sketched(docs).withColumnRenamed("doc_id", "node")
+    assert orderhash.prefixes(nodes).isEmpty()
+
+
 def test_odd_table(spark):
     docs = [(i, t) for i, t in odd_texts() if i != 7]
     assert Counter(tuple(r) for r in orderhash.classes(spark, docs_of(spark, docs)).collect()) == brute(docs)
