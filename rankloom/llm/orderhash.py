@@ -10,9 +10,10 @@ share, the first ``n - ceil(least * n) + 1`` are buckets too, as linked texts ha
 the number of texts that hold a k-mer, so that a common line is no bucket of texts that only have this line in common.
 
 Texts that share a sketch are a bucket. A bucket is never paired out: the member that shares most sketches, the hub, is
-checked against the others. The k-mer distance is a metric, so a member that the hub doesn't take can only be linked to
-members whose distance from the hub is near its own; those stay for the next round with a new hub, unless all of them are
-in one class by then. No link inside a bucket is lost that could join two classes. Equal texts are one node from the start.
+checked against the others. The k-mer distance is a metric, so members can only be linked if their distances from the hub
+are near each other. A member stays for the next round, with new hubs, while one of another class is that near, whether
+hubs have taken them or not. No link inside a bucket is lost that could join two classes. Equal texts are one node from the
+start.
 
 Two texts are linked if their k-mers (with occurrences) have a Jaccard similarity of ``least`` or more and their alignment
 a similarity ``1 - distance / (words of both)`` of ``least`` or more, with insertions and deletions counted; the band of
@@ -221,16 +222,24 @@ def class_roots(
     sized = staged(spark, rows.join(shared, "bucket"), "shared")
     # The node that shares most sketches is the best hub: of a text and its varied copies it is the text.
     weights = sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
-    members = staged(spark, sized.select("bucket", "node").join(weights, "node").withColumn("open", F.lit(True)), "members")
+    members = staged(
+        spark,
+        sized.select("bucket", "node").join(weights, "node").withColumn("open", F.lit(True)).withColumn("root", F.col("node")),
+        "members",
+    )
     texts = texts_of(spark, docs, nodes.select("node", "key").join(members.select("node").distinct(), "node"))
     dropped(spark, sized)
     known, roots = None, spark.createDataFrame([], "node bigint, root bigint")
-    by_weight = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
+    by_weight = Window.partitionBy("bucket").orderBy(F.desc("open"), F.desc("weight"), "node")
+    width = max(1 - least, 0.01) / 4
     several = 1
     while not members.isEmpty():
-        ranked = members.where("open").select("bucket", F.col("node").alias("hub"), F.row_number().over(by_weight).alias("place"))
+        ranked = members.select(
+            "bucket", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.row_number().over(by_weight).alias("place")
+        )
         hubs = staged(spark, ranked.where(F.col("place") <= several), "hubs")
-        starred = members.join(hubs, "bucket").where("node <> hub").select(
+        # Distances are taken from the first hub; another hub needs no check of its own class.
+        starred = members.join(hubs, "bucket").where("node <> hub and (place = 1 or root <> hub_root)").select(
             "bucket", "node", "hub", "place", "weight", "open", F.least("hub", "node").alias("low"), F.greatest("hub", "node").alias("high")
         )
         several *= 2  # later rounds hold few buckets: more hubs of each, and soon an end
@@ -240,24 +249,34 @@ def class_roots(
         fresh = verified(staged(spark, pairs, "pairs"), texts, least)
         known = staged(spark, fresh if known is None else known.union(fresh), "known")
         roots = components(spark, known.where("linked").select("hub", "node"))
-        # A bucket goes on with the members its hub did not take and those that could still be linked to one of them,
-        # as long as they are of different components.
+        # A bucket goes on with the members that could still be linked to one of another component: their distances from the
+        # first hub differ by ``1 - least`` at most, so by five cells of a quarter of it at most.
         seen = staged(
             spark,
             starred.join(known.select(F.col("hub").alias("low"), F.col("node").alias("high"), "distance", "linked"), ["low", "high"])
             .groupBy("bucket", "node", "weight", "open")
             .agg(F.bool_or("linked").alias("taken"), F.min_by("distance", "place").alias("distance"))
-            .select("bucket", "node", "weight", (F.col("open") & ~F.col("taken")).alias("open"), "distance")
-            .join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"),
+            .join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
+            .join(roots, "node", "left")
+            .select(
+                "bucket",
+                "node",
+                "weight",
+                (F.col("open") & ~F.col("taken")).alias("open"),
+                F.coalesce("root", "node").alias("root"),
+                F.floor(F.col("distance") / width).alias("cell"),
+            ),
             "seen",
         )
-        nearest = seen.where("open").groupBy("bucket").agg(F.min("distance").alias("nearest"))
-        kept = (
-            seen.join(nearest, "bucket").where(F.col("open") | (F.col("distance") >= F.col("nearest") - (1 - least) - 1e-9))
-            .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        cells = seen.groupBy("bucket", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+        around = (
+            cells.select("bucket", F.explode(F.sequence(F.col("cell") - 5, F.col("cell") + 5)).alias("cell"), "a", "b")
+            .groupBy("bucket", "cell")
+            .agg(F.min("a").alias("a"), F.max("b").alias("b"))
+            .where("a <> b")
         )
-        apart = kept.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-        fewer = staged(spark, kept.join(apart, "bucket").select("bucket", "node", "weight", "open"), "members")
+        kept = seen.join(around, ["bucket", "cell"])
+        fewer = staged(spark, kept.select("bucket", "node", "weight", "open", "root"), "members")
         dropped(spark, members, seen)
         members = fewer
     return roots

@@ -79,6 +79,27 @@ def test_classes_equal_all_pairs(spark):
         assert Counter(tuple(r) for r in orderhash.classes(spark, docs_of(spark, docs)).collect()) == brute(docs)
 
 
+def test_members_of_different_hubs_are_linked(spark):
+    w = [f"v{k}" for k in range(100)]
+    text = {"h1": w[:60], "h2": w[14:74], "a": w[6:66], "b": w[11:71]}
+    text = {n: " ".join(x) for n, x in text.items()} | {"h3": " ".join(f"u{k}" for k in range(60))}
+    edges = {(x, y) for x in text for y in text if x < y and linked(text[x], text[y])}
+    assert edges == {("a", "h1"), ("b", "h2"), ("a", "b")}
+    # Further buckets, of texts that are not linked, give the weights: h1, h2, h3, then a and b.
+    names = ["h1", "h2", "h3", "a", "b"]
+    own = {"h1": [2, 3, 4, 5], "h2": [6, 7, 8], "h3": [9, 10], "a": [], "b": []}
+    docs = [(k, text[n]) for k, n in enumerate(names)]
+    sketch = {k: [1, *own[n]] for k, n in enumerate(names)}
+    for k, bucket in enumerate(range(2, 11), 5):
+        docs.append((k, " ".join(f"o{k}x{j}" for j in range(30))))
+        sketch[k] = [bucket]
+    rows = docs_of(spark, docs)
+    keys = {r.doc_id: r.k for r in rows.select("doc_id", orderhash.text_key().alias("k")).collect()}
+    nodes = spark.createDataFrame([(k, keys[k], s) for k, s in sketch.items()], "node bigint, key binary, sketch array<bigint>")
+    roots = {r.node: r.root for r in orderhash.class_roots(spark, rows, nodes).collect()}
+    assert {roots.get(k) for k in (0, 1, 3, 4)} == {0} and roots.get(2) in (None, 2)
+
+
 def test_chains_of_links_become_one_class(spark):
     words = [f"v{k}" for k in range(100)]
     docs = [(k, " ".join(words[3 * k : 3 * k + 60])) for k in range(13)]
