@@ -1,7 +1,7 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Words are runs of letters and digits in lower case, shingles runs of five of them (a template of fewer is one shingle). A
-template of ``m`` shingles is looked for in windows that overlap so far that any run of ``m`` lies in one: of ``m`` shingles
+Words are runs of letters and digits in lower case, shingles runs of five of them. A template of fewer is one shingle, and
+looked for among the document's shingles of its own size. A template of ``m`` shingles, repeated ones included, is looked for in windows that overlap so far that any run of ``m`` lies in one: of ``m`` shingles
 at every place while ``m`` is below 8, else of three times the largest power of two within ``m``, at steps of that power. A
 window that holds at least ``least`` of the template has a Jaccard similarity of at least ``least * m / (window + m -
 least * m)``; every band is one MinHash, and a size class has as many bands as bring the probability of no collision at
@@ -102,14 +102,15 @@ class TemplateBands:
 
     def __init__(self, templates: dict[str, str], least: float = LEAST, miss: float = MISS):
         self.least = least
-        self.shingles = {n: np.unique(shingles(t)) for n, t in templates.items()}
-        self.shingles = {n: s for n, s in self.shingles.items() if len(s)}
-        classes: dict[tuple[int, int], list[str]] = defaultdict(list)
-        for name, s in self.shingles.items():
-            classes[window_of(len(s))].append(name)
+        whole = {n: s for n, t in templates.items() if len(s := shingles(t))}
+        self.shingles = {n: np.unique(s) for n, s in whole.items()}
+        classes: dict[tuple[int, int, int], list[str]] = defaultdict(list)
+        for name, s in whole.items():
+            words = min(SHINGLE, len(WORD.findall(templates[name].lower())))
+            classes[words, *window_of(len(s))].append(name)
         self.classes = []
         rng = np.random.default_rng(77)
-        for (size, step), names in sorted(classes.items()):
+        for (words, size, step), names in sorted(classes.items()):
             m = min(len(self.shingles[n]) for n in names)
             held = math.ceil(least * m - 1e-9)
             bands = bands_needed(held / (size + m - held), miss)
@@ -120,12 +121,18 @@ class TemplateBands:
                 for band, value in enumerate((self.shingles[name][None, :] * factors[:, None]).min(axis=1).tolist()):
                     table[band, value].append(name)
                     flags[value >> 48] = True
-            self.classes.append((size, step, factors, flags, dict(table)))
+            self.classes.append((words, size, step, factors, flags, dict(table)))
+        self.sizes = sorted({c[0] for c in self.classes})
 
-    def candidates(self, codes: np.ndarray) -> set[tuple[str, int, int]]:
-        """(template, begin, end) of windows that share a band with a template; any end of the text closes a window."""
+    def candidates(self, codes: np.ndarray, words: int = SHINGLE) -> set[tuple[str, int, int]]:
+        """(template, begin, end) of windows that share a band with a template; any end of the text closes a window.
+
+        ``codes`` are the text's shingles of ``words`` words; only templates with such shingles are looked for.
+        """
         found = set()
-        for size, step, factors, flags, table in self.classes:
+        for own, size, step, factors, flags, table in self.classes:
+            if own != words:
+                continue
             for base in range(0, len(codes), BLOCK):
                 part = codes[base : base + BLOCK + size]
                 values = part[None, :] * factors[:, None]
@@ -150,12 +157,14 @@ class TemplateBands:
 
     def scan(self, text: str) -> dict[str, float]:
         """Containment of each template found in a text."""
-        codes, out = shingles(text), {}
-        for name, begin, end in self.candidates(codes) if len(codes) else ():
-            wanted = self.shingles[name]
-            share = len(np.intersect1d(wanted, codes[begin:end])) / len(wanted)
-            if share >= self.least - 1e-12:
-                out[name] = max(share, out.get(name, 0.0))
+        out: dict[str, float] = {}
+        for words in self.sizes:
+            codes = shingles(text, words)
+            for name, begin, end in self.candidates(codes, words) if len(codes) else ():
+                wanted = self.shingles[name]
+                share = len(np.intersect1d(wanted, codes[begin:end])) / len(wanted)
+                if share >= self.least - 1e-12:
+                    out[name] = max(share, out.get(name, 0.0))
         return out
 
 

@@ -60,6 +60,20 @@ def test_bands_guarantee():
         assert (1 - similarity) ** licences.bands_needed(similarity, 1e-6) <= 1e-6
 
 
+def test_templates_of_few_words_and_with_repeats_are_found():
+    rng = random.Random(3)
+    filler = lambda n: [f"f{rng.randrange(50)}" for _ in range(n)]
+    passages = [[f"r{j}x{k}" for k in range(8)] for j in range(4)]
+    repeats = " ".join(" ".join(p * 5) for p in passages)
+    templates = {"one": "CC0", "two": "MIT License", "four": "Some Rights Reserved here", "repeats": repeats, **licences.TEMPLATES}
+    bands = licences.TemplateBands(templates)
+    for name, text in templates.items():
+        for front, back in ((0, 0), (1, 1), (30, 0), (0, 30), (200, 70)):
+            found = bands.scan(" ".join([*filler(front), text, *filler(back)]))
+            assert found.get(name) == 1.0, (name, front, back)
+    assert bands.scan("License MIT and CC 0, some rights here reserved") == {}
+
+
 def test_odd_table(spark):
     docs = odd_texts() + [(20, "x Released under the MIT License."), (20, "x Released under the MIT License.")]
     got = licences.scanned(spark, docs_of(spark, docs)).collect()
