@@ -46,7 +46,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("tokens", tokens),
 ]
 
-# A fitted classifier and min-hash classes are beyond SQL: tests/llm/test_pipeline.py holds run() against brute force.
+# A fitted classifier and min-hash classes are beyond SQL: tests/llm/test_pipeline.py holds every stage but toxicity against
+# brute force, and run() only against the number of rows.
 ORACLE_SQL: str | None = None
 
 
