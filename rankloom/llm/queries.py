@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, chains, counting, decontam, licences, orderhash, packing, rules, suffixes, urls
+from rankloom.llm import bpe, chains, counting, decontam, licences, orderhash, packing, rules, simhash, suffixes, urls
 from rankloom.llm.common import read
 
 URL_ALLOW = ("com/", "www.example.com/en/")
@@ -57,6 +57,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderhash.classes(spark, read(spark, sf_dir, "documents"))
 
 
+def op12_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_ids(spark, read(spark, sf_dir, "documents"))
+
+
 LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_transducer": op1_bpe_transducer,
     "op2_url_filter": op2_url_filter,
@@ -68,4 +72,5 @@ LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_positional_index": op9_positional_index,
     "op10_order_minhash": op10_order_minhash,
+    "op12_deletion_variants": op12_deletion_variants,
 }
