@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chains, counting, decontam, licences, orderhash, packing, rules, simhash, suffixes, urls
+from rankloom.llm import bpe, chains, counting, decontam, hardneg, licences, orderhash, packing, rules, simhash, suffixes, urls
 from rankloom.llm.common import read
 
 URL_ALLOW = ("com/", "www.example.com/en/")
@@ -57,6 +58,11 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderhash.classes(spark, read(spark, sf_dir, "documents"))
 
 
+def op11_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mined(spark, read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op12_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(spark, read(spark, sf_dir, "documents"))
 
@@ -72,5 +78,6 @@ LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_positional_index": op9_positional_index,
     "op10_order_minhash": op10_order_minhash,
+    "op11_four_russians": op11_four_russians,
     "op12_deletion_variants": op12_deletion_variants,
 }
