@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 from rankloom.llm.bpe import BYTE_PATTERN, byte_alphabet
 
+# The rank encoder's pattern matcher runs out of stack on about a million blanks in a row.
+LONG_BLANK = re.compile(r"\s{10000}")
+
 
 def tokenizer(path: str):
     """The file's own library, without truncation, padding or threads of its own."""
@@ -46,6 +50,13 @@ def ranked(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def blank_for_long(text: str) -> bool:
+    """Whether a text must be left to the file's own library."""
+    return len(text) >= 10_000 and LONG_BLANK.search(text) is not None
+
+
 def ids_of(path: str, text: str) -> list[int]:
     """Ids of a whole text; strings of special tokens become these tokens."""
+    if blank_for_long(text):
+        return whole_library(path).encode(text, add_special_tokens=False).ids
     return ranked(path).encode(text, allowed_special="all", disallowed_special=())

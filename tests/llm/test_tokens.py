@@ -89,6 +89,8 @@ def test_rank_encoder_equals_the_library():
     library = tokenizer(BYTE)
     for text in made_texts(2):
         assert ids_of(BYTE, text) == library.encode(text, add_special_tokens=False).ids
+    for text in (" " * 2_000_000, "a" + "\n" * 2_000_000, "\u3000" * 1_500_000 + "<|endoftext|>", "x" * 2_000_000):
+        assert ids_of(BYTE, text) == library.encode(text, add_special_tokens=False).ids
     with pytest.raises(ValueError):
         ids_of(WORD, "a")
 
