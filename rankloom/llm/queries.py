@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import bpe, chains, counting, decontam, hardneg, licences, orderhash, packing, rules, simhash, suffixes, urls
+from rankloom.llm import alignment, bpe, chains, counting, decontam, hardneg, licences, orderhash, packing, rules, simhash, suffixes, urls
 from rankloom.llm.common import read
 
 URL_ALLOW = ("com/", "www.example.com/en/")
@@ -67,6 +67,11 @@ def op12_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_ids(spark, read(spark, sf_dir, "documents"))
 
 
+def op13_token_incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.digests(spark, read(spark, sf_dir, "documents"), *files)
+
+
 LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_transducer": op1_bpe_transducer,
     "op2_url_filter": op2_url_filter,
@@ -80,4 +85,5 @@ LLM_REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": op10_order_minhash,
     "op11_four_russians": op11_four_russians,
     "op12_deletion_variants": op12_deletion_variants,
+    "op13_token_incidence": op13_token_incidence,
 }
