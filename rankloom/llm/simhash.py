@@ -3,7 +3,8 @@
 A text's fingerprint has a bit set if over half of its hashed 4-word shingles have it set. Fingerprints that differ in at
 most ``DISTANCE`` = 4 bits are linked. Cut into three segments, two such fingerprints have a segment that differs in one bit
 at most; so each fingerprint is filed under every variant of its segments with one bit struck out (64 variants), and linked
-fingerprints meet under a variant. Members of one variant are joined by equality and verified by counting differing bits.
+fingerprints meet under a variant. Members of one variant are joined by equality and verified by counting differing bits; of
+the variants that two share, the first one reports their link.
 
 A variant with more than ``crowd`` members is not paired out. First its members are checked against a few hubs; where that
 makes them one component, nothing is left to find. Otherwise it is cut again: the bits in which its members differ at all
@@ -32,7 +33,8 @@ from rankloom.llm.common import by_batch, dropped, small_batches, staged, text_o
 from rankloom.llm.orderhash import components
 from rankloom.session import configure
 
-SHINGLE, SEED, DISTANCE, CROWD = 4, 42, 4, 64
+SHINGLE, SEED, DISTANCE = 4, 42, 4
+CROWD = 512  # up to so many members, comparing all costs less than filing each of them again under five segments
 SLICE = 1 << 18  # bytes of a text that are cut into words at once
 BLANK = re.compile(rb"[\x20\x09-\x0d]")
 ONE = np.uint64(1)
@@ -102,7 +104,7 @@ def cut(free: np.ndarray, segments: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def struck(prints: np.ndarray, segments: int):
-    """Row, key and agreed bits of every segment variant with one bit struck out.
+    """Row, key and struck bit of every segment variant with one bit struck out.
 
     Fingerprints that differ in fewer than ``2 * segments`` bits have a segment with one difference at most.
     """
@@ -110,33 +112,45 @@ def struck(prints: np.ndarray, segments: int):
     segment_of, masks = cut(np.full(1, (1 << 64) - 1, np.uint64), segments)
     for p in range(64):
         kept = masks[int(segment_of[p][0]), 0] & ~(ONE << np.uint64(p))
-        yield rows, mixed((prints & kept) ^ mixed(np.full(len(prints), p + 1, np.uint64)))
+        spot = np.full(len(prints), p, np.uint64)
+        yield rows, mixed((prints & kept) ^ mixed(spot + ONE)), spot
 
 
-def agreed(key: np.ndarray, prints: np.ndarray, free: np.ndarray, segments: int):
-    """Row and key of every segment of the free bits: one of ``segments`` agrees if fewer bits differ."""
+def agreed(prints: np.ndarray, key: np.ndarray, free: np.ndarray, spot: np.ndarray, segments: int):
+    """Row, key and struck bit of every segment of the free bits: one of ``segments`` agrees if fewer bits differ."""
     rows = np.arange(len(prints))
     for s, mask in enumerate(cut(free, segments)[1]):
-        yield rows, mixed(mixed(key + np.uint64(s + 1)) ^ (prints & mask))
+        yield rows, mixed(mixed(key + np.uint64(s + 1)) ^ (prints & mask)), spot
 
 
 def filed(members: DataFrame, work: Callable) -> DataFrame:
-    """key, print: ``work`` gives rows and keys of the members (print, key, free)."""
-    schema = pa.schema([("key", pa.int64()), ("print", pa.int64())])
+    """key, print, spot: ``work`` gives rows, keys and struck bits of the members."""
+    schema = pa.schema([("key", pa.int64()), ("print", pa.int64()), ("spot", pa.int8())])
 
     def run(batch: pa.RecordBatch) -> dict:
         columns = [np.asarray(c).view(np.uint64) for c in batch.columns]
-        found = list(work(*columns))
-        rows = np.concatenate([r for r, _ in found])
-        return {"key": np.concatenate([k for _, k in found]).view(np.int64), "print": columns[0][rows].view(np.int64)}
+        rows, keys, spots = (np.concatenate(part) for part in zip(*work(*columns)))
+        return {"key": keys.view(np.int64), "print": columns[0][rows].view(np.int64), "spot": spots.astype(np.int8)}
 
-    return members.mapInArrow(by_batch(run, schema), "key bigint, print bigint")
+    return members.mapInArrow(by_batch(run, schema), "key bigint, print bigint, spot tinyint")
 
 
 def near(distance: int):
     return F.bit_count(F.col("hub").bitwiseXOR(F.col("node"))) <= distance
 
 
+def first_spot(segments: int):
+    """The first variant that ``hub`` and ``node`` share: the differing bit of a segment with one, or its first bit."""
+    deal = [int(s[0]) for s in cut(np.full(1, (1 << 64) - 1, np.uint64), segments)[0]]
+    out = F.lit(-1)
+    for s in reversed(range(segments)):
+        begin, size = deal.index(s), deal.count(s)
+        part = F.shiftrightunsigned(F.col("hub").bitwiseXOR(F.col("node")), begin).bitwiseAND(F.lit((1 << size) - 1).cast("bigint"))
+        at = F.when(part == 0, begin).otherwise(F.bit_count(part - 1) + begin)
+        out = F.when(F.bit_count(part) <= 1, at).otherwise(out)
+    return out
+
+
 def links(
     spark: SparkSession, prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD
 ) -> DataFrame:
@@ -148,24 +162,25 @@ def links(
     found = None
     while True:
         rows = staged(spark, rows, "filed")
-        # Keys are written before they are joined: beside an aggregation a join on a crowded key could not be split.
-        sizes = staged(spark, rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-        met = staged(spark, rows.join(sizes, "key"), "met")
-        dropped(spark, rows, sizes)
-        few = met.where(F.col("n") <= crowd)
-        pairs = few.select("key", F.col("print").alias("hub")).join(
+        crowds = staged(
+            spark, rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowds"
+        )
+        crowded = not crowds.isEmpty()
+        few = rows.join(crowds, "key", "left_anti") if crowded else rows
+        pairs = few.select("key", "spot", F.col("print").alias("hub")).join(
             few.select("key", F.col("print").alias("node")), "key"
-        ).where((F.col("hub") < F.col("node")) & near(distance))
+        ).where((F.col("hub") < F.col("node")) & near(distance) & (F.col("spot") == first_spot(segments)))
         fresh = staged(spark, pairs.select("hub", "node").distinct(), "links")
         found = fresh if found is None else found.union(fresh)
-        many = met.where(F.col("n") > crowd)
-        if many.isEmpty():
-            dropped(spark, met)
+        if not crowded:
+            dropped(spark, rows, crowds)
             return found
+        many = staged(spark, rows.join(crowds, "key"), "many")
+        dropped(spark, rows, crowds)
         found = found.union(staged(spark, hub_links(spark, many, distance), "links"))
         known = components(spark, found).select(F.col("node").alias("print"), "root")
         rooted = staged(
-            spark, many.join(known, "print", "left").select("key", "print", F.coalesce("root", "print").alias("root")), "rooted"
+            spark, many.join(known, "print", "left").select("key", "print", "spot", F.coalesce("root", "print").alias("root")), "rooted"
         )
         per_key = rooted.groupBy("key").agg(
             F.min("root").alias("a"), F.max("root").alias("b"), F.bit_or("print").alias("any"), F.bit_and("print").alias("all")
@@ -173,9 +188,10 @@ def links(
         opened = staged(
             spark, per_key.where("a <> b").select("key", F.col("any").bitwiseXOR(F.col("all")).alias("free")), "opened"
         )
-        members = staged(spark, rooted.join(opened, "key").select("print", "key", "free"), "crowds")
-        dropped(spark, met, rooted, opened)
-        rows = filed(members, lambda p, key, free: agreed(key, p, free, distance + 1))
+        members = rooted.join(opened, "key").select("print", "key", "free", F.col("spot").cast("bigint").alias("spot"))
+        members = staged(spark, members, "members")
+        dropped(spark, many, rooted, opened)
+        rows = filed(members, lambda p, key, free, spot: agreed(p, key, free, spot, distance + 1))
 
 
 def hub_links(spark: SparkSession, members: DataFrame, distance: int) -> DataFrame:

@@ -93,11 +93,25 @@ def test_linked_prints_share_a_variant_and_a_segment():
         for bit in rng.choice(64, i % 5, replace=False):
             b[i] ^= np.uint64(1) << np.uint64(bit)
     free = rng.integers(0, 1 << 64, 300, np.uint64) | np.uint64(31)
-    for work in (lambda p: simhash.struck(p, 3), lambda p: simhash.agreed(a, p, free, 5)):
-        same = sum((x == y).astype(int) for (_, x), (_, y) in zip(work(a), work(b)))
+    for work in (lambda p: simhash.struck(p, 3), lambda p: simhash.agreed(p, a, free, a, 5)):
+        same = sum((x == y).astype(int) for (_, x, _), (_, y, _) in zip(work(a), work(b)))
         assert len(same) == 300 and min(same) >= 1
 
 
+def test_one_variant_reports_a_link(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 64, 400, np.uint64)
+    b = a.copy()
+    for i in range(400):
+        for bit in rng.choice([0, 21, 22, 42, 43, 63, *range(64)], i % 5):
+            b[i] ^= np.uint64(1) << np.uint64(bit)
+    shared = np.stack([x == y for (_, x, _), (_, y, _) in zip(simhash.struck(a, 3), simhash.struck(b, 3))])
+    rows = zip(range(400), a.view(np.int64).tolist(), b.view(np.int64).tolist())
+    frame = spark.createDataFrame(rows, "i int, hub bigint, node bigint")
+    got = {r.i: r.s for r in frame.select("i", simhash.first_spot(3).alias("s")).collect()}
+    assert got == dict(enumerate(shared.argmax(axis=0)))
+
+
 def crowded(seed):
     """Balls, chains of steps and strangers that share two thirds of their bits."""
     rng = random.Random(seed)
