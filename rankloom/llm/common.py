@@ -63,3 +63,35 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
     gc.collect()
     jvm.System.gc()
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node of each connected component of the links (hub, node), for nodes that have a link.
+
+    Every node takes its smallest neighbour as parent, which makes trees; trees are flattened by jumping from parent to
+    parent and become one node each. What is left are the links between trees, and there are fewer of them every round.
+    """
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    left = edges.select(F.col("hub").alias("a"), F.col("node").alias("b")).where("a <> b").select(*ordered)
+    left = staged(spark, left.distinct(), "edges")
+    named = None
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        trees = staged(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "trees")
+        while True:
+            above = trees.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            higher = staged(
+                spark, trees.join(above, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "trees"
+            )
+            flat = higher.where("moved").isEmpty()
+            trees = higher.select("node", "root")
+            if flat:
+                break
+        up = trees.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        named = trees if named is None else staged(
+            spark, named.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "named"
+        )
+        ends = [trees.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in ("a", "b")]
+        between = left.join(ends[0], "a").join(ends[1], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        left = staged(spark, between.where("a <> b").select(*ordered).distinct(), "edges")
+    return spark.createDataFrame([], "node bigint, root bigint") if named is None else named

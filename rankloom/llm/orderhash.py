@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import by_batch, dropped, small_batches, staged, text_of
+from rankloom.llm.common import by_batch, components, dropped, small_batches, staged, text_of
 
 K, PICKS, BANDS, LEAST = 5, 8, 40, 0.8
 MIX = np.random.default_rng(20_240_501).integers(1, 1 << 63, size=(4, 256), dtype=np.uint64) | np.uint64(1)
@@ -282,24 +282,6 @@ def class_roots(
     return roots
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node, root: smallest node of each connected component, by taking neighbours' roots and jumping to their roots."""
-    both = staged(
-        spark, edges.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(edges.select("node", "hub")).distinct(), "edges"
-    )
-    roots = staged(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "roots")
-    while True:
-        around = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("best"))
-        step = roots.join(around, "node").select("node", F.least("root", "best").alias("next"), F.col("root").alias("old"))
-        jump = step.join(roots.select(F.col("node").alias("next"), F.col("root").alias("far")), "next").select(
-            "node", F.least("next", "far").alias("root"), "old"
-        )
-        fresh = staged(spark, jump, "roots")
-        if fresh.where("root <> old").isEmpty():
-            return fresh.select("node", "root")
-        roots = fresh.select("node", "root")
-
-
 def classed(
     spark: SparkSession, docs: DataFrame, least: float, picks: int, bands: int
 ) -> tuple[DataFrame, DataFrame]:

@@ -29,8 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import by_batch, dropped, small_batches, staged, text_of
-from rankloom.llm.orderhash import components
+from rankloom.llm.common import by_batch, components, dropped, small_batches, staged, text_of
 from rankloom.session import configure
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
