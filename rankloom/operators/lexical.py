@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import term_vectors, tokens
 from ..session import Workspace
 
-FORMAT = 2  # of the stored tables: raise it with every change of tokens, weights or layout
+FORMAT = 3  # of the stored tables: raise it with every change of tokens, weights or layout
 BUCKETS = 16  # postings of a term are grouped by saturation in steps of 1/16
 
 
@@ -53,12 +53,13 @@ def saturation(tf: Column, length: Column, avgdl: Column, k1: float, b: float) -
 
 
 def saturated(documents: DataFrame, k1: float, b: float) -> DataFrame:
-    """``split, docno, term, sat`` of documents with their vectors."""
+    """``split, docno, doc, term, sat`` of documents with their vectors."""
     return documents.select(
-        "split", "docno", "length", "avgdl", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")
+        "split", "docno", "doc", "length", "avgdl", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")
     ).select(
         "split",
         "docno",
+        "doc",
         F.col("_p.terms").alias("term"),
         saturation(F.col("_p.tfs"), F.col("length"), F.col("avgdl"), k1, b).alias("sat"),
     )
@@ -72,15 +73,18 @@ def bucket(sat: Column) -> Column:
 class LexicalIndex:
     """Index tables for one corpus.
 
-    documents  split, docno, bag, copy_no, length, avgdl, terms, tfs. Documents with one bag of words are copies of
+    documents  split, docno, doc, bag, copy_no, length, avgdl, terms, tfs. Documents with one bag of words are copies of
                each other for any scoring; copy 1 stands for all of them, copies up to ``depth`` are numbered, the
                rest have no number and can never be among the first ``depth`` hits.
     copies     split, rep, docno, copy_no for the numbered copies of bags that have more than one.
-    terms      split, term, df, n (bags holding it), lo, hi (range of its saturation), n_docs
-    postings   split, term, docno, sat, bucket of every distinct bag, sorted by term in each file
-    champions  split, term, docno, place: each term's ``depth`` best postings (for terms in more than half of all
+    terms      split, term, tno, df, n (bags holding it), lo, hi (range of its saturation), n_docs
+    postings   tno, doc, sat, bucket of every distinct bag, sorted by term in each file
+    champions  tno, doc, place: each term's ``depth`` best postings (for terms in more than half of all
                documents, whose weight is negative, its least)
     corpus     split, n_docs, n_tokens, avgdl: one row per split
+
+    ``doc`` and ``tno`` number the documents and the words of all splits. What retrieval joins and groups by are these
+    numbers: names, words and splits stay out of its shuffles until the hits are known.
     """
 
     documents: DataFrame
@@ -116,7 +120,7 @@ def build_index(
     mark = {"source": source, "depth": depth, "k1": k1, "b": b, "buckets": BUCKETS, "format": FORMAT}
 
     # Texts are read once and never shuffled: what moves is docno, digest and, of copies only, a number.
-    bare = ws.build_or_load("index-bare", mark, lambda: corpus_vectors(corpus))
+    bare = ws.build_or_load("index-bare", mark, lambda: corpus_vectors(corpus).withColumn("doc", F.monotonically_increasing_id()))
 
     def number_copies() -> DataFrame:
         several = (
@@ -144,7 +148,7 @@ def build_index(
             numbered.select("split", "docno", F.col("copy_no").alias("_no")), ["docno", "split"], "left"
         )
         number = F.when(F.col("_several"), F.col("_no")).otherwise(1).cast("int")
-        return marked.select("split", "docno", number.alias("copy_no"), "length", "bag", "terms", "tfs")
+        return marked.select("split", "docno", "doc", number.alias("copy_no"), "length", "bag", "terms", "tfs")
 
     vectors = ws.build_or_load("index-vectors", mark, with_copies)
     stats = ws.build_or_load("index-corpus", mark, lambda: corpus_statistics(vectors))
@@ -169,6 +173,7 @@ def build_index(
                 F.max("_sat").alias("hi"),
             )
             .join(F.broadcast(stats.select("split", "n_docs")), "split")
+            .withColumn("tno", F.monotonically_increasing_id())
         )
 
     terms = ws.build_or_load("index-terms", mark, describe_terms)
@@ -176,21 +181,22 @@ def build_index(
         "index-postings",
         mark,
         lambda: saturated(documents.filter("copy_no = 1"), k1, b)
-        .withColumn("bucket", bucket(F.col("sat")))
-        .sortWithinPartitions("term"),
+        .join(terms.select("split", "term", "tno"), ["term", "split"])
+        .select("tno", "doc", "sat", bucket(F.col("sat")).alias("bucket"))
+        .sortWithinPartitions("tno"),
     )
 
     def pick_champions() -> DataFrame:
         # At most twice the mean number of distinct words per document can be in more than half of all documents.
-        common = terms.filter("2 * df > n_docs").select("split", "term", F.lit(True).alias("_common"))
+        common = terms.filter("2 * df > n_docs").select("tno", F.lit(True).alias("_common"))
         keen = F.when(F.col("_common"), -F.col("sat")).otherwise(F.col("sat"))
-        by_term = Window.partitionBy("term", "split").orderBy(F.desc("_keen"), "docno")
+        by_term = Window.partitionBy("tno").orderBy(F.desc("_keen"), "doc")
         return (
-            listed.join(common, ["term", "split"], "left")
-            .select("split", "term", "docno", keen.alias("_keen"))
+            listed.join(common, "tno", "left")
+            .select("tno", "doc", keen.alias("_keen"))
             .withColumn("place", F.row_number().over(by_term))
             .filter(F.col("place") <= depth)
-            .select("split", "term", "docno", "place")
+            .select("tno", "doc", "place")
         )
 
     champions = ws.build_or_load("index-champions", mark, pick_champions)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import Workspace
 from .lexical import LexicalIndex, document_lengths
-from .retrieval import Bm25, TfIdf, query_vectors, score_pairs
+from .retrieval import Bm25, TfIdf, query_vectors, score_pairs_by
 
 FEATURES = ["bm25", "tf_idf", "overlap", "length_ratio"]
 # Coefficients for scoring without a fit, so that another engine can repeat it digit by digit.
@@ -25,10 +25,8 @@ GIVEN = {"intercept": -2.0, "bm25": 0.25, "tf_idf": 0.0625, "overlap": 0.125, "l
 def pair_features(ws: Workspace, index: LexicalIndex, queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Add the lexical features of each (qid, docno) row; the rows' own ``score`` is not among them."""
     keys = rows.select("split", "qid", "docno").distinct()
-    bm25 = score_pairs(ws, index, queries, keys, Bm25(k1=index.k1, b=index.b)).withColumnRenamed("score", "bm25")
-    both = score_pairs(ws, index, queries, bm25.drop("overlap"), TfIdf(k1=index.k1, b=index.b)).withColumnRenamed(
-        "score", "tf_idf"
-    )
+    models = {"bm25": Bm25(k1=index.k1, b=index.b), "tf_idf": TfIdf(k1=index.k1, b=index.b)}
+    both = score_pairs_by(ws, index, queries, keys, models)
     q_len = query_vectors(queries).select("split", "qid", F.col("length").alias("_ql"))
     ratio = F.round(F.col("_ql") / F.greatest(F.col("_ql") + F.col("dl"), F.lit(1)), 6)
     features = (

@@ -12,7 +12,7 @@ The plan is max-score pruning written as joins, the same at every size:
     close to the true k-th score.
 5.  Documents whose partial sum cannot reach the lifted floor are dropped, the rest are completed.
 
-``split`` comes last among join and window keys: it takes few values, and sorting is fast when the first key decides.
+Queries, words and documents are numbers (``q``, ``tno``, ``doc``) all the way; the hits get their names back at the end.
 
 Every bound is safe, so the result equals that of scoring all pairs. A query whose floor is unknown or not positive
 (too few matches, or only words so common that their weight is negative) keeps all its terms.
@@ -30,7 +30,7 @@ from ..session import Workspace
 from .lexical import BUCKETS, LexicalIndex, bucket
 
 SCORE_DIGITS = 6
-_IDLE_SHARE = 0.75  # idle terms may sum up to this share of the floor: more reads fewer postings, scores more pairs
+_IDLE_SHARE = 0.5  # idle terms may sum up to this share of the floor: more reads fewer postings, scores more pairs
 _SLACK = 1e-5  # covers rounding to SCORE_DIGITS and the order of additions
 
 
@@ -61,54 +61,59 @@ class TfIdf:
 
 
 def query_vectors(queries: DataFrame) -> DataFrame:
-    return term_vectors(queries, "query", ["qid", "split"])
+    """``q`` numbers the rows: write the vectors before they are read twice."""
+    return term_vectors(queries, "query", ["qid", "split"]).withColumn("q", F.monotonically_increasing_id())
+
+
+def query_numbers(vectors: DataFrame) -> DataFrame:
+    """``split, bag, q``: queries with one bag of words are asked once, under the least of their numbers."""
+    return vectors.groupBy("split", "bag").agg(F.min("q").alias("q"))
 
 
 def query_terms(
     index: LexicalIndex, vectors: DataFrame, model: Bm25 | TfIdf, max_df_ratio: float | None = None
 ) -> DataFrame:
-    """``split, bag, term, w, n, lo, hi`` of every distinct query bag; ``w * sat`` is a posting's contribution.
+    """``split, bag, q, term, tno, w, n, lo, hi`` of every distinct query bag; ``w * sat`` is a posting's contribution.
 
     ``max_df_ratio`` drops words found in more than that share of the documents, in place of a stop-word list. It
     changes scores, so it is off unless asked for.
     """
     if (model.k1, model.b) != (index.k1, index.b):
         raise ValueError("model and index disagree on k1 or b")
-    firsts = vectors.groupBy("split", "bag").agg(F.min("qid").alias("qid"))
     flat = (
-        vectors.join(firsts.select("split", "qid"), ["qid", "split"], "left_semi")
-        .select("split", "bag", F.explode(F.arrays_zip("terms", "tfs")).alias("_p"))
-        .select("split", "bag", F.col("_p.terms").alias("term"), F.col("_p.tfs").alias("qtf"))
+        vectors.join(query_numbers(vectors).select("q"), "q", "left_semi")
+        .select("split", "bag", "q", F.explode(F.arrays_zip("terms", "tfs")).alias("_p"))
+        .select("split", "bag", "q", F.col("_p.terms").alias("term"), F.col("_p.tfs").alias("qtf"))
     )
     known = flat.join(index.terms, ["term", "split"])
     if max_df_ratio is not None:
         known = known.filter(F.col("df") <= F.lit(max_df_ratio) * F.col("n_docs"))
     weight = model.weight(F.col("df").cast("double"), F.col("n_docs").cast("double"), F.col("qtf").cast("double"))
-    return known.select("split", "bag", "term", weight.alias("w"), "n", "lo", "hi")
+    return known.select("split", "bag", "q", "term", "tno", weight.alias("w"), "n", "lo", "hi")
 
 
-def _full_scores(pairs: DataFrame, terms: DataFrame, postings: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``score, overlap`` to ``keys`` pairs that share a word; ``terms`` are keyed like the pairs' query side."""
-    query_keys = [k for k in keys if k != "docno"]
-    return (
-        pairs.select(*keys)
-        .join(terms.select(*query_keys, "term", "w"), query_keys)
-        .join(postings, ["docno", "term", "split"])
-        .groupBy(*keys)
-        .agg(F.round(F.sum(F.col("w") * F.col("sat")), SCORE_DIGITS).alias("score"), F.count("*").alias("overlap"))
-    )
+def contributions(pairs: DataFrame, terms: DataFrame, postings: DataFrame, query: list[str], posting: list[str]) -> DataFrame:
+    """A row per word that a pair shares: ``terms`` are keyed by ``query``, postings by ``posting``."""
+    word = [k for k in posting if k not in pairs.columns]
+    return pairs.join(terms.select(*query, *word, *[c for c in terms.columns if c[0] == "w"]), query).join(postings, posting)
+
 
+def _full_scores(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Add ``score`` to ``q, doc`` pairs that share a word."""
+    shared = contributions(pairs, terms.select("q", "tno", "w"), postings, ["q"], ["doc", "tno"])
+    return shared.groupBy("q", "doc").agg(F.round(F.sum(F.col("w") * F.col("sat")), SCORE_DIGITS).alias("score"))
 
-def top_k(scored: DataFrame, group: list[str], k: int) -> DataFrame:
-    """First ``k`` rows per group by score, ties by docno; adds ``rank`` from 1. Tasks keep ``k`` before shuffling."""
-    order = Window.partitionBy(*group).orderBy(F.col("score").desc(), "docno")
+
+def top_k(scored: DataFrame, group: list[str], k: int, tie: str = "docno") -> DataFrame:
+    """First ``k`` rows per group by score, then ``tie``; adds ``rank`` from 1. Tasks keep ``k`` before shuffling."""
+    order = Window.partitionBy(*group).orderBy(F.col("score").desc(), tie)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _floors(index: LexicalIndex, postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """``split, bag, floor``: the k-th best full score among a few promising documents of each query."""
+    """``q, floor``: the k-th best full score among a few promising documents of each query."""
     best = F.when(F.col("w") > 0, F.col("w") * F.col("hi")).otherwise(F.col("w") * F.col("lo"))
-    by_best = Window.partitionBy("bag", "split").orderBy(best.desc(), "term")
+    by_best = Window.partitionBy("q").orderBy(best.desc(), "tno")
     earlier = by_best.rowsBetween(Window.unboundedPreceding, -1)
     # The three heaviest terms, and further ones until a term with k documents of its own is included: then k
     # documents are certain, or the query matches so few that scoring all of them is cheap.
@@ -116,16 +121,15 @@ def _floors(index: LexicalIndex, postings: DataFrame, terms: DataFrame, k: int)
         terms.withColumn("_place", F.row_number().over(by_best))
         .withColumn("_filled", F.coalesce(F.max(F.col("n") >= k).over(earlier), F.lit(False)))
         .filter((F.col("_place") <= 3) | ~F.col("_filled"))
-        .select("split", "bag", "term")
+        .select("q", "tno")
     )
-    champions = index.champions.filter(F.col("place") <= k).select("split", "term", "docno")
-    seeds = chosen.join(champions, ["term", "split"]).select("split", "bag", "docno").distinct()
-    scored = _full_scores(seeds, terms, postings, ["bag", "docno", "split"])
-    return _kth_best(scored, k)
+    champions = index.champions.filter(F.col("place") <= k).select("tno", "doc")
+    seeds = chosen.join(champions, "tno").select("q", "doc").distinct()
+    return _kth_best(_full_scores(seeds, terms, postings), k)
 
 
 def _lookups(terms: DataFrame, floors: DataFrame) -> DataFrame:
-    """Which buckets of its terms each query must read: ``split, bag, term, w, from, to, rho, reach, whole``.
+    """Which buckets of its terms each query must read: ``q, tno, w, from, to, rho, reach, whole``.
 
     from, to  the range of buckets to read, empty for an idle term
     rho       what an unread posting of a live term could contribute at most
@@ -133,13 +137,13 @@ def _lookups(terms: DataFrame, floors: DataFrame) -> DataFrame:
     whole     whether the range holds all of the term's postings
     floor     what a hit scores at least, null if unknown
     """
-    per_bag = Window.partitionBy("bag", "split")
-    by_frequency = per_bag.orderBy(F.desc("n"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_bag = Window.partitionBy("q")
+    by_frequency = per_bag.orderBy(F.desc("n"), "tno").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     target = F.col("floor") - F.lit(_SLACK)
     pruned = F.coalesce(F.col("floor") > 2 * _SLACK, F.lit(False))
     positive = F.col("w") > 0
     marked = (
-        terms.join(floors, ["bag", "split"], "left")
+        terms.join(floors, "q", "left")
         .withColumn("_most", F.when(positive, F.col("w") * F.col("hi")).otherwise(0.0))
         .withColumn("_cum", F.sum("_most").over(by_frequency))
         .withColumn("_idle", pruned & (~positive | (F.col("_cum") < target * _IDLE_SHARE)))
@@ -165,12 +169,12 @@ def _lookups(terms: DataFrame, floors: DataFrame) -> DataFrame:
         .withColumn("rho", unread)
         .withColumn("reach", reach)
         .withColumn("whole", (F.col("from") <= lowest) & (F.col("to") >= highest))
-        .select("split", "bag", "term", "w", "from", "to", "rho", "reach", "whole", "floor")
+        .select("q", "tno", "w", "from", "to", "rho", "reach", "whole", "floor")
     )
 
 
 def candidates(postings: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Every pair that may still be among the hits: ``split, bag, docno, partial, bound``.
+    """Every pair that may still be among the hits: ``q, doc, partial, bound``.
 
     ``partial`` sums the postings read, ``bound`` is the most the pair can score; pairs bound to stay below the floor
     are not kept.
@@ -179,8 +183,8 @@ def candidates(postings: DataFrame, lookups: DataFrame) -> DataFrame:
     return (
         lookups.filter(F.col("from") <= F.col("to"))
         .withColumn("bucket", F.explode(F.sequence("from", "to")))
-        .join(postings, ["term", "bucket", "split"])
-        .groupBy("split", "bag", "docno")
+        .join(postings, ["tno", "bucket"])
+        .groupBy("q", "doc")
         .agg(
             F.sum(given).alias("partial"),
             (F.sum(given - F.col("rho")) + F.max("reach")).alias("bound"),
@@ -192,47 +196,47 @@ def candidates(postings: DataFrame, lookups: DataFrame) -> DataFrame:
 
 
 def _kth_best(scored: DataFrame, k: int) -> DataFrame:
-    """``split, bag, floor`` of the bags with at least ``k`` scored documents."""
+    """``q, floor`` of the queries with at least ``k`` scored documents."""
     return (
-        top_k(scored, ["bag", "split"], k)
-        .groupBy("split", "bag")
+        top_k(scored, ["q"], k, tie="doc")
+        .groupBy("q")
         .agg(F.count("*").alias("_found"), F.min("score").alias("floor"))
         .filter(F.col("_found") == k)
-        .select("split", "bag", "floor")
+        .select("q", "floor")
     )
 
 
 def _completed(postings: DataFrame, found: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Add the postings that were not read to ``partial``: ``split, bag, docno, score``."""
-    open_terms = lookups.filter(~F.col("whole")).select("split", "bag", "term", "w", "from", "to")
+    """Add the postings that were not read to ``partial``: ``q, doc, score``."""
+    open_terms = lookups.filter(~F.col("whole")).select("q", "tno", "w", "from", "to")
     rest = (
-        found.select("split", "bag", "docno")
-        .join(open_terms, ["bag", "split"])
-        .join(postings, ["docno", "term", "split"])
+        found.select("q", "doc")
+        .join(open_terms, "q")
+        .join(postings, ["doc", "tno"])
         .filter(~F.col("bucket").between(F.col("from"), F.col("to")))
-        .select("split", "bag", "docno", (F.col("w") * F.col("sat")).alias("partial"))
+        .select("q", "doc", (F.col("w") * F.col("sat")).alias("partial"))
     )
     return (
-        found.select("split", "bag", "docno", "partial")
+        found.select("q", "doc", "partial")
         .unionByName(rest)
-        .groupBy("split", "bag", "docno")
+        .groupBy("q", "doc")
         .agg(F.round(F.sum("partial"), SCORE_DIGITS).alias("score"))
     )
 
 
 def _survivors(postings: DataFrame, found: DataFrame, lookups: DataFrame, k: int) -> DataFrame:
     """The candidates whose bound reaches the k-th best score of the most promising ones."""
-    promising = top_k(found.withColumn("score", F.col("partial")), ["bag", "split"], 2 * k)
+    promising = top_k(found.withColumn("score", F.col("partial")), ["q"], 2 * k, tie="doc")
     lifted = _kth_best(_completed(postings, promising, lookups), k)
-    return found.join(lifted, ["bag", "split"], "left").filter(
+    return found.join(lifted, "q", "left").filter(
         F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - F.lit(_SLACK))
     )
 
 
 def _contents(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     """Scores of all documents that can be among the first ``k``."""
-    asked = terms.select("split", "term").distinct()
-    postings = ws.stage(index.postings.join(asked, ["term", "split"], "left_semi"), "query-postings")
+    asked = terms.select("tno").distinct()
+    postings = ws.stage(index.postings.join(asked, "tno", "left_semi"), "query-postings")
     lookups = ws.stage(_lookups(terms, _floors(index, postings, terms, k)), "lookups")
     found = ws.stage(candidates(postings, lookups), "candidates")
     survivors = ws.stage(_survivors(postings, found, lookups, k), "survivors")
@@ -240,16 +244,19 @@ def _contents(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> D
 
 
 def hits_by_bag(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
-    """``split, bag, docno, score, rank`` of the first ``k`` documents per query bag."""
+    """``split, q, docno, score, rank`` of the first ``k`` documents per query number."""
     if k > index.depth:
         raise ValueError(f"the index numbers copies up to {index.depth}; build it with depth >= {k}")
     scored = _contents(ws, index, terms, k)
-    contents = top_k(scored, ["bag", "split"], k).drop("rank")
+    # Documents that tie with the k-th stay until their names decide.
+    best = Window.partitionBy("q").orderBy(F.col("score").desc())
+    contents = scored.withColumn("_rank", F.rank().over(best)).filter(F.col("_rank") <= k).drop("_rank")
+    named = contents.join(index.representatives().select("doc", "split", F.col("docno").alias("rep")), "doc").drop("doc")
     # k bags suffice: each holds at least one document that precedes those of later bags. Bags of one have no copies.
-    documents = contents.withColumnRenamed("docno", "rep").join(
-        index.copies.select("split", "rep", "docno"), ["rep", "split"], "left"
-    ).withColumn("docno", F.coalesce("docno", "rep"))
-    return top_k(documents.drop("rep"), ["bag", "split"], k)
+    documents = named.join(index.copies.select("split", "rep", "docno"), ["rep", "split"], "left").withColumn(
+        "docno", F.coalesce("docno", "rep")
+    )
+    return top_k(documents.drop("rep"), ["q"], k)
 
 
 def retrieve(
@@ -265,10 +272,11 @@ def retrieve(
     terms = ws.stage(query_terms(index, vectors, model, max_df_ratio), "query-terms")
     answered = hits_by_bag(ws, index, terms, k)
     # One row per bag on this side, so that many equal queries do not multiply the other one before the join.
-    lists = answered.groupBy("split", "bag").agg(F.collect_list(F.struct("docno", "rank", "score")).alias("_hits"))
+    lists = answered.groupBy("q").agg(F.collect_list(F.struct("docno", "rank", "score")).alias("_hits"))
     return (
         vectors.select("split", "qid", "bag")
-        .join(lists, ["bag", "split"])
+        .join(query_numbers(vectors), ["bag", "split"])
+        .join(lists, "q")
         .select("split", "qid", F.inline("_hits"))
     )
 
@@ -281,9 +289,22 @@ def score_pairs(
     model: Bm25 | TfIdf = Bm25(),
 ) -> DataFrame:
     """Add ``score`` and ``overlap`` to given (split, qid, docno) rows; 0 where no word is shared."""
+    return score_pairs_by(ws, index, queries, pairs, {"score": model})
+
+
+def score_pairs_by(
+    ws: Workspace, index: LexicalIndex, queries: DataFrame, pairs: DataFrame, models: dict[str, Bm25 | TfIdf]
+) -> DataFrame:
+    """Add a score for each of ``models``, under its name, and ``overlap``: documents are unpacked and joined once for all."""
     vectors = ws.stage(query_vectors(queries), "query-vectors")
-    terms = query_terms(index, vectors, model)
-    of_query = vectors.select("split", "qid", "bag").join(terms, ["bag", "split"])
+    words = None
+    for n, model in enumerate(models.values()):
+        terms = query_terms(index, vectors, model).select("bag", "split", "term", F.col("w").alias(f"w{n}"))
+        words = terms if words is None else words.join(terms, ["bag", "split", "term"])
+    of_query = vectors.select("split", "qid", "bag").join(words, ["bag", "split"])
     # Only the documents named are unpacked; a pair may name any copy.
-    scored = _full_scores(pairs, of_query, index.postings_of(pairs), ["qid", "docno", "split"])
-    return pairs.join(scored, ["qid", "docno", "split"], "left").fillna({"score": 0.0, "overlap": 0})
+    keys = pairs.select("qid", "docno", "split")
+    shared = contributions(keys, of_query, index.postings_of(pairs), ["qid", "split"], ["docno", "term", "split"])
+    sums = [F.round(F.sum(F.col(f"w{n}") * F.col("sat")), SCORE_DIGITS).alias(name) for n, name in enumerate(models)]
+    scored = shared.groupBy("qid", "docno", "split").agg(*sums, F.count("*").alias("overlap"))
+    return pairs.join(scored, ["qid", "docno", "split"], "left").fillna({**dict.fromkeys(models, 0.0), "overlap": 0})
