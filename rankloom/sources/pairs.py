@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from ..functions.hashing import split_of
 from ..schemas import RAW_PAIRS, require_columns
 from ..session import path_status
+from .records import records
 
 _TSV = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+_CELLS = {k: _TSV[k] for k in ("sep", "quote", "escape")}
 
 
 def read_tsv_pairs(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """Read one TSV per split into ``split, context, response``.
 
-    A doubled quote and a line break inside quotes belong to the field. Such files cannot be cut for parallel
-    reading, so convert them to parquet once. ``NA`` stays text; rows with a missing field stay until
-    ``drop_incomplete``.
+    A doubled quote and a line break inside quotes belong to the field; byte ranges of a file are read in parallel all the
+    same. ``NA`` stays text; rows with a missing field stay until ``drop_incomplete``.
     """
     missing = [p for p in paths.values() if path_status(spark, p) is None]
     if missing:
@@ -30,11 +31,9 @@ def read_tsv_pairs(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
         require_columns(headed, RAW_PAIRS.fieldNames(), path)
         # The declared types are applied to the file's own column order.
         schema = ", ".join(f"`{c}` string" for c in headed.columns)
-        parts.append(
-            spark.read.schema(schema).options(**_TSV).csv(path).select(
-                F.lit(split).alias("split"), *[c for c in headed.columns]
-            )
-        )
+        cells = F.from_csv("record", schema, _CELLS).alias("cells")
+        rows = records(spark, path, _TSV["sep"], _TSV["quote"]).filter(~F.col("first")).select(cells)
+        parts.append(rows.select(F.lit(split).alias("split"), "cells.*"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
