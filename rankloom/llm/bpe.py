@@ -40,7 +40,8 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 DIRECT = 64  # pieces of so many characters are merged at once; longer ones are streamed
 SHORT = 24  # symbols of words that are merged many at a time
-REMEMBERED = 400_000  # pieces whose ids a worker keeps
+REMEMBERED = 100_000  # pieces whose ids a task keeps, about 25 MB; longer ones are not kept
+LONGEST_KEPT = 64
 NONE = np.int32(1 << 30)
 
 
@@ -291,6 +292,7 @@ class Encoder:
         self.many = ManyMerges(merges)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words_seen: dict[str, tuple[int, ...]] = {}
+        self.passing: list[str] = []
 
     def _normal(self, text: str) -> str:
         if self.nfc and not text.isascii():
@@ -348,6 +350,16 @@ class Encoder:
             for part in found:
                 ids += (part,) if isinstance(part, int) else known.get(part) or long[part]
             self.pieces[piece] = tuple(ids)
+        self.passing = [piece for piece in parts if len(piece) > LONGEST_KEPT]
+
+    def forget(self, everything: bool = False) -> None:
+        """Drops the long pieces of the last texts, or all that was learned."""
+        for piece in self.passing:
+            self.pieces.pop(piece, None)
+        self.passing = []
+        if everything:
+            self.pieces.clear()
+            self.words_seen.clear()
 
     def _cut(self, text: str) -> list[str]:
         if not self.drops_blanks:
@@ -359,7 +371,9 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[array]:
         cut = [*map(self._cut, texts)]
         self.learn(cut)
-        return [array("I", chain.from_iterable(map(self.pieces.__getitem__, pieces))) for pieces in cut]
+        out = [array("I", chain.from_iterable(map(self.pieces.__getitem__, pieces))) for pieces in cut]
+        self.forget()
+        return out
 
     def encode(self, text: str) -> array:
         return self.encode_all([text])[0]
@@ -394,7 +408,7 @@ class Decoder:
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> Encoder:
-    """One encoder and its table of pieces for each worker."""
+    """One encoder for each worker; what it learns ends with the task."""
     return Encoder(Merges(path))
 
 
@@ -432,4 +446,10 @@ def coded(docs: DataFrame, path: str, id_col: str = "doc_id", keep_ids: bool = F
     schema = pa.schema(fields)
     types = {pa.int64(): "bigint", pa.string(): "string"}
     ddl = ", ".join(f"{f.name} {types.get(f.type, 'array<int>')}" for f in fields)
-    return docs.select(docs[id_col].cast("bigint").alias(id_col), text_of().alias("text")).mapInArrow(by_batch(work, schema), ddl)
+    def run(batches):
+        try:
+            yield from by_batch(work, schema)(batches)
+        finally:
+            coder(path).forget(everything=True)
+
+    return docs.select(docs[id_col].cast("bigint").alias(id_col), text_of().alias("text")).mapInArrow(run, ddl)

@@ -228,10 +228,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, thres
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            rows = batch.column(0)
+            texts = (t.as_py() or "" for t in rows.field("text"))
             keep = [model.value.probabilities(t)[-1] < threshold for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["row"])
+            yield pa.RecordBatch.from_arrays([rows.filter(pa.array(keep, pa.bool_()))], names=["row"])
 
     fields = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.select(text_of().alias("whole"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     return rows.mapInArrow(run, f"row struct<{fields}>").select("row.*")

@@ -50,7 +50,7 @@ class WordHashes(dict):
     """64-bit hashes of words, for as many words as a worker should remember."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found

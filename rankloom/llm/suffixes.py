@@ -239,16 +239,16 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = LENGTH, tuple_by
     """
     found = repeats(spark, docs, length, tuple_bytes)
     runs = found.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    columns = docs.columns if keep_text else ["doc_id"]
-    rest = F.struct(*[docs[c] for c in columns]).alias("row")
-    joined = docs.select(rest, text_of().alias("whole"), key_of().alias("key")).join(runs, "key", "left")
+    columns = [c for c in docs.columns if c != "text"] if keep_text else ["doc_id"]
+    rest = F.struct(*[docs[c] for c in columns]).alias("row")  # the text goes beside it, once
+    joined = docs.select(rest, text_of().alias("whole"), docs["text"].isNull().alias("absent"), key_of().alias("key")).join(runs, "key", "left")
     fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("left", pa.string())]
     row_type = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ">"
 
     def run(batches):
         for batch in batches:
             out: dict[str, list] = {n: [] for n, _ in fields}
-            for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            for text, spans in zip((t.as_py() for t in batch.column(1).cast(pa.binary())), batch.column(2).to_pylist()):
                 kept, at, lost, count, end = [], 0, 0, 0, -1
                 for low, high in sorted((s["low"], s["high"] + length) for s in spans or ()):
                     if low > end:
@@ -263,13 +263,13 @@ def removed(spark: SparkSession, docs: DataFrame, length: int = LENGTH, tuple_by
                 out["n_spans"].append(count)
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 out["left"].append(left.decode("utf-8", "replace") if keep_text else None)
-            arrays = [batch.column(0), *(pa.array(out[n], t) for n, t in fields)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row", *out])
+            arrays = [batch.column(0), batch.column(3), *(pa.array(out[n], t) for n, t in fields)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "absent", *out])
 
-    result = joined.select("row", "whole", "runs").mapInArrow(
-        run, f"row {row_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, left string"
+    result = joined.select("row", "whole", "runs", "absent").mapInArrow(
+        run, f"row {row_type}, absent boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, left string"
     )
     if not keep_text:
         return result.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    text = F.when(F.col("row.text").isNull(), F.lit(None).cast("string")).otherwise(F.col("left")).alias("text")
+    text = F.when(F.col("absent"), F.lit(None).cast("string")).otherwise(F.col("left")).alias("text")
     return result.select(*[text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
