@@ -1,44 +1,47 @@
 """Near-duplicate documents by order MinHash, verified by banded alignment.
 
-A text's k-mers are its runs of five words, each labelled with its occurrence. A sketch takes the ``picks`` smallest of
-them under one hash order and keeps them in text order, so it depends on the order of the text and not only on its set of
-k-mers. Two texts with k-mer similarity ``s`` agree in one sketch with probability about ``s ** picks``, and in one of
-``bands`` sketches with ``1 - (1 - s ** picks) ** bands``: 0.9994 at 0.8 with 8 picks and 40 bands, and 2e-5 at 0.2. The
-picks are drawn without replacement, which tells on short texts: 0.998 at 50 k-mers, and nothing below 8. Pairs with a text
-of at most ``SHORT`` k-mers are therefore found for certain, by a prefix filter: of ``n`` k-mers in an order that all texts
-share, the first ``n - ceil(least * n) + 1`` are buckets too, as linked texts have one of these in common. The order is by
-the number of texts that hold a k-mer, so that a common line is no bucket of texts that only have this line in common.
-
-Texts that share a sketch are a bucket. A bucket is never paired out: the member that shares most sketches, the hub, is
-checked against the others. The k-mer distance is a metric, so members can only be linked if their distances from the hub
-are near each other. A member stays for the next round, with new hubs, while one of another class is that near, whether
-hubs have taken them or not. No link inside a bucket is lost that could join two classes. Equal texts are one node from the
-start.
-
-Two texts are linked if their k-mers (with occurrences) have a Jaccard similarity of ``least`` or more and their alignment
-a similarity ``1 - distance / (words of both)`` of ``least`` or more, with insertions and deletions counted; the band of
-the alignment is what the threshold allows. Classes are the connected components of the links.
-
-Defined results: null and empty texts are equal texts; texts of fewer than five words have themselves as only k-mer; equal
-rows share a class; a class is named by its smallest document id, null ids aside; extra columns are not read.
+Two texts are linked if they can be aligned word by word with a similarity ``1 - distance / (words of both)`` of ``least``
+or more, insertions and deletions counted. Classes are the connected components of the links. Nothing but the alignment
+decides; sketches only find candidates.
+
+A text's k-mers are its pairs of neighbouring words, each labelled with its occurrence. A sketch takes the ``picks``
+smallest of them under one hash order and keeps them in text order, so it depends on the order of the text and not only on
+its set of k-mers. Two texts with k-mer similarity ``s`` agree in one sketch with probability about ``s ** picks``, in one
+of ``bands`` with ``1 - (1 - s ** picks) ** bands``. If every tenth word is another one (alignment 0.9), ``s`` is 0.68 and
+4 picks in 48 bands find the pair with 0.99999; at every fifth word (alignment 0.8, the least that is linked) ``s`` is 0.47
+and they find it with 0.91. Longer k-mers lose far more: five-word ones keep a third of themselves there. Pairs with a text
+of at most ``SHORT`` k-mers are found for certain, by a prefix filter: an alignment of that similarity leaves a third of a
+text's word pairs whole, so of its k-mers in an order that all texts share, the first two thirds hold a common one and are
+buckets too. The order is by the number of texts that hold a k-mer, so that a common line is no bucket of texts that only
+have this line in common.
+
+Texts that share a sketch are a bucket; equal buckets are one. A bucket is not paired out. Its heaviest member, the hub, is
+aligned with the others, and buckets whose members are now of one class are done. In the others every member stands for
+the heaviest hub that it is linked with, its pivot, or for itself. Pivots of different classes in a bucket are aligned. As
+the distance is a metric, members ``a`` and ``b`` with pivots ``p`` and ``q`` can only be linked if
+``d(p, q) - d(a, p) - d(b, q)`` is within the reach of the two; those for which it is are aligned with the other pivot, and
+only pairs that both of these distances leave open are aligned themselves. No link inside a bucket is lost that could join
+two classes. Texts that are near each other without any link are all pivots, so a group of these is compared pair by pair
+as far as its texts share sketches. Equal texts are one node from the start.
+
+Defined results: null and empty texts are equal texts; texts of one word have it as only k-mer; equal rows share a class; a
+class is named by its smallest document id, null ids aside; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import by_batch, components, dropped, small_batches, staged, text_of
+from rankloom.llm.common import by_batch, components, small_batches, staged, text_of
 
-K, PICKS, BANDS, LEAST = 5, 8, 40, 0.8
+K, PICKS, BANDS, LEAST = 2, 4, 48, 0.8
 MIX = np.random.default_rng(20_240_501).integers(1, 1 << 63, size=(4, 256), dtype=np.uint64) | np.uint64(1)
 BLOCK = 1 << 14
-SHORT = 50  # k-mers of texts whose links are found by prefixes
+SHORT = 30  # k-mers of texts whose links are found by prefixes
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -101,73 +104,80 @@ def sketches(codes: np.ndarray, picks: int = PICKS, bands: int = BANDS) -> list[
     return out.view(np.int64).tolist()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    union = len(a) + len(b) - common
-    return common / union if union else 1.0
-
-
-def _reach(a: list[str], b: list[str], x: int, y: int) -> int:
-    """Equal words from ``a[x:]`` and ``b[y:]`` on."""
-    begin, step = x, 8
-    while x < len(a) and y < len(b):
-        if step > 1 and a[x : x + step] == b[y : y + step]:
-            done = min(step, len(a) - x, len(b) - y)
-            x, y, step = x + done, y + done, step * 2
-        elif step > 1:
-            step //= 2
-        elif a[x] == b[y]:
-            x, y = x + 1, y + 1
-        else:
-            break
-    return x - begin
-
-
 def banded_distance(a: list[str], b: list[str], limit: int) -> int | None:
-    """Insertions and deletions between word lists, or None beyond ``limit``: only diagonals within it are followed."""
+    """Insertions and deletions between word lists, or None beyond ``limit``.
+
+    The longest common subsequence is grown for one word of ``b`` at a time, for all words of ``a`` at once as bits of one
+    number; matches farther than ``limit`` from the diagonal are left out, as no alignment within it can use them.
+    """
     if abs(len(a) - len(b)) > limit:
         return None
-    front = {1: 0}
-    for d in range(limit + 1):
-        for k in range(-d, d + 1, 2):
-            x = front[k + 1] if k == -d or (k != d and front[k - 1] < front[k + 1]) else front[k - 1] + 1
-            y = x - k
-            if x <= len(a) and 0 <= y <= len(b):
-                x += _reach(a, b, x, y)
-                if x >= len(a) and x - k >= len(b):
-                    return d
-            front[k] = x
-    return None
-
-
-def compared(a: str, b: str, least: float = LEAST) -> tuple[float, bool]:
-    """k-mer distance, and whether the texts are linked."""
-    near = jaccard(kmers(a), kmers(b))
-    if near < least:
-        return 1 - near, False
+    same = 0
+    while same < min(len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    a, b = a[same:], b[same:]
+    places: dict[str, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    band = (1 << 2 * limit + 1) - 1 if 2 * limit < len(a) + len(b) else None
+    unmatched = full
+    for j, word in enumerate(b):
+        met = places.get(word, 0)
+        if met and band is not None:
+            met &= band << j - limit if j > limit else band >> limit - j
+        if met:
+            u = unmatched & met
+            unmatched = (unmatched + u | unmatched - u) & full
+    distance = len(b) - len(a) + 2 * unmatched.bit_count()
+    return distance if distance <= limit else None
+
+
+def compared(a: str, b: str, least: float = LEAST) -> tuple[int, bool]:
+    """Distance of two texts, as far as three times the one that links them, and whether they are linked."""
     x, y = a.split(), b.split()
-    limit = int((1 - least) * (len(x) + len(y)) + 1e-9)
-    return 1 - near, banded_distance(x, y, limit) is not None
+    reach = int((1 - least) * (len(x) + len(y)) + 1e-9)
+    found = banded_distance(x, y, 3 * reach)
+    return 3 * reach + 1 if found is None else found, found is not None and found <= reach
+
+
+def short_codes(text: str, codes: np.ndarray, longest: int) -> list[int]:
+    """The k-mers that a prefix is taken from. Without its middle word a text of three words has none of its pairs left."""
+    words = text.split()
+    if len(codes) > longest:
+        return []
+    ends = kmers(f"{words[0]} {words[2]}") if len(words) == 3 else codes[:0]
+    return sorted({*codes.view(np.int64).tolist(), *ends.view(np.int64).tolist()})
 
 
 def sketched(docs: DataFrame, picks: int = PICKS, bands: int = BANDS, least: float = LEAST) -> DataFrame:
-    """doc_id, key of the text, sketches, and the k-mers of texts that can be linked to one of ``SHORT`` k-mers."""
+    """doc_id, key of the text, words, sketches, and the k-mers of texts that can be linked to one of ``SHORT`` k-mers."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))]
+        [
+            ("doc_id", pa.int64()),
+            ("key", pa.binary()),
+            ("words", pa.int64()),
+            ("sketch", pa.list_(pa.int64())),
+            ("short", pa.list_(pa.int64())),
+        ]
     )
-    reach = int(SHORT / least + 1e-9)
+    longest = int((SHORT + 1) * (2 - least) / least + 1e-9)
 
     def work(batch: pa.RecordBatch) -> dict:
-        found = [kmers(t) for t in batch.column(2).to_pylist()]
+        texts = batch.column(2).to_pylist()
+        found = [kmers(t) for t in texts]
         return {
             "doc_id": batch.column(0),
             "key": batch.column(1),
+            "words": [len(t.split()) for t in texts],
             "sketch": [sketches(codes, picks, bands) for codes in found],
-            "short": [codes.view(np.int64).tolist() if len(codes) <= reach else [] for codes in found],
+            "short": [short_codes(t, codes, longest) for t, codes in zip(texts, found)],
         }
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("key"), text_of().alias("text"))
-    return rows.mapInArrow(by_batch(work, schema), "doc_id bigint, key binary, sketch array<bigint>, short array<bigint>")
+    return rows.mapInArrow(
+        by_batch(work, schema), "doc_id bigint, key binary, words bigint, sketch array<bigint>, short array<bigint>"
+    )
 
 
 def prefixes(nodes: DataFrame, least: float = LEAST) -> DataFrame:
@@ -182,7 +192,9 @@ def prefixes(nodes: DataFrame, least: float = LEAST) -> DataFrame:
         "n",
         (F.col("n") - F.count(F.lit(1)).over(by_node) + F.row_number().over(by_node.orderBy("texts", "bucket"))).alias("place"),
     )
-    return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("node", "bucket")
+    # Of n words in pairs, x deletions and y insertions leave n - 1 - 2x - y pairs: so many at least, whatever the other text.
+    common = F.ceil((F.col("n") + 1) * ((3 * least - 2) / (2 - least)) - 1 - 1e-9)
+    return placed.where(F.col("place") <= F.col("n") - F.greatest(common, F.lit(1)) + 1).select("node", "bucket")
 
 
 def text_key():
@@ -195,20 +207,49 @@ def texts_of(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFram
     return staged(spark, rows.join(nodes, "key").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """hub, node, distance, linked of each pair of nodes."""
-    both = pairs.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("a")), "hub").join(
-        texts.select("node", F.col("text").alias("b")), "node"
+def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """low, high, distance, linked of each pair of nodes, written."""
+    pairs = staged(spark, pairs.select("low", "high").distinct(), "pairs")
+    both = pairs.join(texts.select(F.col("node").alias("low"), F.col("text").alias("a")), "low").join(
+        texts.select(F.col("node").alias("high"), F.col("text").alias("b")), "high"
     )
-    schema = pa.schema([("hub", pa.int64()), ("node", pa.int64()), ("distance", pa.float64()), ("linked", pa.bool_())])
+    schema = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("distance", pa.int64()), ("linked", pa.bool_())])
 
     def work(batch: pa.RecordBatch) -> dict:
         found = [compared(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        return {"hub": batch.column(0), "node": batch.column(1), "distance": [d for d, _ in found], "linked": [x for _, x in found]}
+        return {"low": batch.column(0), "high": batch.column(1), "distance": [d for d, _ in found], "linked": [x for _, x in found]}
 
-    return both.select("hub", "node", "a", "b").mapInArrow(
-        by_batch(work, schema), "hub bigint, node bigint, distance double, linked boolean"
+    judged = both.select("low", "high", "a", "b").mapInArrow(
+        by_batch(work, schema), "low bigint, high bigint, distance bigint, linked boolean"
     )
+    return staged(spark, judged, "judged")
+
+
+def in_order(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("low"), F.greatest(a, b).alias("high")]
+
+
+def distinct_buckets(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """bucket, node, n, times of the buckets with several members; of buckets with the same members, one that counts for all."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    alike = (
+        rows.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), *marks)
+        .where("n > 1")
+        .groupBy("n", "mark0", "mark1")
+        .agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    )
+    return staged(spark, rows.join(alike.select("bucket", "n", "times"), "bucket"), "shared")
+
+
+def rooted(spark: SparkSession, members: DataFrame, judged: DataFrame) -> DataFrame:
+    """Members with the root of their component, of buckets that still hold several components."""
+    roots = components(spark, judged.where("linked").select(F.col("low").alias("hub"), F.col("high").alias("node")))
+    named = staged(
+        spark, members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted"
+    )
+    mixed = named.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+    return staged(spark, named.join(mixed, "bucket"), "mixed")
 
 
 def class_roots(
@@ -218,68 +259,91 @@ def class_roots(
     rows = nodes.select("node", F.explode("sketch").alias("bucket"))
     if exact is not None:
         rows = rows.union(exact.select("node", "bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = staged(spark, rows.join(shared, "bucket"), "shared")
+    sized = distinct_buckets(spark, rows)
     # The node that shares most sketches is the best hub: of a text and its varied copies it is the text.
-    weights = sized.groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
+    weights = staged(spark, sized.groupBy("node").agg(F.sum((F.col("n") - 1) * F.col("times")).alias("weight")), "weights")
     members = staged(
+        spark, sized.select("bucket", "node").join(weights, "node").join(nodes.select("node", "words"), "node"), "members"
+    )
+    texts = texts_of(spark, docs, nodes.select("node", "key").join(weights.select("node"), "node"))
+
+    # Members against the hub of their bucket.
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("h"))
+    hubs = hubs.select("bucket", (-F.col("h.minus")).alias("hub"))
+    star = verified(spark, members.join(hubs, "bucket").where("node <> hub").select(*in_order("node", "hub")), texts, least)
+    links = star.where("linked")
+    ends = links.select(F.col("low").alias("node"), F.col("high").alias("pivot"), "distance").union(
+        links.select("high", "low", "distance")
+    )
+    heavier = "pivot_weight > weight or (pivot_weight = weight and pivot < node)"
+    pivots = (
+        ends.join(weights, "node")
+        .join(weights.select(F.col("node").alias("pivot"), F.col("weight").alias("pivot_weight")), "pivot")
+        .where(heavier)
+        .groupBy("node")
+        .agg(F.max(F.struct("pivot_weight", (-F.col("pivot")).alias("minus"), "distance")).alias("p"))
+        .select("node", (-F.col("p.minus")).alias("pivot"), F.col("p.distance").alias("radius"))
+    )
+    standing = members.join(pivots, "node", "left").select(
+        "bucket", "node", "words", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("radius", F.lit(0)).alias("radius")
+    )
+    mixed = rooted(spark, standing, star)
+
+    # Pivots of different components in one bucket; ``slack`` is how near to another pivot a member's links may bring it.
+    slack = F.col("radius") + F.col("words") * (1 - least) + 1e-6
+
+    def pivot_pairs(mixed: DataFrame) -> DataFrame:
+        groups = mixed.groupBy("bucket", "pivot").agg(F.max(slack).alias("slack"), F.any_value("root").alias("root"))
+        sides = [groups.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in ("pivot", "slack", "root"))) for k in (1, 2)]
+        return sides[0].join(sides[1], "bucket").where("pivot1 < pivot2 and root1 <> root2")
+
+    pairs = pivot_pairs(mixed).select(*in_order("pivot1", "pivot2")).distinct()
+    judged = star.union(verified(spark, pairs.join(star, ["low", "high"], "left_anti"), texts, least))
+    mixed = rooted(spark, mixed.drop("root"), judged)
+
+    # Members against the other pivot, where the triangle inequality leaves a link open.
+    near = pivot_pairs(mixed).withColumnsRenamed({"pivot1": "low", "pivot2": "high"}).join(judged, ["low", "high"])
+    near = near.where(F.col("slack1") + F.col("slack2") >= F.col("distance"))
+    near = staged(
+        spark,
+        near.select("bucket", F.col("low").alias("pivot"), F.col("high").alias("other"), F.col("slack2").alias("other_slack"), "distance").union(
+            near.select("bucket", F.col("high"), F.col("low"), F.col("slack1"), "distance")
+        ),
+        "near",
+    )
+    facing = staged(
         spark,
-        sized.select("bucket", "node").join(weights, "node").withColumn("open", F.lit(True)).withColumn("root", F.col("node")),
-        "members",
+        mixed.where("node <> pivot")
+        .join(near, ["bucket", "pivot"])
+        .where(slack + F.col("other_slack") >= F.col("distance"))
+        .where("node <> other")
+        .select("node", "words", "pivot", "radius", "root", "other")
+        .distinct(),
+        "facing",
+    )
+    judged = judged.union(
+        verified(spark, facing.select(*in_order("node", "other")).join(judged, ["low", "high"], "left_anti"), texts, least)
+    )
+
+    # Pairs of members that the distances from both pivots leave open.
+    facing = facing.withColumns({"low": F.least("node", "other"), "high": F.greatest("node", "other")}).join(
+        judged.select("low", "high", "distance"), ["low", "high"]
+    )
+    one = facing.select("pivot", "other", *(F.col(c).alias(f"{c}1") for c in ("node", "words", "radius", "root", "distance")))
+    two = facing.select(
+        F.col("other").alias("pivot"),
+        F.col("pivot").alias("other"),
+        *(F.col(c).alias(f"{c}2") for c in ("node", "words", "radius", "root", "distance")),
+    )
+    reach = (F.col("words1") + F.col("words2")) * (1 - least) + 1e-6
+    last = (
+        one.join(two, ["pivot", "other"])
+        .where("pivot < other and root1 <> root2")
+        .where((F.col("distance1") - F.col("radius2") <= reach) & (F.col("distance2") - F.col("radius1") <= reach))
+        .select(*in_order("node1", "node2"))
     )
-    texts = texts_of(spark, docs, nodes.select("node", "key").join(members.select("node").distinct(), "node"))
-    dropped(spark, sized)
-    known, roots = None, spark.createDataFrame([], "node bigint, root bigint")
-    by_weight = Window.partitionBy("bucket").orderBy(F.desc("open"), F.desc("weight"), "node")
-    width = max(1 - least, 0.01) / 4
-    several = 1
-    while not members.isEmpty():
-        ranked = members.select(
-            "bucket", F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.row_number().over(by_weight).alias("place")
-        )
-        hubs = staged(spark, ranked.where(F.col("place") <= several), "hubs")
-        # Distances are taken from the first hub; another hub needs no check of its own class.
-        starred = members.join(hubs, "bucket").where("node <> hub and (place = 1 or root <> hub_root)").select(
-            "bucket", "node", "hub", "place", "weight", "open", F.least("hub", "node").alias("low"), F.greatest("hub", "node").alias("high")
-        )
-        several *= 2  # later rounds hold few buckets: more hubs of each, and soon an end
-        pairs = starred.select(F.col("low").alias("hub"), F.col("high").alias("node")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("hub", "node"), ["hub", "node"], "left_anti")
-        fresh = verified(staged(spark, pairs, "pairs"), texts, least)
-        known = staged(spark, fresh if known is None else known.union(fresh), "known")
-        roots = components(spark, known.where("linked").select("hub", "node"))
-        # A bucket goes on with the members that could still be linked to one of another component: their distances from the
-        # first hub differ by ``1 - least`` at most, so by five cells of a quarter of it at most.
-        seen = staged(
-            spark,
-            starred.join(known.select(F.col("hub").alias("low"), F.col("node").alias("high"), "distance", "linked"), ["low", "high"])
-            .groupBy("bucket", "node", "weight", "open")
-            .agg(F.bool_or("linked").alias("taken"), F.min_by("distance", "place").alias("distance"))
-            .join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti")
-            .join(roots, "node", "left")
-            .select(
-                "bucket",
-                "node",
-                "weight",
-                (F.col("open") & ~F.col("taken")).alias("open"),
-                F.coalesce("root", "node").alias("root"),
-                F.floor(F.col("distance") / width).alias("cell"),
-            ),
-            "seen",
-        )
-        cells = seen.groupBy("bucket", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b"))
-        around = (
-            cells.select("bucket", F.explode(F.sequence(F.col("cell") - 5, F.col("cell") + 5)).alias("cell"), "a", "b")
-            .groupBy("bucket", "cell")
-            .agg(F.min("a").alias("a"), F.max("b").alias("b"))
-            .where("a <> b")
-        )
-        kept = seen.join(around, ["bucket", "cell"])
-        fewer = staged(spark, kept.select("bucket", "node", "weight", "open", "root"), "members")
-        dropped(spark, members, seen)
-        members = fewer
-    return roots
+    judged = judged.union(verified(spark, last.join(judged, ["low", "high"], "left_anti"), texts, least))
+    return components(spark, judged.where("linked").select(F.col("low").alias("hub"), F.col("high").alias("node")))
 
 
 def classed(
@@ -291,7 +355,7 @@ def classed(
     nodes = staged(
         spark,
         raw.groupBy("key")
-        .agg(F.min("doc_id").alias("first_doc"), F.any_value("sketch").alias("sketch"), F.any_value("short").alias("short"))
+        .agg(F.min("doc_id").alias("first_doc"), *(F.any_value(c).alias(c) for c in ("words", "sketch", "short")))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
