@@ -83,6 +83,18 @@ def kmers(text: str, k: int = K) -> np.ndarray:
     return out
 
 
+def smallest(value: np.ndarray, picks: int) -> np.ndarray:
+    """Places of the ``picks`` smallest values of each row. Of hashes, few are below a small limit, so only those are sorted."""
+    n = value.shape[1]
+    if n > 16 * picks:
+        rows, places = np.divmod(np.flatnonzero(value.ravel() < np.uint64(int(2**64 * (5 * picks / n)))), n)
+        counts = np.bincount(rows, minlength=len(value))
+        if counts.min() >= picks:
+            order = np.lexsort((value[rows, places], rows))
+            return places[order][(np.cumsum(counts) - counts)[:, None] + np.arange(picks)]
+    return np.argpartition(value, picks - 1, axis=1)[:, :picks]
+
+
 def sketches(codes: np.ndarray, picks: int = PICKS, bands: int = BANDS) -> list[int]:
     """One hash per band of the ``picks`` smallest k-mers in text order."""
     if not len(codes):
@@ -90,11 +102,11 @@ def sketches(codes: np.ndarray, picks: int = PICKS, bands: int = BANDS) -> list[
     rows = np.arange(bands)[:, None]
     held = np.zeros((bands, 0), np.int64)
     for begin in range(0, len(codes), BLOCK):
-        place = np.broadcast_to(np.arange(begin, min(begin + BLOCK, len(codes))), (bands, min(BLOCK, len(codes) - begin)))
-        place = np.concatenate([held, place], axis=1)
-        value = codes[place] * MIX[2, :bands, None] + MIX[3, :bands, None]
+        end = min(begin + BLOCK, len(codes))
+        place = np.concatenate([held, np.broadcast_to(np.arange(begin, end), (bands, end - begin))], axis=1)
+        value = (codes[place] if begin else codes[:end]) * MIX[2, :bands, None] + MIX[3, :bands, None]
         if place.shape[1] > picks:
-            held = place[rows, np.argpartition(value, picks - 1, axis=1)[:, :picks]]
+            held = place[rows, smallest(value, picks)]
         else:
             held = place
     taken = codes[np.sort(held, axis=1)]
