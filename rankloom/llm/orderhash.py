@@ -24,8 +24,9 @@ only pairs that both of these distances leave open are aligned themselves. No li
 two classes. Texts that are near each other without any link are all pivots, so a group of these is compared pair by pair
 as far as its texts share sketches. Equal texts are one node from the start.
 
-Defined results: null and empty texts are equal texts; texts of one word have it as only k-mer; equal rows share a class; a
-class is named by its smallest document id, null ids aside; extra columns are not read.
+Defined results: null and empty texts are equal texts; other texts without a word have no k-mer and link to none; texts of
+one word have it as only k-mer; equal rows share a class; a class is named by its smallest document id, null ids aside;
+extra columns are not read.
 """
 
 from __future__ import annotations

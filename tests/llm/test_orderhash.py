@@ -21,6 +21,8 @@ def indel(a, b):
 
 def linked(a, b, least=0.8):
     u, v = a.split(), b.split()
+    if not u or not v:
+        return False
     return indel(u, v) <= int((1 - least) * (len(u) + len(v)) + 1e-9)
 
 
