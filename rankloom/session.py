@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on. A term, document or query text may hold a large share of the rows, so
@@ -81,9 +83,9 @@ class Workspace:
     def exists(self, path: str) -> bool:
         return path_status(self.spark, path) is not None
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         path = self.new_path(name)
-        df.write.parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path)
         self._staged.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -110,13 +112,14 @@ class Workspace:
         """Read the table built earlier under the same parameters, else build and write it.
 
         The path is a digest of all parameters, so another ``k`` or a changed source never finds an old table.
-        A table counts only once its commit marker exists; a half-written one is overwritten.
+        A table counts only once it is published whole; of two that are built at once, both builders read the first.
         """
         digest = hashlib.sha256(json.dumps(fingerprint, sort_keys=True, default=str).encode()).hexdigest()[:24]
         path = f"{self.root}/{name}-{digest}"
-        if not self.exists(f"{path}/_SUCCESS"):
-            build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-        return self.spark.read.parquet(path)
+        found = published(self.spark, path)
+        if found is None:
+            found = publish(self.spark, path, lambda out: build().write.partitionBy(*partition_by).parquet(out))
+        return self.spark.read.parquet(found)
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -136,3 +139,67 @@ def path_status(spark: SparkSession, path: str) -> dict[str, object] | None:
         "files": summary.getFileCount(),
         "modified": fs.getFileStatus(jvm_path).getModificationTime(),
     }
+
+
+_MARKER = "_PUBLISHED"
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """The folder published below ``path``, or None as long as no writer has finished."""
+    marker, fs = _filesystem(spark, f"{path}/{_MARKER}")
+    if not fs.exists(marker):
+        return None
+    stream = fs.open(marker)
+    try:
+        return f"{path}/{stream.readUTF()}"
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """Write to a folder of its own below ``path``, then publish it, unless another one was published meanwhile.
+
+    Returns the published folder. A writer that dies leaves files that nobody reads; one that comes second deletes its
+    own. The storage must honour create-without-overwrite, as HDFS, ABFS, GCS and current S3A do.
+    """
+    attempt = f"attempt={uuid.uuid4().hex}"
+    write(f"{path}/{attempt}")
+    if not _put_if_absent(spark, f"{path}/{_MARKER}", attempt):
+        jvm_path, fs = _filesystem(spark, f"{path}/{attempt}")
+        fs.delete(jvm_path, True)
+    return published(spark, path)
+
+
+def _put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    jvm_path, fs = _filesystem(spark, path)
+    if fs.getScheme() == "file":  # its create-without-overwrite first looks, then creates; a hard link is one step
+        target = jvm_path.toUri().getPath()
+        aside = f"{target}-{uuid.uuid4().hex}"
+        with open(aside, "wb") as out:
+            out.write(len(text.encode()).to_bytes(2, "big") + text.encode())
+        try:
+            os.link(aside, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(aside)
+        return True
+    try:
+        stream = fs.create(jvm_path, False)
+        stream.writeUTF(text)
+        stream.close()
+    except Py4JJavaError:
+        if fs.exists(jvm_path):
+            return False
+        raise
+    return True
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """The published folders of all direct children of ``path``, in the order of their names."""
+    jvm_path, fs = _filesystem(spark, path)
+    if not fs.exists(jvm_path):
+        return []
+    names = sorted(child.getPath().getName() for child in fs.listStatus(jvm_path) if child.isDirectory())
+    found = [published(spark, f"{path}/{name}") for name in names]
+    return [folder for folder in found if folder is not None]

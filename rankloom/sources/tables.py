@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import HISTORY_CONFIG, LEDGER, TRAINING_COLUMNS, require_columns
-from ..session import path_status
+from ..session import committed, path_status, publish, published
 
 
 def write_training_table(rows: DataFrame, path: str) -> None:
@@ -20,26 +26,55 @@ def read_training_table(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(spark.read.parquet(path), [*TRAINING_COLUMNS, "method"], path)
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """Append to the ledger; every part file has its own header, and earlier results stay."""
+def replace_training_parts(rows: DataFrame, path: str) -> None:
+    """Write the (split, method) folders that occur in ``rows`` anew and leave all others as they are."""
+    require_columns(rows, [*TRAINING_COLUMNS, "method"], "training table")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "method").parquet(path)
+
+
+def write_sides(sided: DataFrame, paths: Mapping[str, str]) -> None:
+    """One training table per side of a split by query; ``sided`` is read once per side, so give a stored table."""
+    for side, path in paths.items():
+        write_training_table(sided.filter(F.col("side") == side).drop("side"), path)
+
+
+def append_results(results: DataFrame, path: str, run: str | None = None) -> None:
+    """Add a run to the ledger; earlier results stay, and a run key that is already there is not added again.
+
+    Readers see a run as a whole or not at all. Without a key every call is a run of its own.
+    """
     require_columns(results, LEDGER.fieldNames(), "results")
-    results.select(*LEDGER.fieldNames()).write.mode("append").option("header", True).csv(path)
+    rows = results.select(*LEDGER.fieldNames())
+    _add_run(rows.sparkSession, path, run, lambda out: rows.write.option("header", True).csv(out))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER).option("header", True).csv(path)
+    return _read_runs(spark, path, LEDGER)
 
 
-def write_history(history: DataFrame, path: str) -> None:
-    """The loss history as CSV, split and full configuration in the folder names."""
+def write_history(history: DataFrame, path: str, run: str | None = None) -> None:
+    """The loss history of a run as CSV, split and full configuration in the folder names; commits as the ledger does."""
     config = HISTORY_CONFIG.fieldNames()
     require_columns(history, ["instances_vues", "loss", "epsilon", *config], "history")
-    history.select("instances_vues", "loss", "epsilon", *config).write.mode("append").option("header", True).partitionBy(
-        *config
-    ).csv(path)
+    rows = history.select("instances_vues", "loss", "epsilon", *config)
+    _add_run(rows.sparkSession, path, run, lambda out: rows.write.option("header", True).partitionBy(*config).csv(out))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    config = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in HISTORY_CONFIG)
-    schema = f"instances_vues bigint, loss double, epsilon double, {config}"
-    return spark.read.schema(schema).option("header", True).csv(path)
+    losses = T.StructType().add("instances_vues", T.LongType()).add("loss", T.DoubleType()).add("epsilon", T.DoubleType())
+    return _read_runs(spark, path, T.StructType([*losses, *HISTORY_CONFIG]))
+
+
+def _add_run(spark: SparkSession, path: str, run: str | None, write: Callable[[str], None]) -> None:
+    key = uuid.uuid4().hex if run is None else hashlib.sha256(run.encode()).hexdigest()[:24]
+    folder = f"{path}/run={key}"
+    if published(spark, folder) is None:
+        publish(spark, folder, write)
+
+
+def _read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    folders = committed(spark, path)
+    if not folders:
+        return spark.createDataFrame([], schema)
+    read = spark.read.schema(schema).options(header="true", basePath=path)
+    return read.csv(folders).select(*schema.fieldNames())

@@ -1,5 +1,8 @@
 """Readers, writers, the build-or-load stage, and plan shapes."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,7 @@ from rankloom.catalog.queries import REGISTRY
 from rankloom.catalog.study import Study
 from rankloom.operators.retrieval import top_k
 from rankloom.schemas import HISTORY_CONFIG
-from rankloom.session import Workspace, path_status, shared_folder
+from rankloom.session import Workspace, path_status, publish, published, shared_folder
 from rankloom.sources import tables
 from rankloom.sources.pairs import (
     drop_incomplete,
@@ -61,6 +64,35 @@ def test_build_or_load(spark, tmp_path):
     assert built == [3, 5]
 
 
+def test_two_builders_read_one_whole_table(spark, tmp_path):
+    ready = threading.Barrier(4)
+
+    def build(i):
+        def rows():
+            ready.wait(60)  # nobody has published when the last one begins to write
+            return spark.range(1000).withColumn("builder", F.lit(i))
+
+        return Workspace(spark, f"file:{tmp_path}/ws").build_or_load("t", {"n": 1}, rows).groupBy("builder").count().collect()
+
+    with ThreadPoolExecutor(4) as pool:
+        seen = {tuple(map(tuple, rows)) for rows in pool.map(build, range(4))}
+    assert len(seen) == 1 and next(iter(seen))[0][1] == 1000
+    assert len(list(tmp_path.glob("ws/t-*/attempt=*"))) == 1
+
+
+def test_half_written_table_is_not_read(spark, tmp_path):
+    def dies(out):
+        spark.range(5).write.parquet(out)
+        raise RuntimeError("killed")
+
+    path = f"file:{tmp_path}/t"
+    with pytest.raises(RuntimeError):
+        publish(spark, path, dies)
+    assert published(spark, path) is None
+    kept = publish(spark, path, lambda out: spark.range(3).write.parquet(out))
+    assert published(spark, path) == kept and spark.read.parquet(kept).count() == 3
+
+
 def test_source_changes_are_noticed(spark, tmp_path):
     path = f"file:{tmp_path}/data"
     spark.range(3).write.parquet(path)
@@ -88,6 +120,39 @@ def test_ledger_appends(spark, tmp_path):
     assert [(r.seed, r.r10_at_1) for r in got] == [(0, 0.5), (1, 0.5)]
 
 
+def test_a_run_is_added_once_and_whole(spark, tmp_path, monkeypatch):
+    path = f"file:{tmp_path}/ledger"
+    row = spark.createDataFrame([("d", "BM25", "BM25", "ls", "step", 1.0, 1.0, 0.2, 0, 0.5)], tables.LEDGER)
+    assert tables.read_results(spark, path).count() == 0
+    for run in ("a", "a", "b", "a"):
+        tables.append_results(row, path, run)
+    assert tables.read_results(spark, path).count() == 2
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr("rankloom.session._put_if_absent", killed)
+        with pytest.raises(RuntimeError):
+            tables.append_results(row, path, "c")
+    assert tables.read_results(spark, path).count() == 2
+    tables.append_results(row, path, "c")
+    assert tables.read_results(spark, path).count() == 3
+
+
+def test_one_split_is_rebuilt_alone(spark, tmp_path):
+    names = [*tables.TRAINING_COLUMNS, "method"]
+    rows = spark.createDataFrame(
+        [(s, f"q{i}", "a", f"d{i}", "b", 0.5, 1, 10, "BM25") for s in ("train", "valid") for i in range(3)], names
+    )
+    tables.write_training_table(rows, f"file:{tmp_path}/t")
+    before = sorted(tmp_path.glob("t/split=train/*/*.parquet"))
+    tables.replace_training_parts(rows.filter("split = 'valid' AND qid <> 'q0'"), f"file:{tmp_path}/t")
+    assert sorted(tmp_path.glob("t/split=train/*/*.parquet")) == before
+    got = tables.read_training_table(spark, f"file:{tmp_path}/t").groupBy("split").count().collect()
+    assert {tuple(r) for r in got} == {("train", 3), ("valid", 2)}
+
+
 def test_training_table_prunes_folders(spark, ws):
     stored = REGISTRY["src_training_table"](spark, SF)
     plan = stored._jdf.queryExecution().toString()
