@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators.ranker import FEATURES, GIVEN
-from .queries import MAX_LEN, VOCABULARY
+from ..plans.fitting import AdamW
+from .queries import FIT_MODES, FIT_STEPS, MAX_LEN, VOCABULARY
 from .study import BATCH, EPOCHS, EPS, K
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -113,6 +114,14 @@ cte("docs", "", "SELECT 'all' AS split, 'd' || doc_id AS docno, text FROM docume
 cte("items", "", "SELECT 'all' AS split, 'q' || item_id AS qid, text AS query FROM benchmark")
 lexical_ctes("lib_", "docs", "items")
 
+cte(
+    "pairs_by_split",
+    "pairs",
+    f"""SELECT * REPLACE (CASE WHEN part < 8 THEN 'train' WHEN part = 8 THEN 'valid' ELSE 'test' END AS split)
+  FROM (SELECT *, {number('conv_id::VARCHAR', 8)} % 10 AS part FROM pairs)""",
+)
+lexical_ctes("by_", "pairs_by_split", "pairs_by_split")
+
 # -- negatives and groups ---------------------------------------------------------------------------------------
 
 
@@ -124,17 +133,18 @@ def scaled(source: str) -> str:
   FROM ({source})"""
 
 
-def lexical_negatives(cut: int) -> str:
+def lexical_negatives(cut: int, hits: str = "bm25_hits", pairs: str = "pairs") -> str:
     return scaled(
         f"""SELECT h.split, h.qid, h.docno, h.score,
                 row_number() OVER (PARTITION BY h.split, h.qid ORDER BY rank) AS pos
-         FROM bm25_hits h JOIN pairs p USING (split, qid)
+         FROM {hits} h JOIN {pairs} p USING (split, qid)
          WHERE h.rank <= {cut} AND h.docno <> p.docno QUALIFY pos <= {K}"""
     )
 
 
 cte("neg_bm25", "bm25_hits pairs", lexical_negatives(K))
 cte("neg_refill", "bm25_hits pairs", lexical_negatives(K + 1))
+cte("neg_by_split", "by_bm25_hits pairs_by_split", lexical_negatives(K, "by_bm25_hits", "pairs_by_split"))
 cte(
     "doc_at",
     "pairs",
@@ -265,6 +275,86 @@ def beta_cdf(a: float, b: float) -> str:
     return f"CASE WHEN p <= 0 THEN 0e0 WHEN p <= 0.6e0 THEN {lower} ELSE 1 - {upper} END"
 
 
+# -- a ranker trained along the plan ----------------------------------------------------------------------------
+
+cte(
+    "side_rows",
+    "by_method sides bm25_all tfidf_all q_words d_words",
+    """SELECT g.method, g.split, s.side, g.qid, g.docno, g.label, g.score, g.pos, coalesce(b.score, 0e0) AS bm25,
+         coalesce(t.score, 0e0) AS tf_idf, coalesce(b.overlap, 0)::DOUBLE AS overlap,
+         round(len(q.words)::DOUBLE / greatest(len(q.words) + len(d.words), 1), 6) AS length_ratio
+  FROM by_method g JOIN sides s USING (split, qid) JOIN q_words q USING (split, qid) JOIN d_words d USING (split, docno)
+       LEFT JOIN bm25_all b USING (split, qid, docno) LEFT JOIN tfidf_all t USING (split, qid, docno)""",
+)
+cte("train_rows", "side_rows", "SELECT * FROM side_rows WHERE side = 'train'")
+cte("side_plan", "train_rows", plan("train_rows", "split, method", "0"))
+cte("fit_modes", "", "FROM (VALUES " + ", ".join(f"('{m}')" for m in FIT_MODES) + ") t(mode)")
+cte(
+    "fit_targets",
+    "side_plan fit_modes",
+    f"""SELECT *, {weak('label', 'score', 'eps')} AS target, least(floor(seen * {FIT_STEPS} / total), {FIT_STEPS - 1}) AS block
+  FROM (SELECT *, CASE WHEN mode = 'baseline' THEN 0e0 WHEN mode = 'ls' THEN {EPS}e0 ELSE {STAGED} END AS eps
+        FROM side_plan, fit_modes)""",
+)
+cte(
+    "fit_scale",
+    "fit_targets",
+    "SELECT method, mode, "
+    + ", ".join(
+        f"round(avg({f}), 6) AS mean_{f}, coalesce(nullif(round(stddev_pop({f}), 6), 0), 1e0) AS sd_{f}" for f in FEATURES
+    )
+    + " FROM fit_targets GROUP BY ALL",
+)
+cte(
+    "fit_rows",
+    "fit_targets fit_scale",
+    "SELECT method, mode, block, seen, eps, target, [1e0, "
+    + ", ".join(f"({f} - mean_{f}) / sd_{f}" for f in FEATURES)
+    + "] AS x FROM fit_targets JOIN fit_scale USING (method, mode)",
+)
+_all = range(1, len(FEATURES) + 2)
+_zeros = "[" + ", ".join("0e0" for _ in _all) + "]"
+_adam = AdamW()
+cte("fit_0", "fit_scale", f"SELECT method, mode, {_zeros} AS w, {_zeros} AS m, {_zeros} AS v FROM fit_scale")
+for _t in range(1, FIT_STEPS + 1):
+    _z = " + ".join(f"w[{j}] * x[{j}]" for j in _all)
+    _slopes = ", ".join(f"avg((1e0 / (1e0 + exp(-({_z}))) - target) * x[{j}])" for j in _all)
+    _m = ", ".join(f"{_adam.beta1}e0 * m[{j}] + {1 - _adam.beta1}e0 * g[{j}]" for j in _all)
+    _v = ", ".join(f"{_adam.beta2}e0 * v[{j}] + {1 - _adam.beta2}e0 * g[{j}] * g[{j}]" for j in _all)
+    _w = ", ".join(
+        f"w[{j}] * {1 - (_adam.rate * _adam.decay if j > 1 else 0)}e0 - {_adam.rate}e0 * (m[{j}] / {1 - _adam.beta1**_t}e0)"
+        f" / (sqrt(v[{j}] / {1 - _adam.beta2**_t}e0) + 1e-8)"
+        for j in _all
+    )
+    CTES[f"fit_{_t}"] = (
+        (f"fit_{_t - 1}", "fit_rows"),
+        f"""SELECT method, mode, [{_w}] AS w, m, v
+  FROM (SELECT method, mode, w, [{_m}] AS m, [{_v}] AS v
+        FROM (SELECT method, mode, any_value(w) AS w, any_value(m) AS m, any_value(v) AS v, [{_slopes}] AS g
+              FROM fit_{_t - 1} JOIN fit_rows USING (method, mode) WHERE block = {_t - 1} GROUP BY method, mode))""",
+    )
+cte(
+    "fit_before",
+    " ".join(f"fit_{t}" for t in range(FIT_STEPS)),
+    " UNION ALL ".join(f"SELECT method, mode, {t} AS block, w FROM fit_{t}" for t in range(FIT_STEPS)),
+)
+cte(
+    "fit_final",
+    f"fit_{FIT_STEPS} fit_scale",
+    "SELECT method, mode, "
+    + ", ".join(f"w[{j + 2}] / sd_{f} AS c_{f}" for j, f in enumerate(FEATURES))
+    + ", w[1] - ("
+    + " + ".join(f"w[{j + 2}] / sd_{f} * mean_{f}" for j, f in enumerate(FEATURES))
+    + f") AS c_intercept FROM fit_{FIT_STEPS} JOIN fit_scale USING (method, mode)",
+)
+cte(
+    "cross_rows",
+    "side_rows fit_final",
+    f"""SELECT f.method AS train_method, r.method AS test_method, r.split, r.qid, r.pos, r.label,
+         round(c_intercept + {' + '.join(f'c_{f} * {f}' for f in FEATURES)}, 6) AS logit
+  FROM side_rows r, fit_final f WHERE r.side = 'test' AND f.mode = 'twsls'""",
+)
+
 # -- evaluation and grids ---------------------------------------------------------------------------------------
 
 
@@ -432,6 +522,36 @@ FROM groups_bm25""",
         """SELECT split, side, count(*) AS n_rows, count(DISTINCT qid) AS n_queries
 FROM groups_bm25 JOIN sides USING (split, qid) GROUP BY ALL""",
     ),
+    "training_by_split": sql(
+        "neg_by_split pairs_by_split",
+        f"""SELECT g.split, g.qid, q.query, g.docno, d.text, g.score, g.label, g.pos
+FROM (SELECT split, qid, docno, score, 0 AS label, pos FROM neg_by_split
+      UNION ALL SELECT split, qid, docno, 0.5e0, 1, {K + 1} FROM pairs_by_split) g
+     JOIN pairs_by_split q USING (split, qid) JOIN pairs_by_split d ON d.split = g.split AND d.docno = g.docno""",
+    ),
+    "snk_sides": sql(
+        "table_bm25 sides", "SELECT 'BM25' AS method, t.*, side FROM table_bm25 t JOIN sides USING (split, qid)"
+    ),
+    "ranker_fit_plan": sql(
+        "fit_final",
+        " UNION ALL ".join(
+            f"SELECT method, mode, '{f}' AS feature, round(c_{f}, 6) AS coefficient FROM fit_final WHERE method = 'BM25'"
+            for f in ("intercept", *FEATURES)
+        ),
+    ),
+    "history_fitted": sql(
+        "fit_rows fit_before",
+        f"""SELECT method, mode, seen AS instances_vues, round({bce('target')}, 6) AS loss, round(max(eps), 6) AS epsilon
+FROM (SELECT r.*, {' + '.join(f'w[{j}] * x[{j}]' for j in _all)} AS logit
+      FROM fit_rows r JOIN fit_before USING (method, mode, block) WHERE method = 'BM25')
+GROUP BY ALL""",
+    ),
+    "cross_table_eval": sql(
+        "cross_rows",
+        "SELECT * EXCLUDE (split) FROM ("
+        + r10("cross_rows", "split, train_method, test_method, qid", "split, train_method, test_method", "pos")
+        + ")",
+    ),
     "smooth_classic": sql(
         "groups_bm25",
         "SELECT split, qid, docno, score, round(0.6e0 * label + 0.4e0 * 0.5e0, 6) AS label FROM groups_bm25",

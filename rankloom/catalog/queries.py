@@ -16,6 +16,7 @@ from ..operators import negatives as neg
 from ..operators import relations as rel
 from ..operators.retrieval import TfIdf, retrieve, score_pairs
 from ..plans import grids
+from ..plans.fitting import Fit, fit_history, fit_on_plan
 from ..plans.training import history, plan_targets, training_plan
 from ..session import Workspace
 from ..sources import tables
@@ -127,6 +128,7 @@ def snk_results_ledger(s: Study) -> DataFrame:
                 F.round("r10_at_1", 4).alias("r10_at_1"),
             ),
             path,
+            run=method,
         )
     return tables.read_results(s.spark, path)
 
@@ -305,6 +307,20 @@ def split_summary(s: Study) -> DataFrame:
     return splits.split_summary(splits.split_by_query(s.groups("BM25"), 0.9, SEED))
 
 
+@query
+def training_by_split(s: Study) -> DataFrame:
+    """Train, valid and test to the stored table in one job, each with its own corpus."""
+    return s.table_by_split().drop("method")
+
+
+@query
+def snk_sides(s: Study) -> DataFrame:
+    """The training tables of both sides of the split by query, each read from its own path."""
+    paths = s.side_tables("BM25")
+    parts = [tables.read_training_table(s.spark, path).withColumn("side", F.lit(side)) for side, path in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- smoothing, schedules, plan ---------------------------------------------------------------------------------
 
 
@@ -636,6 +652,55 @@ def cross_method_eval(s: Study) -> DataFrame:
     return reduce(DataFrame.unionByName, cells)
 
 
+FIT_MODES = ("baseline", "ls", "twsls")
+FIT_STEPS = 16
+
+
+def _side_features(s: Study, method: str, side: str) -> DataFrame:
+    """The stored table of one side with its pairs' features."""
+    rows = tables.read_training_table(s.spark, s.side_tables(method)[side]).drop("query", "text")
+    return rows.join(_featured(s, method).select("split", "qid", "docno", *ranker.FEATURES), ["split", "qid", "docno"])
+
+
+def _fit_along_plan(s: Study, methods: tuple[str, ...], modes: tuple[str, ...]) -> Fit:
+    """One pass trains every method and mode on the train side, batch order and schedule included."""
+    rows = reduce(DataFrame.unionByName, [_side_features(s, m, "train") for m in methods])
+    plan = s.ws.stage(training_plan(rows, BATCH, SEED, epochs=EPOCHS, group=["split", "method"]), "side-plan")
+    runs = [plan_targets(plan, mode, EPS, "step").withColumn("mode", F.lit(mode)) for mode in modes]
+    return fit_on_plan(s.ws, reduce(DataFrame.unionByName, runs), ranker.FEATURES, ["method", "mode"], FIT_STEPS)
+
+
+@query
+def ranker_fit_plan(s: Study) -> DataFrame:
+    """Coefficients after a run of each mode: the schedule changes them."""
+    fit = _fit_along_plan(s, ("BM25",), FIT_MODES)
+    rows = [(*run, name, value) for run in fit.weights for name, value in fit.coefficients(run).items()]
+    found = s.spark.createDataFrame(rows, "method string, mode string, feature string, coefficient double")
+    return found.withColumn("coefficient", r6("coefficient"))
+
+
+@query
+def history_fitted(s: Study) -> DataFrame:
+    """Per batch the loss of the model in training."""
+    losses = fit_history(_fit_along_plan(s, ("BM25",), FIT_MODES))
+    return losses.select("method", "mode", "instances_vues", r6("loss"), r6("epsilon"))
+
+
+@query
+def cross_table_eval(s: Study) -> DataFrame:
+    """R_10@1 of models trained on one method's train table, on either method's test table."""
+    fit = _fit_along_plan(s, grids.METHODS, ("twsls",))
+    test = {m: _side_features(s, m, "test") for m in grids.METHODS}
+    cells = [
+        evaluation.r10_at_1(
+            ranker.apply_coefficients(fit.coefficients((train, "twsls")), test[m]).withColumn("logit", r6("logit"))
+        ).select(F.lit(train).alias("train_method"), F.lit(m).alias("test_method"), "n_queries", "n_correct", "r10_at_1")
+        for train in grids.METHODS
+        for m in grids.METHODS
+    ]
+    return reduce(DataFrame.unionByName, cells)
+
+
 # The names used in the inventory.
 for _name, _as in (
     ("training_plan_rows", "training_plan"),

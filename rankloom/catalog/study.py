@@ -11,9 +11,12 @@ from ..operators import negatives as neg
 from ..operators.lexical import LexicalIndex, build_index
 from ..operators.relations import Relations, relations, with_ids
 from ..operators.retrieval import score_pairs
+from ..operators.splits import split_by_query
+from ..plans.preparation import prepare_training
 from ..plans.training import training_plan
 from ..session import Workspace, path_status
 from ..sources.pairs import conversation_pairs, one_split, read_rows
+from ..sources.tables import read_training_table, write_sides
 
 K = 9
 BATCH = 32
@@ -87,6 +90,22 @@ class Study:
     def table(self, method: str) -> DataFrame:
         return neg.with_texts(self.groups(method), self.rel.queries, self.rel.corpus)
 
+    def table_by_split(self) -> DataFrame:
+        """Train, valid and test prepared in one job, then ``valid`` once more on its own."""
+        pairs = self.ws.stage(conversation_pairs(self.spark, self.sf_dir, by_split=True), "pairs-by-split")
+        row_id = F.concat_ws("_", "conv_id", "turn")
+        out = self.ws.new_path("training-by-split")
+        for only in (None, ["valid"]):
+            prepare_training(self.ws, pairs, row_id, out, self.source, K, "BM25", only=only)
+        return read_training_table(self.spark, out)
+
+    def side_tables(self, method: str) -> dict[str, str]:
+        """Paths of the train and the test table of a method, cut by query."""
+        sided = self.ws.stage(split_by_query(self.table(method), 0.9, SEED).withColumn("method", F.lit(method)), "sided")
+        paths = {side: self.ws.new_path(f"{method}-{side}") for side in ("train", "test")}
+        write_sides(sided, paths)
+        return paths
+
     def scored(self, method: str) -> DataFrame:
         """Groups with the raw BM25 score of every pair, also the relevant one, as ``logit``."""
         mark = {"source": self.source, "method": method, "k": K, "seed": SEED, "logit": "BM25"}
