@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import term_vectors, tokens
 from ..session import Workspace
 
-FORMAT = 3  # of the stored tables: raise it with every change of tokens, weights or layout
-BUCKETS = 16  # postings of a term are grouped by saturation in steps of 1/16
+FORMAT = 4  # of the stored tables: raise it with every change of tokens, weights or layout
 
 
 def corpus_tokens(corpus: DataFrame) -> DataFrame:
@@ -47,26 +46,13 @@ def corpus_vectors(corpus: DataFrame) -> DataFrame:
     return term_vectors(corpus, "text", ["split", "docno"])
 
 
-def saturation(tf: Column, length: Column, avgdl: Column, k1: float, b: float) -> Column:
-    """tf / (tf + K), the part of a term's weight that depends on the document; in (0, 1)."""
-    return tf / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length / avgdl))
-
-
-def saturated(documents: DataFrame, k1: float, b: float) -> DataFrame:
-    """``split, docno, doc, term, sat`` of documents with their vectors."""
-    return documents.select(
-        "split", "docno", "doc", "length", "avgdl", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")
-    ).select(
-        "split",
-        "docno",
-        "doc",
-        F.col("_p.terms").alias("term"),
-        saturation(F.col("_p.tfs"), F.col("length"), F.col("avgdl"), k1, b).alias("sat"),
-    )
+def length_norm(length: Column, avgdl: Column, k1: float, b: float) -> Column:
+    return F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length / avgdl)
 
 
-def bucket(sat: Column) -> Column:
-    return F.least(F.floor(sat * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+def saturation(tf: Column, length: Column, avgdl: Column, k1: float, b: float) -> Column:
+    """tf / (tf + K), the part of a term's weight that depends on the document; in (0, 1)."""
+    return tf / (tf + length_norm(length, avgdl, k1, b))
 
 
 @dataclass(frozen=True)
@@ -77,21 +63,15 @@ class LexicalIndex:
                each other for any scoring; copy 1 stands for all of them, copies up to ``depth`` are numbered, the
                rest have no number and can never be among the first ``depth`` hits.
     copies     split, rep, docno, copy_no for the numbered copies of bags that have more than one.
-    terms      split, term, tno, df, n (bags holding it), lo, hi (range of its saturation), n_docs
-    postings   tno, doc, sat, bucket of every distinct bag, sorted by term in each file
-    champions  tno, doc, place: each term's ``depth`` best postings (for terms in more than half of all
-               documents, whose weight is negative, its least)
+    terms      split, term, df, n_docs
     corpus     split, n_docs, n_tokens, avgdl: one row per split
 
-    ``doc`` and ``tno`` number the documents and the words of all splits. What retrieval joins and groups by are these
-    numbers: names, words and splits stay out of its shuffles until the hits are known.
+    ``doc`` numbers the documents of all splits; retrieval returns these numbers, names come back with the hits.
     """
 
     documents: DataFrame
     copies: DataFrame
     terms: DataFrame
-    postings: DataFrame
-    champions: DataFrame
     corpus: DataFrame
     depth: int
     k1: float
@@ -100,10 +80,6 @@ class LexicalIndex:
     def representatives(self) -> DataFrame:
         return self.documents.filter("copy_no = 1")
 
-    def postings_of(self, docs: DataFrame) -> DataFrame:
-        """``split, docno, term, sat`` of the documents named by ``split, docno``, whichever copies they are."""
-        return saturated(self.documents.join(docs.select("split", "docno").distinct(), ["docno", "split"], "left_semi"), self.k1, self.b)
-
 
 def build_index(
     ws: Workspace,
@@ -117,7 +93,7 @@ def build_index(
 
     ``source`` describes the corpus (paths, sizes, times) and is part of every table's fingerprint.
     """
-    mark = {"source": source, "depth": depth, "k1": k1, "b": b, "buckets": BUCKETS, "format": FORMAT}
+    mark = {"source": source, "depth": depth, "k1": k1, "b": b, "format": FORMAT}
 
     # Texts are read once and never shuffled: what moves is docno, digest and, of copies only, a number.
     bare = ws.build_or_load("index-bare", mark, lambda: corpus_vectors(corpus).withColumn("doc", F.monotonically_increasing_id()))
@@ -138,66 +114,32 @@ def build_index(
 
     numbered = ws.build_or_load("index-copies", mark, number_copies)
 
-    def with_copies() -> DataFrame:
+    def number_documents() -> DataFrame:
         reps = numbered.select("split", "rep").distinct()
-        bags = bare.join(reps.withColumnRenamed("rep", "docno"), ["docno", "split"], "left_semi").select(
+        names = bare.select("split", "docno", "doc", "bag")
+        bags = names.join(reps.withColumnRenamed("rep", "docno"), ["docno", "split"], "left_semi").select(
             "split", "bag", F.lit(True).alias("_several")
         )
-        # A bag without copies is its own first; of the others only the numbered documents have a number.
-        marked = bare.join(bags, ["bag", "split"], "left").join(
+        # A bag without copies is its own first and not listed; of the others only the numbered documents have a number.
+        marked = names.join(bags, ["bag", "split"], "left").join(
             numbered.select("split", "docno", F.col("copy_no").alias("_no")), ["docno", "split"], "left"
         )
         number = F.when(F.col("_several"), F.col("_no")).otherwise(1).cast("int")
-        return marked.select("split", "docno", "doc", number.alias("copy_no"), "length", "bag", "terms", "tfs")
+        return marked.filter("_several OR _no IS NOT NULL").select("doc", F.lit(True).alias("_listed"), number.alias("_no"))
 
-    vectors = ws.build_or_load("index-vectors", mark, with_copies)
+    # The vectors are written once: what else is known of a document is joined by its number.
+    numbers = ws.build_or_load("index-numbers", mark, number_documents)
+    vectors = bare.join(numbers, "doc", "left").withColumn(
+        "copy_no", F.when(F.col("_listed"), F.col("_no")).otherwise(1)
+    ).select("split", "docno", "doc", "copy_no", "length", "bag", "terms", "tfs")
     stats = ws.build_or_load("index-corpus", mark, lambda: corpus_statistics(vectors))
     # One row per split; splits are a handful by construction (train, valid, test).
     documents = vectors.join(F.broadcast(stats.select("split", "avgdl")), "split")
 
     def describe_terms() -> DataFrame:
-        flat = documents.select(
-            "split", "copy_no", "length", "avgdl", F.explode(F.arrays_zip("terms", "tfs")).alias("_p")
-        ).select(
-            "split",
-            F.col("_p.terms").alias("term"),
-            (F.col("copy_no") == 1).alias("_first"),
-            saturation(F.col("_p.tfs"), F.col("length"), F.col("avgdl"), k1, b).alias("_sat"),
-        )
-        return (
-            flat.groupBy("split", "term")
-            .agg(
-                F.count("*").alias("df"),
-                F.count(F.when(F.col("_first"), 1)).alias("n"),
-                F.min("_sat").alias("lo"),
-                F.max("_sat").alias("hi"),
-            )
-            .join(F.broadcast(stats.select("split", "n_docs")), "split")
-            .withColumn("tno", F.monotonically_increasing_id())
-        )
+        flat = documents.select("split", F.explode("terms").alias("term"))
+        frequencies = flat.groupBy("split", "term").agg(F.count("*").alias("df"))
+        return frequencies.join(F.broadcast(stats.select("split", "n_docs")), "split")
 
     terms = ws.build_or_load("index-terms", mark, describe_terms)
-    listed = ws.build_or_load(
-        "index-postings",
-        mark,
-        lambda: saturated(documents.filter("copy_no = 1"), k1, b)
-        .join(terms.select("split", "term", "tno"), ["term", "split"])
-        .select("tno", "doc", "sat", bucket(F.col("sat")).alias("bucket"))
-        .sortWithinPartitions("tno"),
-    )
-
-    def pick_champions() -> DataFrame:
-        # At most twice the mean number of distinct words per document can be in more than half of all documents.
-        common = terms.filter("2 * df > n_docs").select("tno", F.lit(True).alias("_common"))
-        keen = F.when(F.col("_common"), -F.col("sat")).otherwise(F.col("sat"))
-        by_term = Window.partitionBy("tno").orderBy(F.desc("_keen"), "doc")
-        return (
-            listed.join(common, "tno", "left")
-            .select("tno", "doc", keen.alias("_keen"))
-            .withColumn("place", F.row_number().over(by_term))
-            .filter(F.col("place") <= depth)
-            .select("tno", "doc", "place")
-        )
-
-    champions = ws.build_or_load("index-champions", mark, pick_champions)
-    return LexicalIndex(documents, numbered, terms, listed, champions, stats, depth, k1, b)
+    return LexicalIndex(documents, numbered, terms, stats, depth, k1, b)

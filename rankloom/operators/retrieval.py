@@ -1,21 +1,12 @@
-"""Top-k retrieval over the index tables: exact, without scoring every pair that shares a word.
-
-The plan is max-score pruning written as joins, the same at every size:
+"""Top-k retrieval over the index tables: exact, in bounded memory, without writing the pairs that share a word.
 
 1.  Queries with one bag of words are answered once, documents with one bag are scored once.
-2.  The best few postings of each query's heaviest terms are scored in full. The k-th best of those is a floor:
-    no document below it can be a hit.
-3.  Going down from a query's most frequent term, terms are idle while the sum of their largest possible
-    contributions stays below the floor: a document with idle terms only cannot be a hit. The other terms' postings
-    are joined, and of those only the saturation buckets high enough to matter.
-4.  The documents with the best partial sums are completed with the postings not read so far, which lifts the floor
-    close to the true k-th score.
-5.  Documents whose partial sum cannot reach the lifted floor are dropped, the rest are completed.
-
-Queries, words and documents are numbers (``q``, ``tno``, ``doc``) all the way; the hits get their names back at the end.
-
-Every bound is safe, so the result equals that of scoring all pairs. A query whose floor is unknown or not positive
-(too few matches, or only words so common that their weight is negative) keeps all its terms.
+2.  Documents are dealt into blocks of about ``BLOCK`` words, queries into slices. A task scores one slice against one block
+    (``blocks``) and returns the block's first k documents of each query: what is shuffled are vectors and short lists,
+    never a row per pair or per shared word.
+3.  The first k of the blocks' lists are the hits; they get their names back at the end.
+
+The work is still that of all queries against all documents, so time grows with the product of both.
 """
 
 from __future__ import annotations
@@ -27,11 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import term_vectors
 from ..session import Workspace
-from .lexical import BUCKETS, LexicalIndex, bucket
+from .blocks import SCHEMA, first_k_of_block
+from .lexical import LexicalIndex, length_norm, saturation
 
 SCORE_DIGITS = 6
-_IDLE_SHARE = 0.5  # idle terms may sum up to this share of the floor: more reads fewer postings, scores more pairs
-_SLACK = 1e-5  # covers rounding to SCORE_DIGITS and the order of additions
+BLOCK = 1 << 22  # words of the documents in a block, and of the queries in a slice: a task holds one of each
+SLICE = 1 << 12  # a slice of fewer query words is not worth a task of its own
 
 
 @dataclass(frozen=True)
@@ -73,7 +65,7 @@ def query_numbers(vectors: DataFrame) -> DataFrame:
 def query_terms(
     index: LexicalIndex, vectors: DataFrame, model: Bm25 | TfIdf, max_df_ratio: float | None = None
 ) -> DataFrame:
-    """``split, bag, q, term, tno, w, n, lo, hi`` of every distinct query bag; ``w * sat`` is a posting's contribution.
+    """``split, bag, q, term, w`` of every distinct query bag; ``w * sat`` is a posting's contribution.
 
     ``max_df_ratio`` drops words found in more than that share of the documents, in place of a stop-word list. It
     changes scores, so it is off unless asked for.
@@ -89,19 +81,7 @@ def query_terms(
     if max_df_ratio is not None:
         known = known.filter(F.col("df") <= F.lit(max_df_ratio) * F.col("n_docs"))
     weight = model.weight(F.col("df").cast("double"), F.col("n_docs").cast("double"), F.col("qtf").cast("double"))
-    return known.select("split", "bag", "q", "term", "tno", weight.alias("w"), "n", "lo", "hi")
-
-
-def contributions(pairs: DataFrame, terms: DataFrame, postings: DataFrame, query: list[str], posting: list[str]) -> DataFrame:
-    """A row per word that a pair shares: ``terms`` are keyed by ``query``, postings by ``posting``."""
-    word = [k for k in posting if k not in pairs.columns]
-    return pairs.join(terms.select(*query, *word, *[c for c in terms.columns if c[0] == "w"]), query).join(postings, posting)
-
-
-def _full_scores(pairs: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Add ``score`` to ``q, doc`` pairs that share a word."""
-    shared = contributions(pairs, terms.select("q", "tno", "w"), postings, ["q"], ["doc", "tno"])
-    return shared.groupBy("q", "doc").agg(F.round(F.sum(F.col("w") * F.col("sat")), SCORE_DIGITS).alias("score"))
+    return known.select("split", "bag", "q", "term", weight.alias("w"))
 
 
 def top_k(scored: DataFrame, group: list[str], k: int, tie: str = "docno") -> DataFrame:
@@ -110,144 +90,48 @@ def top_k(scored: DataFrame, group: list[str], k: int, tie: str = "docno") -> Da
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _floors(index: LexicalIndex, postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """``q, floor``: the k-th best full score among a few promising documents of each query."""
-    best = F.when(F.col("w") > 0, F.col("w") * F.col("hi")).otherwise(F.col("w") * F.col("lo"))
-    by_best = Window.partitionBy("q").orderBy(best.desc(), "tno")
-    earlier = by_best.rowsBetween(Window.unboundedPreceding, -1)
-    # The three heaviest terms, and further ones until a term with k documents of its own is included: then k
-    # documents are certain, or the query matches so few that scoring all of them is cheap.
-    chosen = (
-        terms.withColumn("_place", F.row_number().over(by_best))
-        .withColumn("_filled", F.coalesce(F.max(F.col("n") >= k).over(earlier), F.lit(False)))
-        .filter((F.col("_place") <= 3) | ~F.col("_filled"))
-        .select("q", "tno")
-    )
-    champions = index.champions.filter(F.col("place") <= k).select("tno", "doc")
-    seeds = chosen.join(champions, "tno").select("q", "doc").distinct()
-    return _kth_best(_full_scores(seeds, terms, postings), k)
-
-
-def _lookups(terms: DataFrame, floors: DataFrame) -> DataFrame:
-    """Which buckets of its terms each query must read: ``q, tno, w, from, to, rho, reach, whole``.
-
-    from, to  the range of buckets to read, empty for an idle term
-    rho       what an unread posting of a live term could contribute at most
-    reach     what all idle terms and unread postings together could add to a document at most
-    whole     whether the range holds all of the term's postings
-    floor     what a hit scores at least, null if unknown
-    """
-    per_bag = Window.partitionBy("q")
-    by_frequency = per_bag.orderBy(F.desc("n"), "tno").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    target = F.col("floor") - F.lit(_SLACK)
-    pruned = F.coalesce(F.col("floor") > 2 * _SLACK, F.lit(False))
-    positive = F.col("w") > 0
-    marked = (
-        terms.join(floors, "q", "left")
-        .withColumn("_most", F.when(positive, F.col("w") * F.col("hi")).otherwise(0.0))
-        .withColumn("_cum", F.sum("_most").over(by_frequency))
-        .withColumn("_idle", pruned & (~positive | (F.col("_cum") < target * _IDLE_SHARE)))
-        .withColumn("_idle_most", F.sum(F.when(F.col("_idle"), F.col("_most")).otherwise(0.0)).over(per_bag))
-        .withColumn("_live_most", F.sum(F.when(F.col("_idle"), 0.0).otherwise(F.col("_most"))).over(per_bag))
-    )
-    # Some live term must contribute at least this share of its largest contribution.
-    share = F.when(pruned, F.least((target - F.col("_idle_most")) / F.col("_live_most"), F.lit(1.0))).otherwise(0.0)
-    lowest, highest = bucket(F.col("lo")), bucket(F.col("hi"))
-    first = F.when(positive, F.greatest(lowest, bucket(F.col("hi") * share - 1e-9))).otherwise(lowest)
-    # For a query without a positive floor, a document with negative terms only needs each of them above it.
-    last = F.when(
-        (F.col("w") < 0) & F.col("floor").isNotNull(),
-        F.least(highest, bucket(F.greatest(target / F.col("w"), F.lit(0.0)))),
-    ).otherwise(highest)
-    unread = F.when(
-        ~F.col("_idle") & positive & (F.col("from") > lowest), F.col("w") * F.col("from") / F.lit(float(BUCKETS))
-    ).otherwise(0.0)
-    reach = F.when(pruned, F.col("_idle_most") + F.sum("rho").over(per_bag)).otherwise(0.0)
-    return (
-        marked.withColumn("from", F.when(F.col("_idle"), 1).otherwise(first))
-        .withColumn("to", F.when(F.col("_idle"), 0).otherwise(last))
-        .withColumn("rho", unread)
-        .withColumn("reach", reach)
-        .withColumn("whole", (F.col("from") <= lowest) & (F.col("to") >= highest))
-        .select("q", "tno", "w", "from", "to", "rho", "reach", "whole", "floor")
-    )
-
-
-def candidates(postings: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Every pair that may still be among the hits: ``q, doc, partial, bound``.
-
-    ``partial`` sums the postings read, ``bound`` is the most the pair can score; pairs bound to stay below the floor
-    are not kept.
-    """
-    given = F.col("w") * F.col("sat")
-    return (
-        lookups.filter(F.col("from") <= F.col("to"))
-        .withColumn("bucket", F.explode(F.sequence("from", "to")))
-        .join(postings, ["tno", "bucket"])
-        .groupBy("q", "doc")
-        .agg(
-            F.sum(given).alias("partial"),
-            (F.sum(given - F.col("rho")) + F.max("reach")).alias("bound"),
-            F.max("floor").alias("floor"),
-        )
-        .filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - F.lit(_SLACK)))
-        .drop("floor")
+def _cells(index: LexicalIndex, terms: DataFrame) -> tuple[int, int]:
+    """The number of document blocks and of query slices; a task has one of each."""
+    words = index.corpus.agg(F.sum("n_tokens")).first()[0] or 0  # one row per split
+    asked = terms.count()
+    blocks = max(-(-words // BLOCK), 1)
+    busy = -(-4 * terms.sparkSession.sparkContext.defaultParallelism // blocks)
+    # Slices keep all cores busy where there is enough to do; they too stay within ``BLOCK`` words.
+    return blocks, max(min(busy, asked // SLICE), -(-asked // BLOCK), 1)
+
+
+def _contents(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
+    """``q, doc, score`` of all documents that can be among the first ``k``."""
+    blocks, slices = _cells(index, terms)
+    documents = index.representatives().select(
+        "split",
+        "doc",
+        length_norm(F.col("length"), F.col("avgdl"), index.k1, index.b).alias("norm"),
+        "terms",
+        "tfs",
+        _dealt("doc", blocks).alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
     )
-
-
-def _kth_best(scored: DataFrame, k: int) -> DataFrame:
-    """``q, floor`` of the queries with at least ``k`` scored documents."""
-    return (
-        top_k(scored, ["q"], k, tie="doc")
-        .groupBy("q")
-        .agg(F.count("*").alias("_found"), F.min("score").alias("floor"))
-        .filter(F.col("_found") == k)
-        .select("q", "floor")
+    queries = (
+        terms.groupBy("split", "q")
+        .agg(F.collect_list("term").alias("words"), F.collect_list("w").alias("weights"))
+        .withColumn("slice", _dealt("q", slices))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     )
+    cell = ["split", "block", "slice"]
+    found = documents.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInArrow(first_k_of_block(k), SCHEMA)
+    return found.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
-def _completed(postings: DataFrame, found: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Add the postings that were not read to ``partial``: ``q, doc, score``."""
-    open_terms = lookups.filter(~F.col("whole")).select("q", "tno", "w", "from", "to")
-    rest = (
-        found.select("q", "doc")
-        .join(open_terms, "q")
-        .join(postings, ["doc", "tno"])
-        .filter(~F.col("bucket").between(F.col("from"), F.col("to")))
-        .select("q", "doc", (F.col("w") * F.col("sat")).alias("partial"))
-    )
-    return (
-        found.select("q", "doc", "partial")
-        .unionByName(rest)
-        .groupBy("q", "doc")
-        .agg(F.round(F.sum("partial"), SCORE_DIGITS).alias("score"))
-    )
-
-
-def _survivors(postings: DataFrame, found: DataFrame, lookups: DataFrame, k: int) -> DataFrame:
-    """The candidates whose bound reaches the k-th best score of the most promising ones."""
-    promising = top_k(found.withColumn("score", F.col("partial")), ["q"], 2 * k, tie="doc")
-    lifted = _kth_best(_completed(postings, promising, lookups), k)
-    return found.join(lifted, "q", "left").filter(
-        F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - F.lit(_SLACK))
-    )
-
-
-def _contents(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
-    """Scores of all documents that can be among the first ``k``."""
-    asked = terms.select("tno").distinct()
-    postings = ws.stage(index.postings.join(asked, "tno", "left_semi"), "query-postings")
-    lookups = ws.stage(_lookups(terms, _floors(index, postings, terms, k)), "lookups")
-    found = ws.stage(candidates(postings, lookups), "candidates")
-    survivors = ws.stage(_survivors(postings, found, lookups, k), "survivors")
-    return _completed(postings, survivors, lookups)
+def _dealt(number: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(parts)).cast("int")
 
 
 def hits_by_bag(ws: Workspace, index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     """``split, q, docno, score, rank`` of the first ``k`` documents per query number."""
     if k > index.depth:
         raise ValueError(f"the index numbers copies up to {index.depth}; build it with depth >= {k}")
-    scored = _contents(ws, index, terms, k)
+    scored = _contents(index, terms, k)
     # Documents that tie with the k-th stay until their names decide.
     best = Window.partitionBy("q").orderBy(F.col("score").desc())
     contents = scored.withColumn("_rank", F.rank().over(best)).filter(F.col("_rank") <= k).drop("_rank")
@@ -301,10 +185,27 @@ def score_pairs_by(
     for n, model in enumerate(models.values()):
         terms = query_terms(index, vectors, model).select("bag", "split", "term", F.col("w").alias(f"w{n}"))
         words = terms if words is None else words.join(terms, ["bag", "split", "term"])
-    of_query = vectors.select("split", "qid", "bag").join(words, ["bag", "split"])
-    # Only the documents named are unpacked; a pair may name any copy.
-    keys = pairs.select("qid", "docno", "split")
-    shared = contributions(keys, of_query, index.postings_of(pairs), ["qid", "split"], ["docno", "term", "split"])
-    sums = [F.round(F.sum(F.col(f"w{n}") * F.col("sat")), SCORE_DIGITS).alias(name) for n, name in enumerate(models)]
-    scored = shared.groupBy("qid", "docno", "split").agg(*sums, F.count("*").alias("overlap"))
+    weights = [f"w{n}" for n in range(len(models))]
+    packed = words.groupBy("bag", "split").agg(F.collect_list(F.struct("term", *weights)).alias("_asked"))
+    of_query = vectors.select("split", "qid", "bag").join(packed, ["bag", "split"]).drop("bag")
+    # A pair carries its query's words to the document, which may be any copy; only scores leave that join.
+    both = pairs.select("qid", "docno", "split").join(of_query, ["qid", "split"]).join(
+        index.documents.select("docno", "split", "length", "avgdl", "terms", "tfs"), ["docno", "split"]
+    )
+    found = F.filter(
+        F.transform(
+            "_asked",
+            lambda x: F.struct(*[x[w].alias(w) for w in weights], F.array_position("terms", x["term"]).cast("int").alias("at")),
+        ),
+        lambda x: x["at"] > 0,
+    )
+    shared = both.select("qid", "docno", "split", "length", "avgdl", "tfs", found.alias("_shared"))
+
+    def given(weight: str) -> Column:
+        sat = lambda at: saturation(F.get("tfs", at - 1), F.col("length"), F.col("avgdl"), index.k1, index.b)
+        return F.aggregate("_shared", F.lit(0.0), lambda total, x: total + x[weight] * sat(x["at"]))
+
+    summed = shared.select("qid", "docno", "split", *[given(w).alias(w) for w in weights], F.size("_shared").alias("overlap"))
+    sums = [F.round(F.sum(w), SCORE_DIGITS).alias(name) for w, name in zip(weights, models, strict=True)]
+    scored = summed.groupBy("qid", "docno", "split").agg(*sums, F.sum("overlap").alias("overlap"))
     return pairs.join(scored, ["qid", "docno", "split"], "left").fillna({**dict.fromkeys(models, 0.0), "overlap": 0})
