@@ -53,10 +53,12 @@ def incidence(first: np.ndarray, last: np.ndarray, width: int) -> Csr:
 
 
 def transposed(m: Csr) -> Csr:
-    order = np.argsort(m.columns, kind="stable")
-    rows = np.repeat(np.arange(len(m.begins) - 1), np.diff(m.begins))
+    rows, values = np.repeat(np.arange(len(m.begins) - 1), np.diff(m.begins)), m.values
+    if (m.columns[1:] < m.columns[:-1]).any():
+        order = np.argsort(m.columns, kind="stable")
+        rows, values = rows[order], values[order]
     begins = np.concatenate(([0], np.cumsum(np.bincount(m.columns, minlength=m.width))))
-    return Csr(begins, rows[order], m.values[order], len(m.begins) - 1)
+    return Csr(begins, rows, values, len(m.begins) - 1)
 
 
 def product(a: Csr, b: Csr) -> Csr:
@@ -66,15 +68,18 @@ def product(a: Csr, b: Csr) -> Csr:
     total = int(ends[-1]) if len(ends) else 0
     source = np.arange(total) + np.repeat(b.begins[a.columns] - (ends - spans), spans)
     rows = np.repeat(np.repeat(np.arange(len(a.begins) - 1), np.diff(a.begins)), spans)
-    cell = rows * b.width + b.columns[source]
+    columns = b.columns[source]
     value = np.repeat(a.values, spans) * b.values[source]
-    if len(cell) and (cell[1:] < cell[:-1]).any():
-        order = np.argsort(cell, kind="stable")
-        cell, value = cell[order], value[order]
-    new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if total else np.zeros(0, np.int64)
-    cell, value = cell[new], np.add.reduceat(value, new) if total else value
-    counts = np.bincount(cell // b.width if total else cell, minlength=len(a.begins) - 1)
-    return Csr(np.concatenate(([0], np.cumsum(counts))), cell % b.width if total else cell, value, b.width)
+    step = np.diff(rows * b.width + columns)
+    if (step < 0).any():
+        order = np.argsort(rows * b.width + columns, kind="stable")
+        rows, columns, value = rows[order], columns[order], value[order]
+        step = np.diff(rows * b.width + columns)
+    if not step.all():
+        new = np.flatnonzero(np.concatenate(([True], step != 0)))
+        rows, columns, value = rows[new], columns[new], np.add.reduceat(value, new)
+    counts = np.bincount(rows, minlength=len(a.begins) - 1)
+    return Csr(np.concatenate(([0], np.cumsum(counts))), columns, value, b.width)
 
 
 def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,18 +113,36 @@ def group_sizes(links: np.ndarray) -> np.ndarray:
     return np.diff(links, prepend=-1)
 
 
+def shared_slices(links_a: np.ndarray, links_b: np.ndarray, group: int = 0, last: int | None = None):
+    """A and B tokens of all pairs inside the groups, some rows at a time: the product of both token-group matrices."""
+    last = len(links_a) if last is None else min(len(links_a), last)
+    if last <= group:
+        return
+    sizes_a, sizes_b = group_sizes(links_a)[group:last], group_sizes(links_b)[group:last]
+    heads = [int(links[group - 1]) + 1 if group else 0 for links in (links_a, links_b)]
+    of_a, of_b = (np.repeat(np.arange(last - group), sizes) for sizes in (sizes_a, sizes_b))
+    first_b = np.concatenate(([0], np.cumsum(sizes_b)))
+    entries = np.cumsum(sizes_b[of_a])  # of A's rows up to this one
+    begin = 0
+    while begin < len(of_a):
+        done = int(entries[begin - 1]) if begin else 0
+        end = max(int(np.searchsorted(entries, done + SLICE, "right")), begin + 1)
+        low, high = int(of_a[begin]), int(of_a[end - 1]) + 1
+        columns = of_b[first_b[low] : first_b[high]] - low
+        rows = of_a[begin:end] - low
+        a, b = incidence(rows, rows + 1, high - low), incidence(columns, columns + 1, high - low)
+        found = product(a, transposed(b))
+        yield (
+            np.repeat(np.arange(begin, end), np.diff(found.begins)) + heads[0],
+            found.columns + int(first_b[low]) + heads[1],
+        )
+        begin = end
+
+
 def shared_links(aligned: Aligned, group: int = 0, groups: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A and B tokens of all pairs inside the given groups: the product of both token-group matrices."""
-    last = len(aligned.links_a) if groups is None else min(len(aligned.links_a), group + groups)
-    matrices, heads = [], []
-    for links in (aligned.links_a, aligned.links_b):
-        sizes = group_sizes(links)[group:last]
-        at = np.repeat(np.arange(last - group), sizes)
-        matrices.append(incidence(at, at + 1, last - group))
-        heads.append(int(links[group - 1]) + 1 if group else 0)
-    found = product(matrices[0], transposed(matrices[1]))
-    rows = np.repeat(np.arange(len(found.begins) - 1), np.diff(found.begins))
-    return rows + heads[0], found.columns + heads[1]
+    """A and B tokens of all pairs inside the given groups."""
+    parts = [*shared_slices(aligned.links_a, aligned.links_b, group, None if groups is None else group + groups)]
+    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
 
 
 def aligned(a_ends: np.ndarray, b_ends: np.ndarray) -> Aligned:
@@ -127,7 +150,7 @@ def aligned(a_ends: np.ndarray, b_ends: np.ndarray) -> Aligned:
     i, j, _ = overlaps(a_ends, b_ends)
     together = a_ends[i] == b_ends[j]
     links_a, links_b = i[together], j[together]
-    n_shared = int((group_sizes(links_a) * group_sizes(links_b)).sum())  # entries of the product of token-group matrices
+    n_shared = sum(len(x) for x, _ in shared_slices(links_a, links_b))
     return Aligned(links_a, links_b, len(i), n_shared)
 
 

@@ -123,6 +123,18 @@ def test_products_equal_dense_ones(monkeypatch):
         assert some == {(i, j) for i, j in pairs if 1 <= group[0][i] <= 2}
 
 
+def test_pairs_of_groups_come_from_the_product(monkeypatch):
+    """The token-group matrices are multiplied, in slices that also cut a group; a broken product shows in the count."""
+    monkeypatch.setattr(alignment, "SLICE", 7)
+    x, y = np.array([1, 2, 3, 4, 5, 9, 10, 12]), np.array([5, 6, 7, 8, 10, 11, 12])
+    assert alignment.aligned(x, y).n_shared == 5 + 2 * 4 + 2
+    whole, widths = alignment.product, []
+    monkeypatch.setattr(alignment, "product", lambda a, b: widths.append(a.width) or whole(a, b))
+    alignment.aligned(x, y)
+    # Bytes of the overlaps' slices, then groups.
+    assert sum(widths) > 12 and min(widths) <= 3
+
+
 def test_any_sparse_product():
     rng = np.random.default_rng(3)
     for _ in range(50):
