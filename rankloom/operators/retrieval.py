@@ -103,7 +103,7 @@ def _cells(index: LexicalIndex, terms: DataFrame) -> tuple[int, int]:
 def _contents(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     """``q, doc, score`` of all documents that can be among the first ``k``."""
     blocks, slices = _cells(index, terms)
-    documents = index.representatives().select(
+    documents = index.representatives().filter("terms IS NOT NULL").select(
         "split",
         "doc",
         length_norm(F.col("length"), F.col("avgdl"), index.k1, index.b).alias("norm"),

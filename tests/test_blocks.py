@@ -57,3 +57,13 @@ def test_scores_of_given_pairs(spark, ws):
     for r in retrieval.score_pairs(ws, index, q, pairs).collect():
         assert r.score == pytest.approx(dict(scores(corpus, queries[r.qid])).get(r.docno, 0.0), abs=2e-6)
         assert r.overlap == len(set(queries[r.qid].split()) & set(corpus[r.docno].split()))
+
+
+def test_null_texts_and_rows_that_come_twice(spark, ws):
+    rows = [("all", "d1", "a b"), ("all", "d1", "a b"), ("all", "d2", "a c c"), ("all", "d3", None), ("all", "d4", "e f")]
+    c = spark.createDataFrame(rows, "split string, docno string, text string")
+    q = spark.createDataFrame([("all", "q1", "c b"), ("all", "q2", None), ("all", "q3", "f")], "split string, qid string, query string")
+    index = build_index(ws, c, "odd", depth=10)
+    got = [(r.qid, r.docno) for r in retrieval.retrieve(ws, index, q, k=9).collect()]
+    assert set(got) == {("q1", "d1"), ("q1", "d2"), ("q3", "d4")}
+    assert got.count(("q1", "d2")) == got.count(("q3", "d4")) == 1
