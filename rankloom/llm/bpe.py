@@ -21,6 +21,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import string
 import unicodedata
 from array import array
 from collections.abc import Iterable
@@ -119,6 +120,7 @@ class ManyMerges:
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
         self.made = np.array([*merges.made, 0], np.int32)
+        self.inner, self.final = np.array(merges.inner, np.int32), np.array(merges.final, np.int32)
         pairs = np.array([(a << 32) | b for a, b in merges.ranks], np.int64)
         for key, slot, rank in zip(pairs.tolist(), self._slot(pairs).tolist(), merges.ranks.values()):
             while self.keys[slot] >= 0:
@@ -141,11 +143,15 @@ class ManyMerges:
             todo, pairs, slot = todo[on], pairs[on], (slot[on] + 1) & self.mask
         return out
 
-    def apply(self, words: list[list[int]]) -> list[tuple[int, ...]]:
-        size = np.array([len(w) for w in words])
+    def apply(self, words: list[bytes]) -> list[bytes]:
+        """Ids of the words, as unsigned 32-bit integers in a row."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
         width = int(size.max()) + 1
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        symbols, last = self.inner[raw], np.cumsum(size) - 1
+        symbols[last] = self.final[raw[last]]
         ids = np.full((len(words), width), -1, np.int32)
-        ids[np.arange(width) < size[:, None]] = np.fromiter(chain.from_iterable(words), np.int32, int(size.sum()))
+        ids[np.arange(width) < size[:, None]] = symbols
         after = np.minimum(np.arange(1, width + 1), width - 1)[None, :].repeat(len(words), 0)
         before = np.maximum(np.arange(-1, width - 1), 0)[None, :].repeat(len(words), 0)
         rank = np.full(ids.shape, NONE, np.int32)
@@ -175,9 +181,9 @@ class ManyMerges:
             p = before[r, k]
             rank[r, p] = self._rank(ids[r, p], ids[r, k])
         alive = ids >= 0
-        ends = np.cumsum(alive.sum(axis=1)).tolist()
-        flat = ids[alive].tolist()
-        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+        ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        flat = ids[alive].tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def sufficient_lookahead(merges: Merges) -> int:
@@ -289,9 +295,15 @@ class Encoder:
         self.later = frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", beyond) if unicodedata.category(c) == "Cn")
         self.blanks = regex.compile(f"[{SPACES}]+")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
+        self.marks = {s[0] for s in merges.special}  # special tokens begin with one of them
+        self.plain = not any(map(str.isalpha, self.marks))  # no special token inside letters
+        signs = set(string.punctuation) - self.marks if self.plain else ()
+        self.tails = {c for c in signs if self.words.findall(f"ab{c}") == ["ab", c]}
         self.many = ManyMerges(merges)
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words_seen: dict[str, tuple[int, ...]] = {}
+        # Ids as unsigned 32-bit integers in a row; special tokens are known by their ids.
+        self.fixed = {i: array("I", [i]).tobytes() for i in merges.special.values()}
+        self.pieces: dict[str, bytes] = {}
+        self.words_seen: dict[str | int, bytes] = {**self.fixed}
         self.passing: list[str] = []
 
     def _normal(self, text: str) -> str:
@@ -313,19 +325,29 @@ class Encoder:
         out[-1] = self.merges.final[raw[-1]]
         return out
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         symbols = self._symbols(word)
         if len(word) <= DIRECT:
-            return tuple(self.merges.apply(symbols))
-        machine, out = Transducer(self.merges), []
+            return array("I", self.merges.apply(symbols)).tobytes()
+        machine, out = Transducer(self.merges), array("I")
         for symbol in symbols:
-            out += machine.push(symbol)
-        return tuple(out + machine.finish())
+            out.extend(machine.push(symbol))
+        out.extend(machine.finish())
+        return out.tobytes()
 
     def _parts(self, piece: str) -> list[str | int]:
         """Words and ids of special tokens of a piece."""
-        if piece.isascii() and piece.isalpha():
-            return [piece.lower() if self.lower else piece]
+        # Most pieces are letters, some with one sign behind them; the pattern need not be asked about these.
+        if self.plain and piece.isalpha():
+            word = self._normal(piece)
+            if word.isalpha():
+                return [word]
+        elif piece[-1:] in self.tails and piece[:-1].isalpha():
+            word = self._normal(piece[:-1])
+            if word.isalpha():
+                return [word, piece[-1]]
+        if self.marks.isdisjoint(piece):
+            return self._split(self._normal(piece))
         out: list[str | int] = []
         for k, part in enumerate(self.special.split(piece) if self.special else [piece]):
             out += [self.merges.special[part]] if k % 2 else self._split(self._normal(part))
@@ -333,23 +355,24 @@ class Encoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Ids of the pieces not seen yet, the short words of all of them at once."""
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        if len(self.words_seen) > REMEMBERED:
-            self.words_seen.clear()
-        parts = {p: self._parts(p) for p in set(chain.from_iterable(texts)).difference(self.pieces)}
-        known = self.words_seen
-        fresh = {w for found in parts.values() for w in found if isinstance(w, str)}.difference(known)
-        symbols = {w: self._symbols(w) for w in fresh if len(w) <= SHORT}
-        short = {w: x for w, x in symbols.items() if len(x) <= SHORT}
+        asked, known = set(chain.from_iterable(texts)), self.words_seen
+        if len(self.pieces) > REMEMBERED:  # what these texts hold again is likely to come back
+            self.pieces = {p: ids for p, ids in self.pieces.items() if p in asked}
+        parts = {p: self._parts(p) for p in asked.difference(self.pieces)}
+        words = {w for w in chain.from_iterable(parts.values()) if w.__class__ is str}
+        if len(known) > REMEMBERED:
+            known = self.words_seen = {**self.fixed, **{w: ids for w, ids in known.items() if w in words}}
+        fresh = words.difference(known)
+        raw = {w: w.encode("utf-8", "surrogatepass") for w in fresh if len(w) <= SHORT}
+        short = {w: x for w, x in raw.items() if len(x) <= SHORT}
         if short:
             known.update(zip(short, self.many.apply([*short.values()])))
-        long = {w: self._word(w) for w in fresh.difference(short)}
+        long = fresh.difference(short)
+        known.update((w, self._word(w)) for w in long)
         for piece, found in parts.items():
-            ids: list[int] = []
-            for part in found:
-                ids += (part,) if isinstance(part, int) else known.get(part) or long[part]
-            self.pieces[piece] = tuple(ids)
+            self.pieces[piece] = known[found[0]] if len(found) == 1 else b"".join(map(known.__getitem__, found))
+        for word in long:
+            del known[word]
         self.passing = [piece for piece in parts if len(piece) > LONGEST_KEPT]
 
     def forget(self, everything: bool = False) -> None:
@@ -358,8 +381,7 @@ class Encoder:
             self.pieces.pop(piece, None)
         self.passing = []
         if everything:
-            self.pieces.clear()
-            self.words_seen.clear()
+            self.pieces, self.words_seen = {}, {**self.fixed}
 
     def _cut(self, text: str) -> list[str]:
         if not self.drops_blanks:
@@ -371,7 +393,8 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[array]:
         cut = [*map(self._cut, texts)]
         self.learn(cut)
-        out = [array("I", chain.from_iterable(map(self.pieces.__getitem__, pieces))) for pieces in cut]
+        ids_of = self.pieces.__getitem__
+        out = [array("I", b"".join(map(ids_of, pieces))) for pieces in cut]
         self.forget()
         return out
 

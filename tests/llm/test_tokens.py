@@ -145,3 +145,18 @@ def test_counted_table(spark):
         want.append((doc, len((text or "").encode()), n, n > 20))
     assert got == sorted(want, key=repr)
     assert counting.counted(odd_docs(spark).limit(0), BYTE).count() == 0
+
+
+def test_pieces_of_letters_are_not_matched_by_the_pattern(monkeypatch):
+    encoder = bpe.Encoder(bpe.Merges(WORD))
+    asked = []
+    split = encoder._split
+    monkeypatch.setattr(encoder, "_split", lambda text: asked.append(text) or split(text))
+    monkeypatch.setattr(bpe, "REMEMBERED", 1)
+    texts = ["Hello, (there) großer Éclair. don't", "Hello, İ ab< <|endoftext|>, x'", "Éclair. e\u0301a, Ωmega's"]
+    for text in texts:
+        assert list(encoder.encode(text)) == tokenizer(WORD).encode(text, add_special_tokens=False).ids
+    assert not {"hello,", "großer", "éclair."} & set(asked)
+    encoder.encode("Hello, Hello, a")
+    encoder.encode("Hello, b")  # full, yet what is asked again stays
+    assert "Hello," in encoder.pieces and "a" not in encoder.pieces
