@@ -20,9 +20,11 @@ aligned with the others, and buckets whose members are now of one class are done
 the heaviest hub that it is linked with, its pivot, or for itself. Pivots of different classes in a bucket are aligned. As
 the distance is a metric, members ``a`` and ``b`` with pivots ``p`` and ``q`` can only be linked if
 ``d(p, q) - d(a, p) - d(b, q)`` is within the reach of the two; those for which it is are aligned with the other pivot, and
-only pairs that both of these distances leave open are aligned themselves. No link inside a bucket is lost that could join
+only pairs that both of these distances leave open are aligned themselves. Before any of these pairs becomes a row, the
+parities of its texts' word counts are compared: an inserted or deleted word flips one, so as many operations are needed at
+least as parities differ, and a pair that the parities put out of reach is none. No link inside a bucket is lost that could join
 two classes. Texts that are near each other without any link are all pivots, so a group of these is compared pair by pair
-as far as its texts share sketches. Equal texts are one node from the start.
+as far as its texts share sketches and their parities leave a link open. Equal texts are one node from the start.
 
 Defined results: null and empty texts are equal texts; other texts without a word have no k-mer and link to none; texts of
 one word have it as only k-mer; equal rows share a class; a class is named by its smallest document id, null ids aside;
@@ -42,6 +44,7 @@ from rankloom.llm.common import by_batch, components, small_batches, staged, tex
 K, PICKS, BANDS, LEAST = 2, 4, 48, 0.8
 MIX = np.random.default_rng(20_240_501).integers(1, 1 << 63, size=(4, 256), dtype=np.uint64) | np.uint64(1)
 BLOCK = 1 << 14
+PARITIES = 1024  # a multiple of 64
 SHORT = 30  # k-mers of texts whose links are found by prefixes
 
 
@@ -84,6 +87,18 @@ def kmers(text: str, k: int = K) -> np.ndarray:
     return out
 
 
+def parities(text: str) -> np.ndarray:
+    """Whether the words of each of ``PARITIES`` classes are odd in number, as bits of 64-bit integers."""
+    words = text.split()
+    codes = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)) % np.uint64(PARITIES)
+    return np.packbits(np.bincount(codes.astype(np.int64), minlength=PARITIES) & 1).view(np.int64)
+
+
+def apart(one: str, two: str) -> Column:
+    """The parities in which two texts differ; their distance is no less."""
+    return F.expr(" + ".join(f"bit_count({one}[{k}] ^ {two}[{k}])" for k in range(PARITIES // 64)))
+
+
 def smallest(value: np.ndarray, picks: int) -> np.ndarray:
     """Places of the ``picks`` smallest values of each row. Of hashes, few are below a small limit, so only those are sorted."""
     n = value.shape[1]
@@ -220,6 +235,17 @@ def texts_of(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFram
     return staged(spark, rows.join(nodes, "key").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
 
 
+def parities_of(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """node, odd: the parities of each text."""
+    schema = pa.schema([("node", pa.int64()), ("odd", pa.list_(pa.int64()))])
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"node": batch.column(0), "odd": [parities(t) for t in batch.column(1).to_pylist()]}
+
+    rows = texts.select("node", "text").mapInArrow(by_batch(work, schema), "node bigint, odd array<bigint>")
+    return staged(spark, rows, "parities")
+
+
 def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """low, high, distance, linked of each pair of nodes, written."""
     pairs = staged(spark, pairs.select("low", "high").distinct(), "pairs")
@@ -301,14 +327,19 @@ def class_roots(
         "bucket", "node", "words", F.coalesce("pivot", "node").alias("pivot"), F.coalesce("radius", F.lit(0)).alias("radius")
     )
     mixed = rooted(spark, standing, star)
+    odd = parities_of(spark, texts)
 
     # Pivots of different components in one bucket; ``slack`` is how near to another pivot a member's links may bring it.
-    slack = F.col("radius") + F.col("words") * (1 - least) + 1e-6
+    reach = F.col("words") * (1 - least) + 1e-6
+    slack = F.col("radius") + reach
 
     def pivot_pairs(mixed: DataFrame) -> DataFrame:
         groups = mixed.groupBy("bucket", "pivot").agg(F.max(slack).alias("slack"), F.any_value("root").alias("root"))
-        sides = [groups.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in ("pivot", "slack", "root"))) for k in (1, 2)]
-        return sides[0].join(sides[1], "bucket").where("pivot1 < pivot2 and root1 <> root2")
+        groups = groups.join(odd.withColumnRenamed("node", "pivot"), "pivot")
+        sides = [groups.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in ("pivot", "slack", "root", "odd"))) for k in (1, 2)]
+        return sides[0].join(sides[1], "bucket").where("pivot1 < pivot2 and root1 <> root2").where(
+            F.col("slack1") + F.col("slack2") >= apart("odd1", "odd2")
+        )
 
     pairs = pivot_pairs(mixed).select(*in_order("pivot1", "pivot2")).distinct()
     judged = star.union(verified(spark, pairs.join(star, ["low", "high"], "left_anti"), texts, least))
@@ -319,16 +350,18 @@ def class_roots(
     near = near.where(F.col("slack1") + F.col("slack2") >= F.col("distance"))
     near = staged(
         spark,
-        near.select("bucket", F.col("low").alias("pivot"), F.col("high").alias("other"), F.col("slack2").alias("other_slack"), "distance").union(
-            near.select("bucket", F.col("high"), F.col("low"), F.col("slack1"), "distance")
+        near.select("bucket", F.col("low").alias("pivot"), F.col("high").alias("other"), F.col("slack2").alias("other_slack"), "distance", F.col("odd2").alias("other_odd")).union(
+            near.select("bucket", F.col("high"), F.col("low"), F.col("slack1"), "distance", F.col("odd1"))
         ),
         "near",
     )
     facing = staged(
         spark,
         mixed.where("node <> pivot")
+        .join(odd, "node")
         .join(near, ["bucket", "pivot"])
         .where(slack + F.col("other_slack") >= F.col("distance"))
+        .where(reach + F.col("other_slack") >= apart("odd", "other_odd"))
         .where("node <> other")
         .select("node", "words", "pivot", "radius", "root", "other")
         .distinct(),
@@ -341,18 +374,20 @@ def class_roots(
     # Pairs of members that the distances from both pivots leave open.
     facing = facing.withColumns({"low": F.least("node", "other"), "high": F.greatest("node", "other")}).join(
         judged.select("low", "high", "distance"), ["low", "high"]
-    )
-    one = facing.select("pivot", "other", *(F.col(c).alias(f"{c}1") for c in ("node", "words", "radius", "root", "distance")))
+    ).join(odd, "node")
+    columns = ("node", "words", "radius", "root", "distance", "odd")
+    one = facing.select("pivot", "other", *(F.col(c).alias(f"{c}1") for c in columns))
     two = facing.select(
         F.col("other").alias("pivot"),
         F.col("pivot").alias("other"),
-        *(F.col(c).alias(f"{c}2") for c in ("node", "words", "radius", "root", "distance")),
+        *(F.col(c).alias(f"{c}2") for c in columns),
     )
-    reach = (F.col("words1") + F.col("words2")) * (1 - least) + 1e-6
+    both = (F.col("words1") + F.col("words2")) * (1 - least) + 1e-6
     last = (
         one.join(two, ["pivot", "other"])
         .where("pivot < other and root1 <> root2")
-        .where((F.col("distance1") - F.col("radius2") <= reach) & (F.col("distance2") - F.col("radius1") <= reach))
+        .where((F.col("distance1") - F.col("radius2") <= both) & (F.col("distance2") - F.col("radius1") <= both))
+        .where(apart("odd1", "odd2") <= both)
         .select(*in_order("node1", "node2"))
     )
     judged = judged.union(verified(spark, last.join(judged, ["low", "high"], "left_anti"), texts, least))

@@ -172,3 +172,35 @@ def test_blocks_do_not_change_sketches(monkeypatch):
     want = orderhash.sketches(codes)
     monkeypatch.setattr(orderhash, "BLOCK", 100)
     assert orderhash.sketches(codes) == want
+
+
+def test_parities_never_exceed_the_distance():
+    rng = random.Random(5)
+    for n in (1, 12, 80, 700, 3000):
+        a = [f"w{rng.randrange(n)}" for _ in range(n)]
+        for _ in range(8):
+            b = list(a)
+            for _ in range(rng.choice([0, 1, n // 8, n])):
+                b.insert(rng.randrange(len(b) + 1), f"w{rng.randrange(2 * n)}")
+                b.pop(rng.randrange(len(b)))
+            one, two = (orderhash.parities(" ".join(w)) for w in (a, b))
+            found = sum(int(x).bit_count() for x in (one ^ two).view(np.uint64))
+            assert found <= orderhash.banded_distance(a, b, len(a) + len(b))
+            assert a != b or not found
+
+
+def test_texts_of_one_bucket_that_parities_hold_apart_are_no_pairs(spark, monkeypatch):
+    line = " ".join(f"common{k}" for k in range(12))
+    docs = [(k, f"{line} " + " ".join(f"own{k}x{j}" for j in range(30))) for k in range(40)]
+    docs += [(100 + k, text.replace("x7", f"y{k}")) for k, text in docs[:3]]
+    rows = docs_of(spark, docs)
+    keys = {r.doc_id: r.k for r in rows.select("doc_id", orderhash.text_key().alias("k")).collect()}
+    nodes = spark.createDataFrame(
+        [(k, keys[k], 42, [1, 2 + k % 100]) for k, _ in docs], "node bigint, key binary, words bigint, sketch array<bigint>"
+    )
+    asked = []
+    verified = orderhash.verified
+    monkeypatch.setattr(orderhash, "verified", lambda spark, pairs, *rest: asked.append(pairs.distinct().count()) or verified(spark, pairs, *rest))
+    roots = {r.node: r.root for r in orderhash.class_roots(spark, rows, nodes).collect()}
+    assert roots == {0: 0, 100: 0, 1: 1, 101: 1, 2: 2, 102: 2}
+    assert sum(asked[1:]) == 0 and asked[0] <= 45
