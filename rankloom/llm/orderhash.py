@@ -44,7 +44,8 @@ from rankloom.llm.common import by_batch, components, small_batches, staged, tex
 K, PICKS, BANDS, LEAST = 2, 4, 48, 0.8
 MIX = np.random.default_rng(20_240_501).integers(1, 1 << 63, size=(4, 256), dtype=np.uint64) | np.uint64(1)
 BLOCK = 1 << 14
-PARITIES = 1024  # a multiple of 64
+PARITIES = 4096  # a multiple of ``64 * FEW``
+FEW = 16  # the parities are folded to so many integers for a first look
 SHORT = 30  # k-mers of texts whose links are found by prefixes
 
 
@@ -66,6 +67,19 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def by_occurrence(codes: np.ndarray) -> np.ndarray:
+    """The codes, those that come again changed by how often they came before."""
+    order = np.argsort(codes, kind="stable")
+    same = codes[order[1:]] == codes[order[:-1]]
+    if not same.any():
+        return codes
+    begins = np.flatnonzero(np.concatenate(([True], ~same)))
+    count = np.arange(len(codes)) - np.repeat(begins, np.diff(np.append(begins, len(codes))))
+    times = np.empty(len(codes), np.uint64)
+    times[order] = count.astype(np.uint64)
+    return np.where(times > 0, mixed(codes + times * MIX[1, 0]), codes)
+
+
 def kmers(text: str, k: int = K) -> np.ndarray:
     """Hashes of a text's k-mers in text order, each with its occurrence."""
     words = text.split()
@@ -76,27 +90,31 @@ def kmers(text: str, k: int = K) -> np.ndarray:
     out = np.full(len(codes) - k + 1, k, np.uint64)
     for j in range(k):
         out = mixed(out * MIX[0, j] + codes[j : len(codes) - k + 1 + j])
-    order = np.argsort(out, kind="stable")
-    same = out[order[1:]] == out[order[:-1]]
-    if same.any():
-        begins = np.flatnonzero(np.concatenate(([True], ~same)))
-        count = np.arange(len(out)) - np.repeat(begins, np.diff(np.append(begins, len(out))))
-        times = np.empty(len(out), np.uint64)
-        times[order] = count.astype(np.uint64)
-        out = np.where(times > 0, mixed(out + times * MIX[1, 0]), out)
-    return out
+    return by_occurrence(out)
 
 
 def parities(text: str) -> np.ndarray:
-    """Whether the words of each of ``PARITIES`` classes are odd in number, as bits of 64-bit integers."""
+    """Whether the words of each of ``PARITIES`` classes are odd in number, as bits of 64-bit integers.
+
+    A word and its second occurrence are of different classes, so that a word that one text has four times and the other
+    twice counts as two.
+    """
     words = text.split()
-    codes = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words)) % np.uint64(PARITIES)
+    codes = by_occurrence(np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))) % np.uint64(PARITIES)
     return np.packbits(np.bincount(codes.astype(np.int64), minlength=PARITIES) & 1).view(np.int64)
 
 
-def apart(one: str, two: str) -> Column:
-    """The parities in which two texts differ; their distance is no less."""
-    return F.expr(" + ".join(f"bit_count({one}[{k}] ^ {two}[{k}])" for k in range(PARITIES // 64)))
+def folded(odd: np.ndarray) -> np.ndarray:
+    """Parities of classes that are put together, in ``FEW`` integers."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, FEW), axis=0)
+
+
+def in_reach(one: str, two: str, limit: Column) -> Column:
+    """Whether two texts may be as near as ``limit``: their distance is no less than the parities in which they differ."""
+    few = F.expr(" + ".join(f"bit_count({one}.few[{k}] ^ {two}.few[{k}])" for k in range(FEW)))
+    differing = F.zip_with(f"{one}.many", f"{two}.many", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    many = F.aggregate(differing, F.lit(0), lambda total, n: total + n)
+    return (limit >= few) & (limit >= many)
 
 
 def smallest(value: np.ndarray, picks: int) -> np.ndarray:
@@ -236,14 +254,15 @@ def texts_of(spark: SparkSession, docs: DataFrame, nodes: DataFrame) -> DataFram
 
 
 def parities_of(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """node, odd: the parities of each text."""
-    schema = pa.schema([("node", pa.int64()), ("odd", pa.list_(pa.int64()))])
+    """node, odd: the parities of each text, all of them (many) and folded (few)."""
+    schema = pa.schema([("node", pa.int64()), ("few", pa.list_(pa.int64())), ("many", pa.list_(pa.int64()))])
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"node": batch.column(0), "odd": [parities(t) for t in batch.column(1).to_pylist()]}
+        found = [parities(t) for t in batch.column(1).to_pylist()]
+        return {"node": batch.column(0), "few": [folded(x) for x in found], "many": found}
 
-    rows = texts.select("node", "text").mapInArrow(by_batch(work, schema), "node bigint, odd array<bigint>")
-    return staged(spark, rows, "parities")
+    rows = texts.select("node", "text").mapInArrow(by_batch(work, schema), "node bigint, few array<bigint>, many array<bigint>")
+    return staged(spark, rows.select("node", F.struct("few", "many").alias("odd")), "parities")
 
 
 def verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -338,7 +357,7 @@ def class_roots(
         groups = groups.join(odd.withColumnRenamed("node", "pivot"), "pivot")
         sides = [groups.select("bucket", *(F.col(c).alias(f"{c}{k}") for c in ("pivot", "slack", "root", "odd"))) for k in (1, 2)]
         return sides[0].join(sides[1], "bucket").where("pivot1 < pivot2 and root1 <> root2").where(
-            F.col("slack1") + F.col("slack2") >= apart("odd1", "odd2")
+            in_reach("odd1", "odd2", F.col("slack1") + F.col("slack2"))
         )
 
     pairs = pivot_pairs(mixed).select(*in_order("pivot1", "pivot2")).distinct()
@@ -361,7 +380,7 @@ def class_roots(
         .join(odd, "node")
         .join(near, ["bucket", "pivot"])
         .where(slack + F.col("other_slack") >= F.col("distance"))
-        .where(reach + F.col("other_slack") >= apart("odd", "other_odd"))
+        .where(in_reach("odd", "other_odd", reach + F.col("other_slack")))
         .where("node <> other")
         .select("node", "words", "pivot", "radius", "root", "other")
         .distinct(),
@@ -387,7 +406,7 @@ def class_roots(
         one.join(two, ["pivot", "other"])
         .where("pivot < other and root1 <> root2")
         .where((F.col("distance1") - F.col("radius2") <= both) & (F.col("distance2") - F.col("radius1") <= both))
-        .where(apart("odd1", "odd2") <= both)
+        .where(in_reach("odd1", "odd2", both))
         .select(*in_order("node1", "node2"))
     )
     judged = judged.union(verified(spark, last.join(judged, ["low", "high"], "left_anti"), texts, least))

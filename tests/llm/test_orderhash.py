@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 from odd import docs_of, odd_docs, odd_texts
+from pyspark.sql import functions as F
 
 from rankloom.llm import orderhash
 
@@ -189,6 +190,29 @@ def test_parities_never_exceed_the_distance():
             assert a != b or not found
 
 
+def test_parities_see_words_that_occur_unequally_often():
+    one, two = orderhash.parities("a a a a b"), orderhash.parities("b a a")
+    assert sum(int(x).bit_count() for x in (one ^ two).view(np.uint64)) == 2
+
+
+def test_parities_hold_long_texts_of_few_words_apart(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(200)]
+    base = rng.choices(words, [1 / (k + 1) for k in range(200)], k=900)
+
+    def varied(share: float, pool: str) -> str:
+        return " ".join(w if rng.random() > share else f"{pool}{rng.randrange(2000)}" for w in base)
+
+    texts = spark.createDataFrame(
+        [(0, " ".join(base)), (1, varied(0.1, "x")), (2, varied(0.3, "y")), (3, " ".join(sorted(base)))], "node bigint, text string"
+    )
+    odd = orderhash.parities_of(spark, texts)
+    sides = [odd.select(F.col("node").alias(f"n{k}"), F.col("odd").alias(f"odd{k}")) for k in (1, 2)]
+    pairs = sides[0].crossJoin(sides[1]).where("n1 < n2").where(orderhash.in_reach("odd1", "odd2", F.lit(360.0)))
+    # 0 and 2 differ in 526 words, 1 and 2 in 642: 1,024 parities of words without occurrences, as before, differ in 226 and 276.
+    assert sorted((r.n1, r.n2) for r in pairs.collect()) == [(0, 1), (0, 3), (1, 3)]
+
+
 def test_texts_of_one_bucket_that_parities_hold_apart_are_no_pairs(spark, monkeypatch):
     line = " ".join(f"common{k}" for k in range(12))
     docs = [(k, f"{line} " + " ".join(f"own{k}x{j}" for j in range(30))) for k in range(40)]
