@@ -1,11 +1,13 @@
 """One block of documents against one slice of queries, inside a task: the block's first k documents of each query, exactly.
 
+Vectors travel in parts: the rows of a block or slice that a task had at hand, as compressed Arrow data with each word once.
 The block's postings are lists by word; those of common words are rows of a matrix with a column per document, so that the
 common words of many queries are scored by one product. The lists of a query's other words are added to its row of scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -33,26 +35,68 @@ class Lists(NamedTuple):
         return self.rows[part], self.sats[part]
 
 
-def _flat(lists: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-    """All elements, and how many each row has."""
-    values = pa.chunked_array([c.flatten() for c in lists.chunks], lists.type.value_type).combine_chunks()
-    return values, pc.list_value_length(lists).to_numpy().astype(np.int64)
+def packed(keys: list[str], words: str) -> Callable:
+    """For ``mapInArrow``: a row per batch and combination of ``keys``, the other columns packed as ``part``."""
 
+    def pack(rows: pa.RecordBatch) -> bytes:
+        lists = rows.column(words)
+        coded = pa.ListArray.from_arrays(lists.offsets, lists.values.dictionary_encode())
+        rows = rows.set_column(rows.schema.get_field_index(words), words, coded)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        return sink.getvalue().to_pybytes()
 
-def posting_lists(docs: pa.Table, words: pa.Array, times: np.ndarray) -> Lists:
-    """``times`` is how often each document is listed: its contributions count as often."""
-    terms, lengths = _flat(docs["terms"])
-    codes = pc.fill_null(pc.index_in(terms, value_set=words), -1).to_numpy()
-    known = np.flatnonzero(codes >= 0)
-    rows = np.repeat(np.arange(docs.num_rows, dtype=np.int32), lengths)[known]
-    tfs = _flat(docs["tfs"])[0].to_numpy()[known]
-    codes = codes[known]
-    order = np.argsort(codes, kind="stable")
-    rows, tfs = rows[order], tfs[order]
-    sats = tfs / (tfs + docs["norm"].to_numpy()[rows]) * times[rows]
-    sizes = np.bincount(codes, minlength=len(words))
-    starts = np.append(0, np.cumsum(sizes))
-    return Lists(starts, rows, sats, docs.num_rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.Table.from_batches([batch.select(keys)]).append_column("row", pa.array(range(batch.num_rows)))
+            members = numbered.group_by(keys).aggregate([("row", "list")])
+            rest = batch.drop_columns(keys)
+            parts = pa.array([pack(rest.take(rows.values)) for rows in members["row_list"]], pa.binary())
+            found = members.select(keys).append_column("part", parts)
+            yield from found.combine_chunks().to_batches()
+
+    return run
+
+
+def _unpacked(parts: pa.ChunkedArray) -> list[pa.RecordBatch]:
+    return [pa.ipc.open_stream(part.as_buffer()).read_next_batch() for part in parts]
+
+
+def _joined(parts: list[pa.RecordBatch], column: str) -> np.ndarray:
+    """A column of all parts; of lists all elements."""
+    arrays = [part.column(column) for part in parts]
+    return np.concatenate([(a.flatten() if pa.types.is_list(a.type) else a).to_numpy() for a in arrays])
+
+
+def _sizes(parts: list[pa.RecordBatch], column: str) -> np.ndarray:
+    return np.concatenate([pc.list_value_length(part.column(column)).to_numpy() for part in parts]).astype(np.int64)
+
+
+def _codes(parts: list[pa.RecordBatch], column: str, words: pa.Array) -> np.ndarray:
+    """The place in ``words`` of every listed word, else -1; a part's words are looked up once."""
+    found = []
+    for part in parts:
+        listed = part.column(column).flatten()
+        places = pc.fill_null(pc.index_in(listed.dictionary, value_set=words), -1).to_numpy()
+        found.append(places[listed.indices.to_numpy()])
+    return np.concatenate(found)
+
+
+def posting_lists(docs: list[pa.RecordBatch], words: pa.Array) -> tuple[np.ndarray, Lists]:
+    """The documents, and their lists; contributions of a document that is listed twice count twice."""
+    listed = _joined(docs, "doc")
+    numbers, firsts, times = np.unique(listed, return_index=True, return_counts=True)
+    place = np.full(len(listed), -1, np.int32)
+    place[firsts] = np.arange(len(firsts))
+    rows = np.repeat(place, _sizes(docs, "terms"))
+    codes = _codes(docs, "terms", words)
+    known = np.flatnonzero((codes >= 0) & (rows >= 0))
+    order = known[np.argsort(codes[known], kind="stable")]
+    rows, codes, tfs = rows[order], codes[order], _joined(docs, "tfs")[order]
+    sats = tfs / (tfs + _joined(docs, "norm")[firsts][rows]) * times[rows]
+    starts = np.append(0, np.cumsum(np.bincount(codes, minlength=len(words))))
+    return numbers, Lists(starts, rows, sats, len(numbers))
 
 
 def common_words(lists: Lists) -> tuple[np.ndarray, np.ndarray]:
@@ -91,17 +135,16 @@ def first_k(lists: Lists, codes: np.ndarray, total: np.ndarray, k: int) -> np.nd
 
 
 def first_k_of_block(k: int):
-    """For ``applyInArrow`` on documents (doc, norm, terms, tfs) cogrouped with queries (q, words, weights): ``SCHEMA``."""
+    """For ``applyInArrow`` on parts of documents (doc, norm, terms, tfs) cogrouped with parts of queries (q, words, weights):
+    ``SCHEMA``."""
 
-    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        if not docs.num_rows or not queries.num_rows:
+    def run(doc_parts: pa.Table, query_parts: pa.Table) -> pa.Table:
+        if not doc_parts.num_rows or not query_parts.num_rows:
             return _FIELDS.empty_table()
-        _, firsts, times = np.unique(docs["doc"].to_numpy(), return_index=True, return_counts=True)
-        docs = docs.take(firsts)
-        asked, counts = _flat(queries["words"])
-        coded = asked.dictionary_encode()
-        codes, weights = coded.indices.to_numpy(), _flat(queries["weights"])[0].to_numpy()
-        lists = posting_lists(docs, coded.dictionary, times)
+        queries = _unpacked(query_parts["part"])
+        words = pa.chunked_array([part.column("words").flatten().dictionary for part in queries]).unique()
+        codes, counts, weights = _codes(queries, "words", words), _sizes(queries, "words"), _joined(queries, "weights")
+        numbers, lists = posting_lists(_unpacked(doc_parts["part"]), words)
         number, rows = common_words(lists)
         ends = np.cumsum(counts)
         answers = []
@@ -122,8 +165,8 @@ def first_k_of_block(k: int):
         found = np.concatenate([a for a, _ in answers])
         return pa.Table.from_arrays(
             [
-                pa.array(np.repeat(queries["q"].to_numpy(), [len(a) for a, _ in answers])),
-                pa.array(docs["doc"].to_numpy()[found]),
+                pa.array(np.repeat(_joined(queries, "q"), [len(a) for a, _ in answers])),
+                pa.array(numbers[found]),
                 pa.array(np.concatenate([s for _, s in answers])),
             ],
             schema=_FIELDS,

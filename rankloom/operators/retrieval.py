@@ -1,9 +1,10 @@
 """Top-k retrieval over the index tables: exact, in bounded memory, without writing the pairs that share a word.
 
 1.  Queries with one bag of words are answered once, documents with one bag are scored once.
-2.  Documents are dealt into blocks of about ``BLOCK`` words, queries into slices. A task scores one slice against one block
-    (``blocks``) and returns the block's first k documents of each query: what is shuffled are vectors and short lists,
-    never a row per pair or per shared word.
+2.  Documents are dealt into blocks of ``BLOCK`` words at most, queries into slices. A task scores one slice against one block
+    (``blocks``) and returns the block's first k documents of each query: what is shuffled are packed vectors and short
+    lists, never a row per pair or per shared word. Documents go to every slice and queries to every block, so blocks and
+    slices are balanced.
 3.  The first k of the blocks' lists are the hits; they get their names back at the end.
 
 The work is still that of all queries against all documents, so time grows with the product of both.
@@ -12,18 +13,20 @@ The work is still that of all queries against all documents, so time grows with
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import term_vectors
 from ..session import Workspace
-from .blocks import SCHEMA, first_k_of_block
+from .blocks import SCHEMA, first_k_of_block, packed
 from .lexical import LexicalIndex, length_norm, saturation
 
 SCORE_DIGITS = 6
 BLOCK = 1 << 22  # words of the documents in a block, and of the queries in a slice: a task holds one of each
 SLICE = 1 << 12  # a slice of fewer query words is not worth a task of its own
+ASKED = 3  # what a query's word costs a block, weight and hits included, beside what a document's word costs a slice
 
 
 @dataclass(frozen=True)
@@ -93,11 +96,19 @@ def top_k(scored: DataFrame, group: list[str], k: int, tie: str = "docno") -> Da
 def _cells(index: LexicalIndex, terms: DataFrame) -> tuple[int, int]:
     """The number of document blocks and of query slices; a task has one of each."""
     words = index.corpus.agg(F.sum("n_tokens")).first()[0] or 0  # one row per split
-    asked = terms.count()
-    blocks = max(-(-words // BLOCK), 1)
-    busy = -(-4 * terms.sparkSession.sparkContext.defaultParallelism // blocks)
-    # Slices keep all cores busy where there is enough to do; they too stay within ``BLOCK`` words.
-    return blocks, max(min(busy, asked // SLICE), -(-asked // BLOCK), 1)
+    return dealing(words, terms.count(), terms.sparkSession.sparkContext.defaultParallelism)
+
+
+def dealing(words: int, asked: int, cores: int) -> tuple[int, int]:
+    """Blocks and slices of at most ``BLOCK`` words that keep all cores busy and shuffle little."""
+    blocks, slices = max(-(-words // BLOCK), 1), max(-(-asked // BLOCK), 1)
+    wanted = min(3 * cores, asked // SLICE)
+    if blocks * slices >= wanted:
+        return blocks, slices
+    # As many cells, dealt so that copies of documents and of queries cost the same.
+    balanced = round(sqrt(wanted * words / (ASKED * asked)))
+    blocks = max(blocks, min(balanced, wanted // slices))
+    return blocks, max(slices, ceil(wanted / blocks))
 
 
 def _contents(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
@@ -105,21 +116,25 @@ def _contents(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     blocks, slices = _cells(index, terms)
     documents = index.representatives().filter("terms IS NOT NULL").select(
         "split",
+        _dealt("doc", blocks).alias("block"),
         "doc",
         length_norm(F.col("length"), F.col("avgdl"), index.k1, index.b).alias("norm"),
         "terms",
         "tfs",
-        _dealt("doc", blocks).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
     )
     queries = (
         terms.groupBy("split", "q")
         .agg(F.collect_list("term").alias("words"), F.collect_list("w").alias("weights"))
-        .withColumn("slice", _dealt("q", slices))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .select("split", _dealt("q", slices).alias("slice"), "q", "words", "weights")
+    )
+    doc_parts = documents.mapInArrow(packed(["split", "block"], "terms"), "split string, block int, part binary").withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    )
+    query_parts = queries.mapInArrow(packed(["split", "slice"], "words"), "split string, slice int, part binary").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     cell = ["split", "block", "slice"]
-    found = documents.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInArrow(first_k_of_block(k), SCHEMA)
+    found = doc_parts.groupBy(*cell).cogroup(query_parts.groupBy(*cell)).applyInArrow(first_k_of_block(k), SCHEMA)
     return found.withColumn("score", F.round("score", SCORE_DIGITS))
 
 

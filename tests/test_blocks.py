@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from brute import scores, top
 
-from rankloom.operators import retrieval
+from rankloom.operators import blocks, retrieval
 from rankloom.operators.lexical import build_index
 
 
@@ -67,3 +68,30 @@ def test_null_texts_and_rows_that_come_twice(spark, ws):
     got = [(r.qid, r.docno) for r in retrieval.retrieve(ws, index, q, k=9).collect()]
     assert set(got) == {("q1", "d1"), ("q1", "d2"), ("q3", "d4")}
     assert got.count(("q1", "d2")) == got.count(("q3", "d4")) == 1
+
+
+@pytest.mark.parametrize(("words", "asked", "cores"), [(10**7, 1_200_000, 8), (2_000_000, 250_000, 12), (6 * 10**8, 7 * 10**7, 12), (10**8, 4000, 8)])
+def test_copies_of_documents_and_queries_are_balanced(words, asked, cores):
+    """All cores have a cell, none holds more than ``BLOCK`` words, and no other dealing copies far fewer words."""
+    blocks, slices = retrieval.dealing(words, asked, cores)
+    wanted = min(3 * cores, asked // retrieval.SLICE)
+    cost = lambda b, s: words * s + retrieval.ASKED * asked * b
+    allowed = [
+        (b, s)
+        for b in range(1, 400)
+        for s in range(1, 400)
+        if b * s >= wanted and words <= b * retrieval.BLOCK and asked <= s * retrieval.BLOCK
+    ]
+    assert blocks * slices >= wanted and words <= blocks * retrieval.BLOCK and asked <= slices * retrieval.BLOCK
+    assert cost(blocks, slices) <= 1.3 * min(cost(b, s) for b, s in allowed)
+
+
+def test_vectors_travel_packed():
+    """Parts hold each word once and give back what went in, rows of other keys apart."""
+    docs = [(i % 2, i, [f"word{j}" for j in range(i % 5, 40)], [1 + j % 3 for j in range(i % 5, 40)]) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*docs)], names=["block", "doc", "terms", "tfs"])
+    (parts,) = blocks.packed(["block"], "terms")([batch])
+    assert sorted(parts["block"].to_pylist()) == [0, 1]
+    assert sum(len(p) for p in parts["part"].to_pylist()) < batch.nbytes / 10
+    back = [r for p in blocks._unpacked(pa.chunked_array([parts["part"]])) for r in p.to_pylist()]
+    assert sorted((r["doc"], r["terms"], r["tfs"]) for r in back) == [d[1:] for d in docs]
