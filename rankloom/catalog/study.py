@@ -30,6 +30,7 @@ class Study:
         self.spark = spark
         self.sf_dir = sf_dir
         self.ws = Workspace.of(spark)
+        self._sides: dict[str, dict[str, str]] = {}
 
     @cached_property
     def source(self) -> dict[str, object] | None:
@@ -100,11 +101,13 @@ class Study:
         return read_training_table(self.spark, out)
 
     def side_tables(self, method: str) -> dict[str, str]:
-        """Paths of the train and the test table of a method, cut by query."""
-        sided = self.ws.stage(split_by_query(self.table(method), 0.9, SEED).withColumn("method", F.lit(method)), "sided")
-        paths = {side: self.ws.new_path(f"{method}-{side}") for side in ("train", "test")}
-        write_sides(sided, paths)
-        return paths
+        """Paths of the train and the test table of a method, cut by query; written when they are first asked for."""
+        if method not in self._sides:
+            sided = neg.with_texts(
+                split_by_query(self.groups(method), 0.9, SEED), self.rel.queries, self.rel.corpus, keep=["side"]
+            )
+            self._sides[method] = write_sides(sided.withColumn("method", F.lit(method)), self.ws.new_path(f"{method}-sides"))
+        return self._sides[method]
 
     def scored(self, method: str) -> DataFrame:
         """Groups with the raw BM25 score of every pair, also the relevant one, as ``logit``."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,10 +130,13 @@ def labelled_groups(negatives: DataFrame, queries: DataFrame, qrels: DataFrame,
     )
 
 
-def with_texts(groups: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Attach both texts last, so that no earlier shuffle carries them."""
+def with_texts(groups: DataFrame, queries: DataFrame, corpus: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Attach both texts last, so that no earlier shuffle carries them; ``keep`` names further columns of ``groups``.
+
+    Documents come after queries: their texts are the longer ones and are not shuffled once they stand in many groups.
+    """
     return (
-        groups.join(corpus, ["split", "docno"], "left")
-        .join(queries, ["split", "qid"], "left")
-        .select("split", "qid", "query", "docno", "text", "score", "label", "pos")
+        groups.join(queries, ["split", "qid"], "left")
+        .join(corpus, ["split", "docno"], "left")
+        .select("split", "qid", "query", "docno", "text", "score", "label", "pos", *keep)
     )
