@@ -65,6 +65,25 @@ def query_numbers(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("split", "bag").agg(F.min("q").alias("q"))
 
 
+def asked_terms(index: LexicalIndex, vectors: DataFrame) -> DataFrame:
+    """``split, bag, q, term, qtf, df, n_docs`` of every distinct query bag, of words the index knows."""
+    flat = (
+        vectors.join(query_numbers(vectors).select("q"), "q", "left_semi")
+        .select("split", "bag", "q", F.explode(F.arrays_zip("terms", "tfs")).alias("_p"))
+        .select("split", "bag", "q", F.col("_p.terms").alias("term"), F.col("_p.tfs").alias("qtf"))
+    )
+    return flat.join(index.terms, ["term", "split"])
+
+
+def weighted(model: Bm25 | TfIdf, df: Column, n_docs: Column, qtf: Column) -> Column:
+    return model.weight(df.cast("double"), n_docs.cast("double"), qtf.cast("double"))
+
+
+def _agree(index: LexicalIndex, model: Bm25 | TfIdf) -> None:
+    if (model.k1, model.b) != (index.k1, index.b):
+        raise ValueError("model and index disagree on k1 or b")
+
+
 def query_terms(
     index: LexicalIndex, vectors: DataFrame, model: Bm25 | TfIdf, max_df_ratio: float | None = None
 ) -> DataFrame:
@@ -73,17 +92,11 @@ def query_terms(
     ``max_df_ratio`` drops words found in more than that share of the documents, in place of a stop-word list. It
     changes scores, so it is off unless asked for.
     """
-    if (model.k1, model.b) != (index.k1, index.b):
-        raise ValueError("model and index disagree on k1 or b")
-    flat = (
-        vectors.join(query_numbers(vectors).select("q"), "q", "left_semi")
-        .select("split", "bag", "q", F.explode(F.arrays_zip("terms", "tfs")).alias("_p"))
-        .select("split", "bag", "q", F.col("_p.terms").alias("term"), F.col("_p.tfs").alias("qtf"))
-    )
-    known = flat.join(index.terms, ["term", "split"])
+    _agree(index, model)
+    known = asked_terms(index, vectors)
     if max_df_ratio is not None:
         known = known.filter(F.col("df") <= F.lit(max_df_ratio) * F.col("n_docs"))
-    weight = model.weight(F.col("df").cast("double"), F.col("n_docs").cast("double"), F.col("qtf").cast("double"))
+    weight = weighted(model, F.col("df"), F.col("n_docs"), F.col("qtf"))
     return known.select("split", "bag", "q", "term", weight.alias("w"))
 
 
@@ -195,32 +208,31 @@ def score_pairs_by(
     ws: Workspace, index: LexicalIndex, queries: DataFrame, pairs: DataFrame, models: dict[str, Bm25 | TfIdf]
 ) -> DataFrame:
     """Add a score for each of ``models``, under its name, and ``overlap``: documents are unpacked and joined once for all."""
+    for model in models.values():
+        _agree(index, model)
     vectors = ws.stage(query_vectors(queries), "query-vectors")
-    words = None
-    for n, model in enumerate(models.values()):
-        terms = query_terms(index, vectors, model).select("bag", "split", "term", F.col("w").alias(f"w{n}"))
-        words = terms if words is None else words.join(terms, ["bag", "split", "term"])
-    weights = [f"w{n}" for n in range(len(models))]
-    packed = words.groupBy("bag", "split").agg(F.collect_list(F.struct("term", *weights)).alias("_asked"))
+    # Counts travel, not weights: they are the same for all models, and small numbers.
+    listed = [F.collect_list(c).alias(f"_{c}") for c in ("term", "qtf", "df")]
+    packed = asked_terms(index, vectors).groupBy("bag", "split").agg(*listed, F.max("n_docs").alias("_n_docs"))
     of_query = vectors.select("split", "qid", "bag").join(packed, ["bag", "split"]).drop("bag")
     # A pair carries its query's words to the document, which may be any copy; only scores leave that join.
     both = pairs.select("qid", "docno", "split").join(of_query, ["qid", "split"]).join(
         index.documents.select("docno", "split", "length", "avgdl", "terms", "tfs"), ["docno", "split"]
     )
     found = F.filter(
-        F.transform(
-            "_asked",
-            lambda x: F.struct(*[x[w].alias(w) for w in weights], F.array_position("terms", x["term"]).cast("int").alias("at")),
-        ),
+        F.transform("_term", lambda t, i: F.struct(i.alias("i"), F.array_position("terms", t).cast("int").alias("at"))),
         lambda x: x["at"] > 0,
     )
-    shared = both.select("qid", "docno", "split", "length", "avgdl", "tfs", found.alias("_shared"))
+    shared = both.select("qid", "docno", "split", "length", "avgdl", "tfs", "_qtf", "_df", "_n_docs", found.alias("_shared"))
 
-    def given(weight: str) -> Column:
+    def given(model: Bm25 | TfIdf) -> Column:
+        weight = lambda i: weighted(model, F.get("_df", i), F.col("_n_docs"), F.get("_qtf", i))
         sat = lambda at: saturation(F.get("tfs", at - 1), F.col("length"), F.col("avgdl"), index.k1, index.b)
-        return F.aggregate("_shared", F.lit(0.0), lambda total, x: total + x[weight] * sat(x["at"]))
+        return F.aggregate("_shared", F.lit(0.0), lambda total, x: total + weight(x["i"]) * sat(x["at"]))
 
-    summed = shared.select("qid", "docno", "split", *[given(w).alias(w) for w in weights], F.size("_shared").alias("overlap"))
-    sums = [F.round(F.sum(w), SCORE_DIGITS).alias(name) for w, name in zip(weights, models, strict=True)]
+    summed = shared.select(
+        "qid", "docno", "split", *[given(m).alias(f"_{n}") for n, m in models.items()], F.size("_shared").alias("overlap")
+    )
+    sums = [F.round(F.sum(f"_{n}"), SCORE_DIGITS).alias(n) for n in models]
     scored = summed.groupBy("qid", "docno", "split").agg(*sums, F.sum("overlap").alias("overlap"))
     return pairs.join(scored, ["qid", "docno", "split"], "left").fillna({**dict.fromkeys(models, 0.0), "overlap": 0})

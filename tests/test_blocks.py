@@ -95,3 +95,22 @@ def test_vectors_travel_packed():
     assert sum(len(p) for p in parts["part"].to_pylist()) < batch.nbytes / 10
     back = [r for p in blocks._unpacked(pa.chunked_array([parts["part"]])) for r in p.to_pylist()]
     assert sorted((r["doc"], r["terms"], r["tfs"]) for r in back) == [d[1:] for d in docs]
+
+
+def test_further_models_move_nothing_more(spark, ws):
+    """Pairs carry counts of their query's words, which serve all models."""
+    corpus, queries, c, q = tables(spark)
+    index = build_index(ws, c, "models", depth=10)
+    pairs = spark.createDataFrame([("all", "q1", "d1"), ("all", "low", "d5")], "split string, qid string, docno string")
+
+    def exchanges(**models):
+        plan = retrieval.score_pairs_by(ws, index, q, pairs, models)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning")
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(bm25=retrieval.Bm25(), tf_idf=retrieval.TfIdf()) == exchanges(bm25=retrieval.Bm25()) > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError, match="disagree"):
+        retrieval.score_pairs_by(ws, index, q, pairs, {"bm25": retrieval.Bm25(k1=2.0)})
