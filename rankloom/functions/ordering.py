@@ -54,9 +54,14 @@ def shuffled_positions(
     A digest's first hex digits cut a group into evenly filled slices, so the position is the count of earlier
     slices plus the rank inside the slice. ``below`` drops whole slices that start at or after that position.
     """
-    marked = df.withColumn("_digest", digest(*salt, *[F.col(k) for k in key])).withColumn(
-        "_slice", F.substring("_digest", 1, prefix)
-    )
+    # What is sorted and shuffled are bytes of the digest, in the same order as its digits.
+    hexed = df.withColumn("_hex", digest(*salt, *[F.col(k) for k in key]))
+    marked = hexed.withColumns(
+        {
+            "_slice": F.conv(F.substring("_hex", 1, prefix), 16, 10).cast("bigint"),
+            "_digest": F.unhex(F.substring("_hex", prefix + 1, 32 - prefix)),
+        }
+    ).drop("_hex")
     before = Window.partitionBy(*within).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (  # at most 16**prefix rows per group
         marked.groupBy(*within, "_slice")

@@ -1,11 +1,13 @@
 """Train and test tables of a method: written once, in one pass, with every row of the method's table."""
 
+import hashlib
 import random
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from rankloom.catalog.study import Study
+from rankloom.functions.ordering import shuffled_positions
 from rankloom.session import Workspace
 from rankloom.sources.tables import read_training_table
 
@@ -33,3 +35,16 @@ def test_sides_are_written_once(spark, tmp_path):
         # Ten groups hold a document's text; on storage it takes the room of few.
         texts = study.rel.corpus.agg(F.sum(F.length("text"))).first()[0]
         assert sum(Path(f.removeprefix("file:")).stat().st_size for f in both.inputFiles()) < 5 * texts
+
+
+def test_positions_follow_the_digits_and_shuffle_bytes(spark):
+    keys = [f"k{i}" for i in range(300)]
+    df = spark.createDataFrame([("g", k) for k in keys] + [("h", k) for k in keys[:7]], "g string, k string")
+    for prefix in (1, 3, 4):
+        numbered = shuffled_positions(df, ["k"], [5], ["g"], prefix=prefix)
+        for group, members in (("g", keys), ("h", keys[:7])):
+            want = sorted(members, key=lambda k: hashlib.md5(f"5-{k}".encode()).hexdigest())
+            assert [r.k for r in sorted(numbered.filter(F.col("g") == group).collect(), key=lambda r: r.position)] == want
+    plan = numbered._jdf.queryExecution().analyzed()
+    types = {a.name(): a.dataType().sql() for a in [plan.inputSet().toSeq().apply(i) for i in range(plan.inputSet().size())]}
+    assert types["_digest"] == "BINARY" and types["_slice"] == "BIGINT"
