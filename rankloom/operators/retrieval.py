@@ -1,11 +1,11 @@
 """Top-k retrieval over the index tables: exact, in bounded memory, without writing the pairs that share a word.
 
 1.  Queries with one bag of words are answered once, documents with one bag are scored once.
-2.  Documents are dealt into blocks of ``BLOCK`` words at most, queries into slices. A task scores one slice against one block
-    (``blocks``) and returns the block's first k documents of each query: what is shuffled are packed vectors and short
-    lists, never a row per pair or per shared word. Documents go to every slice and queries to every block, so blocks and
-    slices are balanced.
-3.  The first k of the blocks' lists are the hits; they get their names back at the end.
+2.  Documents are dealt into blocks of ``BLOCK`` words at most, queries into slices. A task scores one slice against some blocks,
+    one after the other (``blocks``), and returns the first k documents of each query: what is shuffled are packed vectors
+    and short lists, never a row per pair or per shared word. Documents go to every slice and queries to every group of
+    blocks, so both are balanced.
+3.  The first k of the groups' lists are the hits; they get their names back at the end.
 
 The work is still that of all queries against all documents, so time grows with the product of both.
 """
@@ -18,14 +18,16 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import term_vectors
+from ..functions.text import shared_words, term_vectors
 from ..session import Workspace
-from .blocks import SCHEMA, first_k_of_block, packed
+from .blocks import SCHEMA, first_k_of_cell, packed
 from .lexical import LexicalIndex, length_norm, saturation
 
 SCORE_DIGITS = 6
 BLOCK = 1 << 22  # words of the documents in a block, and of the queries in a slice: a task holds one of each
 SLICE = 1 << 12  # a slice of fewer query words is not worth a task of its own
+TOGETHER = 16  # blocks of a group at most: a task holds them packed
+SPREAD = 8  # partitions per cell, so that hardly two cells share one
 ASKED = 3  # what a query's word costs a block, weight and hits included, beside what a document's word costs a slice
 
 
@@ -106,10 +108,17 @@ def top_k(scored: DataFrame, group: list[str], k: int, tie: str = "docno") -> Da
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _cells(index: LexicalIndex, terms: DataFrame) -> tuple[int, int]:
-    """The number of document blocks and of query slices; a task has one of each."""
+def _cells(index: LexicalIndex, terms: DataFrame) -> tuple[int, int, int]:
+    """The number of document blocks, of query slices and of groups of blocks; a task has a slice and a group."""
     words = index.corpus.agg(F.sum("n_tokens")).first()[0] or 0  # one row per split
-    return dealing(words, terms.count(), terms.sparkSession.sparkContext.defaultParallelism)
+    asked, cores = terms.count(), terms.sparkSession.sparkContext.defaultParallelism
+    blocks, slices = dealing(words, asked, cores)
+    return blocks, slices, grouping(blocks, slices, asked, cores)
+
+
+def grouping(blocks: int, slices: int, asked: int, cores: int) -> int:
+    """As few groups of blocks as keep all cores busy: each has a copy of the queries and a list of k for each of them."""
+    return max(min(blocks, -(-min(3 * cores, asked // SLICE) // slices)), -(-blocks // TOGETHER))
 
 
 def dealing(words: int, asked: int, cores: int) -> tuple[int, int]:
@@ -126,7 +135,7 @@ def dealing(words: int, asked: int, cores: int) -> tuple[int, int]:
 
 def _contents(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
     """``q, doc, score`` of all documents that can be among the first ``k``."""
-    blocks, slices = _cells(index, terms)
+    blocks, slices, groups = _cells(index, terms)
     documents = index.representatives().filter("terms IS NOT NULL").select(
         "split",
         _dealt("doc", blocks).alias("block"),
@@ -140,17 +149,26 @@ def _contents(index: LexicalIndex, terms: DataFrame, k: int) -> DataFrame:
         .agg(F.collect_list("term").alias("words"), F.collect_list("w").alias("weights"))
         .select("split", _dealt("q", slices).alias("slice"), "q", "words", "weights")
     )
-    doc_parts = documents.mapInArrow(packed(["split", "block"], "terms"), "split string, block int, part binary").withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    doc_parts = documents.mapInArrow(packed(["split", "block"], "terms"), "split string, block int, part binary").select(
+        "split", (F.col("block") % groups).alias("group"), _copied("slice", slices), "block", "part"
+    )
+    query_parts = queries.mapInArrow(packed(["split", "slice"], "words"), "split string, slice int, part binary").select(
+        "split", _copied("group", groups), "slice", "part"
     )
-    query_parts = queries.mapInArrow(packed(["split", "slice"], "words"), "split string, slice int, part binary").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    cell = ["split", "group", "slice"]
+    spread = SPREAD * groups * slices
+    found = (
+        doc_parts.repartition(spread, *cell).groupBy(*cell)
+        .cogroup(query_parts.repartition(spread, *cell).groupBy(*cell))
+        .applyInArrow(first_k_of_cell(k), SCHEMA)
     )
-    cell = ["split", "block", "slice"]
-    found = doc_parts.groupBy(*cell).cogroup(query_parts.groupBy(*cell)).applyInArrow(first_k_of_block(k), SCHEMA)
     return found.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
+def _copied(name: str, times: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(name)
+
+
 def _dealt(number: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(number), F.lit(parts)).cast("int")
 
@@ -219,11 +237,8 @@ def score_pairs_by(
     both = pairs.select("qid", "docno", "split").join(of_query, ["qid", "split"]).join(
         index.documents.select("docno", "split", "length", "avgdl", "terms", "tfs"), ["docno", "split"]
     )
-    found = F.filter(
-        F.transform("_term", lambda t, i: F.struct(i.alias("i"), F.array_position("terms", t).cast("int").alias("at"))),
-        lambda x: x["at"] > 0,
-    )
-    shared = both.select("qid", "docno", "split", "length", "avgdl", "tfs", "_qtf", "_df", "_n_docs", found.alias("_shared"))
+    found = shared_words("_term", "terms").alias("_shared")
+    shared = both.select("qid", "docno", "split", "length", "avgdl", "tfs", "_qtf", "_df", "_n_docs", found)
 
     def given(model: Bm25 | TfIdf) -> Column:
         weight = lambda i: weighted(model, F.get("_df", i), F.col("_n_docs"), F.get("_qtf", i))

@@ -50,10 +50,10 @@ def training_plan(
 def plan_targets(
     plan: DataFrame, mode: str, eps: float, decay: str = "step", alpha: float = 1.0, beta: float = 1.0
 ) -> DataFrame:
-    """Add the batch's ``eps`` and each instance's smoothed ``target``; a schedule is computed once per batch."""
+    """Add the batch's ``eps`` and each instance's smoothed ``target``; the costly schedule is computed once per batch."""
     progress = F.col("seen") / F.col("total")
     value = epsilon(mode, eps, progress, decay, alpha, beta)
-    if mode == "twsls":
+    if mode == "twsls" and decay == "beta":  # the others cost less than finding the batches: the plan would be made twice
         batches = plan.select("seen", "total").distinct().withColumn("eps", value)
         placed = plan.join(batches, ["seen", "total"])
     else:
