@@ -73,4 +73,4 @@ def _shared(asked: pa.Array, held: pa.Array) -> pa.Array:
 
 def shared_words(asked: Column | str, held: Column | str) -> Column:
     """Where the words of both lists stand: ``i`` from 0 in ``asked``, ``at`` from 1 in ``held``, its first place there."""
-    return F.arrow_udf(_shared, "array<struct<i:int,at:int>>", F.ArrowUDFType.SCALAR)(asked, held)
+    return F.arrow_udf(_shared, "array<struct<i:int,at:int>>")(asked, held)

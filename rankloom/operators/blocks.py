@@ -187,7 +187,7 @@ def hits_of_block(asked: Slice, block: Block, k: int, floors: np.ndarray) -> tup
     error = np.finfo(np.float32).eps * (counts + 3) * sums * block.own.max(initial=1.0)
     single = error.max() < LOOSE
     kind = np.float32 if single else np.float64
-    slacks = SLACK + (2 * error if single else 0.0)
+    slacks = SLACK + 2 * error * single
     group = GROUP if n >= 2 * k * GROUP else 1
     width = -(-n // group) * group  # what is beyond the documents keeps 0
     sizes, sats, rows = np.diff(block.starts), block.sats.astype(kind), block.rows

@@ -113,12 +113,15 @@ def _cells(index: LexicalIndex, terms: DataFrame) -> tuple[int, int, int]:
     words = index.corpus.agg(F.sum("n_tokens")).first()[0] or 0  # one row per split
     asked, cores = terms.count(), terms.sparkSession.sparkContext.defaultParallelism
     blocks, slices = dealing(words, asked, cores)
-    return blocks, slices, grouping(blocks, slices, asked, cores)
+    groups, each = grouping(blocks, slices, min(3 * cores, asked // SLICE))
+    return groups * each, slices, groups
 
 
-def grouping(blocks: int, slices: int, asked: int, cores: int) -> int:
-    """As few groups of blocks as keep all cores busy: each has a copy of the queries and a list of k for each of them."""
-    return max(min(blocks, -(-min(3 * cores, asked // SLICE) // slices)), -(-blocks // TOGETHER))
+def grouping(blocks: int, slices: int, wanted: int) -> tuple[int, int]:
+    """Groups of equally many blocks, and how many: as few groups as give the wanted cells, as each has a copy of the queries
+    and lists k documents for each of them."""
+    each = min(max(blocks * slices // max(wanted, 1), 1), TOGETHER, blocks)
+    return -(-blocks // each), each
 
 
 def dealing(words: int, asked: int, cores: int) -> tuple[int, int]:
@@ -237,17 +240,15 @@ def score_pairs_by(
     both = pairs.select("qid", "docno", "split").join(of_query, ["qid", "split"]).join(
         index.documents.select("docno", "split", "length", "avgdl", "terms", "tfs"), ["docno", "split"]
     )
-    found = shared_words("_term", "terms").alias("_shared")
-    shared = both.select("qid", "docno", "split", "length", "avgdl", "tfs", "_qtf", "_df", "_n_docs", found)
+    shared = both.select(
+        "qid", "docno", "split", "length", "avgdl", "tfs", "_qtf", "_df", "_n_docs", F.inline(shared_words("_term", "terms"))
+    )
+    sat = saturation(F.get("tfs", F.col("at") - 1), F.col("length"), F.col("avgdl"), index.k1, index.b)
 
     def given(model: Bm25 | TfIdf) -> Column:
-        weight = lambda i: weighted(model, F.get("_df", i), F.col("_n_docs"), F.get("_qtf", i))
-        sat = lambda at: saturation(F.get("tfs", at - 1), F.col("length"), F.col("avgdl"), index.k1, index.b)
-        return F.aggregate("_shared", F.lit(0.0), lambda total, x: total + weight(x["i"]) * sat(x["at"]))
+        return weighted(model, F.get("_df", F.col("i")), F.col("_n_docs"), F.get("_qtf", F.col("i"))) * sat
 
-    summed = shared.select(
-        "qid", "docno", "split", *[given(m).alias(f"_{n}") for n, m in models.items()], F.size("_shared").alias("overlap")
-    )
-    sums = [F.round(F.sum(f"_{n}"), SCORE_DIGITS).alias(n) for n in models]
-    scored = summed.groupBy("qid", "docno", "split").agg(*sums, F.sum("overlap").alias("overlap"))
+    # A row per shared word lives inside the task only: tasks add them up before the shuffle.
+    sums = [F.round(F.sum(given(m)), SCORE_DIGITS).alias(n) for n, m in models.items()]
+    scored = shared.groupBy("qid", "docno", "split").agg(*sums, F.count("*").alias("overlap"))
     return pairs.join(scored, ["qid", "docno", "split"], "left").fillna({**dict.fromkeys(models, 0.0), "overlap": 0})

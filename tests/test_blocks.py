@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from brute import scores, top
 
+from rankloom.functions import text
 from rankloom.operators import blocks, retrieval
 from rankloom.operators.lexical import build_index
 
@@ -114,3 +116,58 @@ def test_further_models_move_nothing_more(spark, ws):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     with pytest.raises(ValueError, match="disagree"):
         retrieval.score_pairs_by(ws, index, q, pairs, {"bm25": retrieval.Bm25(k1=2.0)})
+
+
+def cell(docs, queries, n_blocks):
+    """Packed parts of documents (doc, norm, {word: tf}) in blocks, and of queries (q, {word: weight})."""
+    names = ["block", "doc", "norm", "terms", "tfs"]
+    rows = [(d % n_blocks, d, norm, [*tfs], [*tfs.values()]) for d, norm, tfs in docs]
+    held = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=names)
+    asked = [(0, q, [*weights], [*weights.values()]) for q, weights in queries]
+    wanted = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*asked)], names=["slice", "q", "words", "weights"])
+    parts = lambda key, words, batch: pa.Table.from_batches([*blocks.packed([key], words)(iter([batch]))])
+    return parts("block", "terms", held), parts("slice", "words", wanted)
+
+
+@pytest.mark.parametrize("loose", [blocks.LOOSE, 0.0])  # 0: double precision from the start
+@pytest.mark.parametrize("n_docs", [5, 300, 3000])
+def test_a_cell_returns_k_documents_however_many_blocks(monkeypatch, n_docs, loose):
+    monkeypatch.setattr(blocks, "LOOSE", loose)
+    monkeypatch.setattr(blocks, "LONG", 20)
+    rng = random.Random(n_docs)
+    vocabulary = [f"w{i}" for i in range(200)]
+    chance = [1 / (i + 1) for i in range(200)]
+    docs = [(d, 0.5 + rng.random(), {w: rng.randint(1, 3) for w in rng.choices(vocabulary, chance, k=25)}) for d in range(n_docs)]
+    queries = [(q, {w: rng.uniform(-1 if q % 3 else 0, 8) for w in rng.choices(vocabulary, chance, k=9)}) for q in range(40)]
+    queries += [(40, {"w0": -3.0, "w1": -2.0}), (41, {"nowhere": 5.0}), (42, {"w199": 4.0})]
+    for n_blocks in (1, 4):
+        got = {}
+        for r in blocks.first_k_of_cell(9)(*cell(docs, queries, n_blocks)).to_pylist():
+            got.setdefault(r["q"], {})[r["doc"]] = r["score"]
+        for q, weights in queries:
+            want = {d: sum(weights[w] * tf / (tf + norm) for w, tf in tfs.items() if w in weights) for d, norm, tfs in docs if weights.keys() & tfs}
+            first = sorted(want.items(), key=lambda item: -item[1])[:9]
+            found = got.get(q, {})
+            assert len(found) == len(first), q
+            assert sorted(found.values(), reverse=True) == pytest.approx([s for _, s in first], abs=1e-12)
+            assert all(want[d] == pytest.approx(s, abs=1e-12) for d, s in found.items())
+
+
+@pytest.mark.parametrize(("n_blocks", "slices", "wanted"), [(27, 5, 36), (7, 4, 24), (1, 1, 0), (144, 17, 36), (600, 40, 36)])
+def test_groups_have_equally_many_blocks(n_blocks, slices, wanted):
+    groups, each = retrieval.grouping(n_blocks, slices, wanted)
+    assert groups * slices >= min(wanted, n_blocks * slices) and 1 <= each <= retrieval.TOGETHER
+    assert n_blocks <= groups * each < n_blocks + each
+
+
+def test_shared_words_of_lists():
+    asked = pa.array([["b", "x", "a"], [], None, ["a"], ["c", "b"]], pa.list_(pa.string()))
+    held = pa.array([["a", "b", "c"], ["a"], ["a"], None, ["c", "c"]], pa.list_(pa.string()))
+    got = [[(x["i"], x["at"]) for x in row] for row in text._shared(asked, held).to_pylist()]
+    assert got == [[(0, 2), (2, 1)], [], [], [], [(0, 1)]]
+    assert text._shared(asked.slice(3), held.slice(3)).to_pylist()[1] == [{"i": 0, "at": 1}]
+    assert text._shared(asked[:0], held[:0]).to_pylist() == []
+    rng = np.random.default_rng(3)
+    lists = [[[f"w{w}" for w in rng.permutation(30)[: rng.integers(0, 20)]] for _ in range(200)] for _ in range(2)]
+    for a, h, met in zip(*lists, text._shared(*(pa.array(x, pa.list_(pa.string())) for x in lists)).to_pylist(), strict=True):
+        assert [(x["i"], x["at"]) for x in met] == [(i, h.index(w) + 1) for i, w in enumerate(a) if w in h]

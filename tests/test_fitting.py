@@ -77,6 +77,15 @@ def test_schedule_and_order_change_the_model(spark, ws):
     assert len(set(found)) == 3
 
 
+@pytest.mark.parametrize("decay", ["step", "linear", "exp", "cosine"])
+def test_a_plan_with_targets_is_made_once(spark, decay):
+    plan = training_plan(rows(spark), batch_size=8, seed=1, epochs=2.5)
+    scans = [df._jdf.queryExecution().executedPlan().toString().count("Scan ") for df in (plan, plan_targets(plan, "twsls", 0.4, decay))]
+    assert scans[0] == scans[1] > 0
+    eps = {r.seen: r.eps for r in plan_targets(plan, "twsls", 0.4, decay).collect()}
+    assert eps[0] == pytest.approx(0.4) and all(0 <= e <= 0.4 for e in eps.values()) and len(eps) > 20
+
+
 def test_fit_on_nothing_constant_features_and_nulls(spark, ws):
     df = targets(spark, ws, "baseline")
     assert fit_on_plan(ws, df.limit(0), FEATURES, ["mode"], 3).weights == {}
